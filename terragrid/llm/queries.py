@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, lang, quality
+from .common import crc_mod
 
 #: Where the vocabulary files of public tokenizers are; only read, never copied.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -16,6 +17,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated quality of every whole text; a fifth of the ids is never learnt from."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), crc_mod(F.col("doc_id"), 5) != 0)
+    return quality.score(docs, model).select(
+        "doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text; a quarter of the ids is never learnt from."""
+    docs = table(spark, sf_dir, "documents")
+    model = lang.fit(docs, crc_mod(docs["doc_id"], 4) != 2)
+    return lang.predict(docs, model).select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text and the text that they decode to, as digests."""
     coded = bpe.encode(table(spark, sf_dir, "documents"), WORD_BPE)
@@ -28,7 +45,7 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op10_bpe_round_trip": op10_bpe_round_trip}
+    return {"op2_quality": op2_quality, "op9_language": op9_language, "op10_bpe_round_trip": op10_bpe_round_trip}
 
 
 def oracle_sql() -> dict[str, str]:
