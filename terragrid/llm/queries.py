@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lang, quality
+from . import bpe, lang, linededup, quality
 from .common import crc_mod
 
 #: Where the vocabulary files of public tokenizers are; only read, never copied.
@@ -26,6 +26,30 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that stay in each whole text, from the keep bitmaps."""
+    docs = table(spark, sf_dir, "documents")
+    kept = linededup.apply_bitmaps(docs, linededup.keep_bitmaps(docs))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP7_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS k
+  FROM documents
+), keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
+), often AS (
+  SELECT key, max(doc_id) AS top FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+), marked AS (
+  SELECT l.doc_id, l.line, l.k, (o.key IS NOT NULL AND l.doc_id <> o.top) AS gone FROM keyed l LEFT JOIN often o ON l.key = o.key
+)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole text; a quarter of the ids is never learnt from."""
     docs = table(spark, sf_dir, "documents")
@@ -45,8 +69,8 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_quality": op2_quality, "op9_language": op9_language, "op10_bpe_round_trip": op10_bpe_round_trip}
+    return {"op2_quality": op2_quality, "op7_line_dedup": op7_line_dedup, "op9_language": op9_language, "op10_bpe_round_trip": op10_bpe_round_trip}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_line_dedup": OP7_SQL}
