@@ -27,8 +27,8 @@ from .common import id_text, map_batches
 
 #: Tokenizer files above this size aren't shipped to executors.
 MAX_FILE = 64 << 20
-#: Entries of the pair table and of the word cache; both are emptied when full.
-MAX_PAIRS, MAX_WORDS, LONGEST_CACHED = 1 << 20, 1 << 18, 48
+#: Entries of the pair table, which is emptied when full, and of each of the word cache's two generations.
+MAX_PAIRS, MAX_WORDS, LONGEST_CACHED = 1 << 19, 1 << 18, 48
 
 END = "\U0010ffff"
 
@@ -65,6 +65,7 @@ class WordBpe:
         starts = [c for c in range(0x110000) if not known[c] and (c == 0 or known[c - 1])]
         stops = [c for c in range(0x110000) if not known[c] and (c == 0x10FFFF or known[c + 1])]
         self.unassigned = re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, stops, strict=True)) + "]")
+        self.unusual = re.compile("[^\\x00-\u036f\u0400-\u052f\u2010-\u2027\u20ac]")  # a quick look before that long class
         self.library = tokenizers.Tokenizer.from_str(spec)
 
         size = max([*vocab.values(), *self.added.values()]) + 1
@@ -99,14 +100,14 @@ class WordBpe:
                     self.shorter[t] = p
                     break
 
+        # Offset table: all strings in one buffer, with the space that follows a token and, after them, without it.
         strings = [""] * size
         for s, t in [*vocab.items(), *self.added.items()]:
-            strings[t] = s + " "
-        raw = [s.encode() for s in strings]
-        self.offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-        self.buffer = np.frombuffer(b"".join(raw), np.uint8)
+            strings[t] = s
+        self.size, self.strings = size, pa.array([x + " " for x in strings] + strings, pa.large_string())
         self.compatible: dict[int, bool] = {}
         self.known: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
 
     def fits(self, a: int, b: int) -> bool:
         """Does merging by rank keep the border between tokens a and b?"""
@@ -178,29 +179,30 @@ class WordBpe:
             if k % 2:
                 out.append(self.added[part])
                 continue
-            if not part.isascii() and self.unassigned.search(part):
+            if not part.isascii() and self.unusual.search(part) and self.unassigned.search(part):
                 for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part)):
                     out += self.encode_spelled(w + END)
                 continue
             for w in self.words.findall(self.normalise(part)):
                 ids = known.get(w)
                 if ids is None:
-                    ids = self.encode_word(w)
+                    ids = self.older.get(w) or self.encode_word(w)
                     if len(w) <= LONGEST_CACHED:
                         if len(known) >= MAX_WORDS:
-                            known.clear()
+                            self.older = known
+                            self.known = known = {}
                         known[w] = ids
                 out += ids
 
     def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
         """Texts of consecutive runs of ids, which end at ``ends``: token strings joined by a space."""
-        lengths = (self.offsets[ids + 1] - self.offsets[ids]).astype(np.int64)
-        lasts = ends[ends > np.concatenate([[0], ends[:-1]])] - 1
-        lengths[lasts] -= 1
-        stops = np.concatenate([[0], np.cumsum(lengths)])
-        where = np.repeat(self.offsets[ids] - stops[:-1], lengths) + np.arange(stops[-1])
+        which = ids.astype(np.int64)
+        which[ends[ends > np.concatenate([[0], ends[:-1]])] - 1] += self.size
+        taken = self.strings.take(pa.array(which))
+        _, offsets, data = taken.buffers()
+        stops = np.frombuffer(offsets, np.int64, len(which) + 1)
         at = np.concatenate([[0], stops[ends]]).astype(np.int64)
-        return pa.LargeStringArray.from_buffers(len(ends), pa.py_buffer(at), pa.py_buffer(self.buffer[where].tobytes())).cast(pa.string())
+        return pa.LargeStringArray.from_buffers(len(ends), pa.py_buffer(at), data).cast(pa.string())
 
 
 @lru_cache(maxsize=2)
