@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lang, linededup, quality
+from . import bpe, lang, linededup, minhash, quality
 from .common import crc_mod
 
 #: Where the vocabulary files of public tokenizers are; only read, never copied.
@@ -26,6 +26,30 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under links of at least 0.8 on two-word shingles."""
+    return minhash.classes(table(spark, sf_dir, "documents"), minhash.Params(words=2))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda x: x <> '') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM words
+), sized AS (SELECT doc_id, s, len(s) AS n FROM sets),
+flat AS (SELECT doc_id, n, unnest(s) AS x FROM sized),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k
+  FROM flat a JOIN flat b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY 1, 2
+), links AS (SELECT a, b FROM common WHERE 100 * k >= 80 * (na + nb - k)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS c FROM sized UNION SELECT b.b, r.c FROM reach r JOIN both_ways b ON r.doc_id = b.a)
+SELECT s.doc_id, CAST(s.n AS BIGINT) AS n_shingles, min(r.c) AS component_id, min(r.c) = s.doc_id AS kept
+FROM sized s JOIN reach r ON s.doc_id = r.doc_id GROUP BY s.doc_id, s.n
+"""
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that stay in each whole text, from the keep bitmaps."""
     docs = table(spark, sf_dir, "documents")
@@ -69,8 +93,8 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_quality": op2_quality, "op7_line_dedup": op7_line_dedup, "op9_language": op9_language, "op10_bpe_round_trip": op10_bpe_round_trip}
+    return {"op2_quality": op2_quality, "op6_near_duplicates": op6_near_duplicates, "op7_line_dedup": op7_line_dedup, "op9_language": op9_language, "op10_bpe_round_trip": op10_bpe_round_trip}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": OP7_SQL}
+    return {"op6_near_duplicates": OP6_SQL, "op7_line_dedup": OP7_SQL}
