@@ -105,3 +105,14 @@ def crc_mod(col: Column, n: int) -> Column:
 def fixed_share(col: Column, share: float, salt: str) -> Column:
     """True for about ``share`` of the values of ``col``, always the same ones."""
     return F.pmod(F.xxhash64(F.lit(salt), col), F.lit(1 << 30)) < F.lit(int(min(1.0, share) * (1 << 30)))
+
+
+def kept_rows(docs: DataFrame, keeps: Callable[[list[str]], list[bool]], text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose texts ``keeps`` admits; one map without a shuffle."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(keeps([t or "" for t in batch.column(text_col).to_pylist()]), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -231,3 +231,32 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "version", "n_lines", "n_dropped", "kept"])
 
     return map_batches(both, run, "doc_id long, version int, n_lines long, n_dropped long, kept string")
+
+
+def deduplicated(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """The rows of ``docs``, with all their columns, with the text of the lines kept.
+
+    ``chars_col``, where there is such a column, follows the text.  A row that had words and has lost
+    all of them goes: each of its lines is in another document.  Null and empty texts stay.
+    """
+    version, bitmap, key = "__terragrid_version", "__terragrid_bitmap", "__terragrid_id"
+    some = keep_bitmaps(docs, p, id_col, text_col).where((F.col("n_dropped") > 0) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(key), F.col("version").alias(version), F.col("keep_bitmap").alias(bitmap))
+    rows = docs.withColumn(version, text_key(F.coalesce(F.col(text_col), F.lit(""))))
+    both = rows.join(some, (rows[id_col].cast("long") == some[key]) & (rows[version] == some[version]), "left").select(*(rows[c] for c in docs.columns), some[bitmap])
+    at, chars = docs.columns.index(text_col), docs.columns.index(chars_col) if chars_col in docs.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, stay = raw_texts(batch, text_col), []
+            for i, bits in enumerate(batch.column(bitmap).to_pylist()):
+                if bits is not None:
+                    lines = texts[i].split(b"\n")
+                    texts[i] = b"\n".join(x for x, k in zip(lines, unpack(len(lines), bits), strict=True) if k)
+                stay.append(bits is None or bool(texts[i].strip(SPACE)))
+            columns = batch.columns[: len(batch.schema) - 1]
+            columns[at] = pa.array(texts, pa.binary()).cast(columns[at].type)
+            if chars is not None:
+                columns[chars] = pa.array([None if x is None else len(x.decode()) for x in texts], columns[chars].type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1]).filter(pa.array(stay, pa.bool_()))
+
+    return both.mapInArrow(run, docs.schema)

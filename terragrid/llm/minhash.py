@@ -216,3 +216,13 @@ def classes(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose id is the least of its component.
+
+    Rows with a null id, and texts without words, stay.  Rows of one id are one document: they stay or
+    go together.
+    """
+    gone = classes(docs, p, id_col, text_col).where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
+    return docs.join(gone, id_col, "left_anti").select(docs.columns)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fixed_share, id_text, map_batches
+from .common import fixed_share, id_text, kept_rows, map_batches
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 MAX_TOKENS, LONGEST_CACHED, CHUNK = 1 << 18, 32, 1 << 15
@@ -227,22 +227,37 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, p: Params = Param
 _live: dict[str, tuple[Model, Tokens]] = {}
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, score`` of every whole text: the calibrated probability of a positive label.
-
-    One map without a shuffle; long texts are pooled in chunks.  Null and empty texts are scored like
-    any text without tokens; repeated rows are scored each; an empty table gives an empty result.
-    """
+def scorer(docs: DataFrame, model: Model):
+    """A function from whole texts to scores that runs on executors."""
     blob = pickle.dumps(model)
     tag, sent = hashlib.sha256(blob).hexdigest(), docs.sparkSession.sparkContext.broadcast(blob)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(texts: list[str]) -> np.ndarray:
         if tag not in _live:
             _live.clear()
             m = pickle.loads(sent.value)
             _live[tag] = m, Tokens(m.params)
         m, tokens = _live[tag]
-        x = np.array([pooled(tokens.buckets(t), m.vectors) for t in batch.column("text").to_pylist()])
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(m.probability(x), pa.float64())], ["doc_id", "score"])
+        return m.probability(np.array([pooled(tokens.buckets(t), m.vectors) for t in texts])) if texts else np.zeros(0)
+
+    return run
+
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, score`` of every whole text: the calibrated probability of a positive label.
+
+    One map without a shuffle; long texts are pooled in chunks.  Null and empty texts are scored like
+    any text without tokens; repeated rows are scored each; an empty table gives an empty result.
+    """
+    scores = scorer(docs, model)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores(batch.column("text").to_pylist()), pa.float64())], ["doc_id", "score"])
 
     return map_batches(id_text(docs, id_col, text_col), run, "doc_id long, score double")
+
+
+def admitted(docs: DataFrame, model: Model, least: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score at least ``least``."""
+    scores = scorer(docs, model)
+    return kept_rows(docs, lambda texts: [x >= least for x in scores(texts)], text_col)

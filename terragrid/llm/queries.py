@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lang, linededup, minhash, quality
+from . import bpe, decontam, lang, linededup, minhash, quality
 from .common import crc_mod
 
 #: Where the vocabulary files of public tokenizers are; only read, never copied.
@@ -74,6 +74,23 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document with every benchmark item that it contains."""
+    return decontam.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+b AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+items AS (SELECT item_id, least(5, len(w)) AS n, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) AS s FROM b WHERE len(w) > 0),
+sized AS (SELECT item_id, n, count(*) AS n_item FROM items GROUP BY ALL),
+lengths AS (SELECT DISTINCT n FROM sized),
+grams AS (SELECT doc_id, n, unnest(list_distinct(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' ')))) AS s FROM d, lengths WHERE len(w) >= n),
+found AS (SELECT g.doc_id, i.item_id, count(*) AS n_found FROM grams g JOIN items i ON g.s = i.s AND g.n = i.n GROUP BY ALL)
+SELECT f.doc_id, f.item_id, f.n_found, s.n_item FROM found f JOIN sized s USING (item_id) WHERE 100 * f.n_found >= 80 * s.n_item
+"""
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole text; a quarter of the ids is never learnt from."""
     docs = table(spark, sf_dir, "documents")
@@ -93,8 +110,8 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_quality": op2_quality, "op6_near_duplicates": op6_near_duplicates, "op7_line_dedup": op7_line_dedup, "op9_language": op9_language, "op10_bpe_round_trip": op10_bpe_round_trip}
+    return {"op2_quality": op2_quality, "op6_near_duplicates": op6_near_duplicates, "op7_line_dedup": op7_line_dedup, "op8_decontamination": op8_decontamination, "op9_language": op9_language, "op10_bpe_round_trip": op10_bpe_round_trip}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_near_duplicates": OP6_SQL, "op7_line_dedup": OP7_SQL}
+    return {"op6_near_duplicates": OP6_SQL, "op7_line_dedup": OP7_SQL, "op8_decontamination": OP8_SQL}
