@@ -6,17 +6,32 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, lang, linededup, minhash, quality
+from . import bpe, decontam, lang, license, linededup, minhash, quality, tokencount
 from .common import crc_mod
 
 #: Where the vocabulary files of public tokenizers are; only read, never copied.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram tokens of every whole text."""
+    return tokencount.counts(table(spark, sf_dir, "documents"), PIECES)
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of every document, its own or its directory's, over a tree of files made from the ids."""
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id"), license.corpus_path(F.col("doc_id")).alias("path"), "text")
+    return license.scan(files, "doc_id").withColumnRenamed("file_id", "doc_id")
+
+
+OP5_SQL = license.scan_sql(f"SELECT doc_id AS file_id, {license.CORPUS_PATH_SQL} AS path, coalesce(text, '') AS text FROM documents").replace("SELECT f.file_id,", "SELECT f.file_id AS doc_id,")
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calibrated quality of every whole text; a fifth of the ids is never learnt from."""
     docs = table(spark, sf_dir, "documents")
@@ -110,8 +125,8 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_quality": op2_quality, "op6_near_duplicates": op6_near_duplicates, "op7_line_dedup": op7_line_dedup, "op8_decontamination": op8_decontamination, "op9_language": op9_language, "op10_bpe_round_trip": op10_bpe_round_trip}
+    return {"op1_token_counts": op1_token_counts, "op2_quality": op2_quality, "op5_license_scan": op5_license_scan, "op6_near_duplicates": op6_near_duplicates, "op7_line_dedup": op7_line_dedup, "op8_decontamination": op8_decontamination, "op9_language": op9_language, "op10_bpe_round_trip": op10_bpe_round_trip}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_near_duplicates": OP6_SQL, "op7_line_dedup": OP7_SQL, "op8_decontamination": OP8_SQL}
+    return {"op5_license_scan": OP5_SQL, "op6_near_duplicates": OP6_SQL, "op7_line_dedup": OP7_SQL, "op8_decontamination": OP8_SQL}
