@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, lang, license, linededup, minhash, quality, tokencount
+from . import bpe, decontam, lang, license, linededup, minhash, pii, quality, tokencount
 from .common import crc_mod
 
 #: Where the vocabulary files of public tokenizers are; only read, never copied.
@@ -23,6 +23,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.counts(table(spark, sf_dir, "documents"), PIECES)
 
 
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text with keyed surrogates, and the types of what was replaced.  The key is for tests only."""
+    replaced = pii.surrogates(table(spark, sf_dir, "documents"), b"terragrid: a key for tests only")
+    return replaced.select("doc_id", F.size("entities").cast("long").alias("n_entities"), F.array_join(F.transform("entities", lambda e: e["type"]), ",").alias("types"), "text")
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence of every document, its own or its directory's, over a tree of files made from the ids."""
     files = table(spark, sf_dir, "documents").select(F.col("doc_id"), license.corpus_path(F.col("doc_id")).alias("path"), "text")
@@ -125,7 +131,7 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_token_counts": op1_token_counts, "op2_quality": op2_quality, "op5_license_scan": op5_license_scan, "op6_near_duplicates": op6_near_duplicates, "op7_line_dedup": op7_line_dedup, "op8_decontamination": op8_decontamination, "op9_language": op9_language, "op10_bpe_round_trip": op10_bpe_round_trip}
+    return {"op1_token_counts": op1_token_counts, "op2_quality": op2_quality, "op4_pii_surrogates": op4_pii_surrogates, "op5_license_scan": op5_license_scan, "op6_near_duplicates": op6_near_duplicates, "op7_line_dedup": op7_line_dedup, "op8_decontamination": op8_decontamination, "op9_language": op9_language, "op10_bpe_round_trip": op10_bpe_round_trip}
 
 
 def oracle_sql() -> dict[str, str]:
