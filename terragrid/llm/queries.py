@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, lang, license, linededup, minhash, pii, quality, tokencount
+from . import bpe, chroma, decontam, lang, license, linededup, minhash, pii, quality, tokencount
 from .common import crc_mod
 
 #: Where the vocabulary files of public tokenizers are; only read, never copied.
@@ -23,6 +23,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.counts(table(spark, sf_dir, "documents"), PIECES)
 
 
+def op3_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector of ``embeddings``, played as a melody, is fingerprinted; every twentieth id is searched for among all."""
+    prints = chroma.fingerprints(table(spark, sf_dir, "embeddings"), chroma.tones(), id_col="vec_id", media_col="embedding")
+    return chroma.search(prints, F.col("rec_id") % 20 == 0).withColumnRenamed("rec_id", "vec_id")
+
+
 def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text with keyed surrogates, and the types of what was replaced.  The key is for tests only."""
     replaced = pii.surrogates(table(spark, sf_dir, "documents"), b"terragrid: a key for tests only")
@@ -131,7 +137,7 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_token_counts": op1_token_counts, "op2_quality": op2_quality, "op4_pii_surrogates": op4_pii_surrogates, "op5_license_scan": op5_license_scan, "op6_near_duplicates": op6_near_duplicates, "op7_line_dedup": op7_line_dedup, "op8_decontamination": op8_decontamination, "op9_language": op9_language, "op10_bpe_round_trip": op10_bpe_round_trip}
+    return {"op1_token_counts": op1_token_counts, "op2_quality": op2_quality, "op3_chroma_fingerprints": op3_chroma_fingerprints, "op4_pii_surrogates": op4_pii_surrogates, "op5_license_scan": op5_license_scan, "op6_near_duplicates": op6_near_duplicates, "op7_line_dedup": op7_line_dedup, "op8_decontamination": op8_decontamination, "op9_language": op9_language, "op10_bpe_round_trip": op10_bpe_round_trip}
 
 
 def oracle_sql() -> dict[str, str]:
