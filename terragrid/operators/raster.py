@@ -19,20 +19,28 @@ from ..options import NOREGION
 KEYS = ["lon_idx", "lat_idx"]
 
 
+def covered(x0: float, x1: float, y0: float, y1: float, r: float) -> float:
+    """Area of a rectangle in the first quadrant that lies within a circle around the origin."""
+
+    def under(a: float, b: float) -> float:
+        """Area under the circle's arc from a to b."""
+        a, b = min(a, r), min(b, r)
+        return 0.5 * (b * np.sqrt(r * r - b * b) - a * np.sqrt(r * r - a * a) + r * r * (np.arcsin(b / r) - np.arcsin(a / r)))
+
+    whole = np.sqrt(max(r * r - y1 * y1, 0)) if r > y1 else 0.0  # up to here the rectangle's height is inside
+    none = np.sqrt(max(r * r - y0 * y0, 0)) if r > y0 else 0.0  # from here nothing is
+    a, b = np.clip([whole, none], x0, x1)
+    return (a - x0) * (y1 - y0) + under(a, b) - y0 * (b - a)
+
+
 @lru_cache(maxsize=8)
 def disk_kernel(radius: float) -> np.ndarray:
-    """Weights of a disk, each the share of its pixel that the disk covers, with sum 1.
-
-    The share is the integral over the pixel's width of the chord's part within its height.
-    """
+    """Weights of a disk, each the share of its pixel that the disk covers, with sum 1."""
     n = max(int(np.ceil(radius - 0.5)), 0)
-    node, weight = np.polynomial.legendre.leggauss(200)
-    centre = np.arange(-n, n + 1)
-    x = centre[:, None] + node / 2
-    chord = np.sqrt(np.maximum(radius**2 - x**2, 0))[:, None, :]
-    low, high = centre[None, :, None] - 0.5, centre[None, :, None] + 0.5
-    covered = np.maximum(np.minimum(high, chord) - np.maximum(low, -chord), 0)
-    k = (covered * weight / 2).sum(axis=2)
+    edges = [(0.0, 0.5, 2), *((k - 0.5, k + 0.5, 1) for k in range(1, n + 1))]  # a pixel on an axis is twice its half
+    quarter = np.array([[u * v * covered(x0, x1, y0, y1, radius) for y0, y1, v in edges] for x0, x1, u in edges])
+    side = np.concatenate([quarter[:0:-1], quarter])
+    k = np.concatenate([side[:, :0:-1], side], axis=1)
     return k / k.sum()
 
 

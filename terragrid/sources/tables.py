@@ -93,7 +93,7 @@ def ascii_grid(spark: SparkSession, path: str, name: str = "value") -> DataFrame
 
     The file is one text split by lines, so its lines are numbered where they are read.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.trim("value"), r"\r?\n")).alias("n", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.trim("value"), r"\r?\n")).alias("n", "line")).where("trim(line) <> ''")
     nodata = lines.where("n < 6").where(F.lower("line").startswith("nodata")).select(F.element_at(F.split("line", r"\s+"), 2).cast("double").alias("nodata"))
     cells = lines.where("n >= 6").select((F.col("n") - 5).alias("lat_idx"), F.posexplode(F.split(F.trim("line"), r"\s+")).alias("i", "v"))
     return cells.crossJoin(F.broadcast(nodata)).select((F.col("i") + 1).alias("lon_idx"), "lat_idx", F.nullif(F.col("v").cast("double"), F.col("nodata")).alias(name))
