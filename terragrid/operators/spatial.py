@@ -103,3 +103,28 @@ def distances(centres: DataFrame, compat: bool = False) -> DataFrame:
     """All pairs of a checked, small number of region centres (region, lat, lon), each with itself."""
     a, b = (few(centres.select(*(F.col(c).alias(f"{c}{k}") for c in ("region", "lat", "lon"))), 5000) for k in (1, 2))
     return a.crossJoin(b).select(F.col("region1").alias("r1"), F.col("region2").alias("r2"), haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"), compat).alias("km"))
+
+
+def rasterized(polygons: DataFrame, res: float, west: float, north: float) -> DataFrame:
+    """(lon_idx, lat_idx, poly_id) of the pixels whose centre lies in a polygon (poly_id, ring); the first of several.
+
+    Each polygon is cut into the rows of its box, and a row into the pixels between its crossings, so
+    only pixels near the polygon are made.
+    """
+    ys, xs = F.transform("ring", lambda p: p.y), F.transform("ring", lambda p: p.x)
+    rows = polygons.select("poly_id", "ring", F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.explode(F.sequence(F.floor((F.lit(north) - F.array_max(ys)) / res) + 1, F.floor((F.lit(north) - F.array_min(ys)) / res) + 1)).alias("lat_idx"))
+    cells = rows.select("poly_id", "ring", F.col("lat_idx").cast("int").alias("lat_idx"), F.explode(F.sequence((F.floor((F.col("x0") - west) / res) + 1).cast("int"), (F.floor((F.col("x1") - west) / res) + 1).cast("int"))).alias("lon_idx"))
+    hit = cells.where(inside(F.lit(west) + res * (F.col("lon_idx") - 0.5), F.lit(north) - res * (F.col("lat_idx") - 0.5), F.col("ring")))
+    return hit.groupBy("lon_idx", "lat_idx").agg(F.min("poly_id").cast("int").alias("poly_id"))
+
+
+def service_areas(pixels: DataFrame, sites: DataFrame) -> DataFrame:
+    """Pixels (lon, lat) with their nearest site: a Voronoi division by raster.  Sites of equal place count once."""
+    once = sites.groupBy("lon", "lat").agg(F.min("site_id").alias("site_id"))
+    return nearest_few(pixels, once, "pixel_id", "site_id")
+
+
+def area_sizes(areas: DataFrame, sites: DataFrame, land: str = "land") -> DataFrame:
+    """Pixels on land and at sea of every site's area, 0 for a site without any."""
+    n = areas.groupBy("site_id").agg(F.count_if(F.col(land) > 0).alias("onshore"), F.count_if(F.col(land) == 0).alias("offshore"))
+    return sites.select("site_id").join(n, "site_id", "left").fillna(0)

@@ -11,7 +11,7 @@ from .fixtures import sql, view
 from .functions import grid, scalar, solar, wind
 from .operators import masks, raster, regions, spatial
 from .options import HydroOptions, NOREGION, SolarOptions, WindOptions
-from .plans import demand, hydro, resource, turbines
+from .plans import demand, entry, hydro, resource, turbines
 from .sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -480,6 +480,54 @@ def polygon_join(spark, d):
     return spatial.point_in_polygons(points, polygons, 30.0).select("point_id", F.col("poly_id").cast("int").alias("poly_id"))
 
 
+@query("""WITH s AS (SELECT min(site_id) AS site_id, lon, lat FROM v_site WHERE site_id <= 400 GROUP BY lon, lat), p AS (SELECT pixel_id, land, CAST(pixel_id % 360 - 179.6 AS DOUBLE) AS lon, CAST(pixel_id % 170 - 84.3 AS DOUBLE) AS lat FROM v_pixel),
+ n AS (SELECT p.pixel_id, p.land, s.site_id FROM p, s QUALIFY row_number() OVER (PARTITION BY p.pixel_id ORDER BY 111.0 * sqrt(pow(p.lon - s.lon, 2) + pow(p.lat - s.lat, 2)), s.site_id) = 1)
+ SELECT s.site_id, count(n.pixel_id) FILTER (WHERE land > 0) AS onshore, count(n.pixel_id) FILTER (WHERE land = 0) AS offshore FROM (SELECT site_id FROM v_site WHERE site_id <= 400) s LEFT JOIN n ON s.site_id = n.site_id GROUP BY 1""", "v_site", "v_pixel")
+def service_areas(spark, d):
+    """Sizes of the areas nearest to each site."""
+    sites = view(spark, d, "v_site").where("site_id <= 400").select("site_id", "lon", "lat")
+    px = view(spark, d, "v_pixel").select("pixel_id", "land", (F.col("pixel_id") % 360 - 179.6).cast("double").alias("lon"), (F.col("pixel_id") % 170 - 84.3).cast("double").alias("lat"))
+    return spatial.area_sizes(spatial.service_areas(px, sites), sites)
+
+
+@query("SELECT CAST(i AS INT) AS lon_idx, CAST(j AS INT) AS lat_idx, CAST(CASE WHEN i BETWEEN 3 AND 10 AND j BETWEEN 5 AND 9 THEN 1 ELSE 2 END AS INT) AS poly_id FROM (SELECT unnest(range(1, 41)) AS i), (SELECT unnest(range(1, 41)) AS j) WHERE (i BETWEEN 3 AND 10 AND j BETWEEN 5 AND 9) OR (j - 0.5 >= 4 AND j - 0.5 <= 24 AND abs(i - 0.5 - 20.1) < (24 - (j - 0.5)) / 2.0)")
+def rasterized_polygons(spark, d):
+    """Pixels of polygons: a box, then a triangle."""
+    shapes = [(1, [(2.0, -4.0), (10.0, -4.0), (10.0, -9.0), (2.0, -9.0)]), (2, [(10.1, -4.0), (30.1, -4.0), (20.1, -24.0)])]
+    return spatial.rasterized(spark.createDataFrame(shapes, "poly_id int, ring array<struct<x: double, y: double>>"), 1.0, 0.0, 0.0)
+
+
+@query("WITH p AS (SELECT region AS bus, popdens, land, protected FROM v_pixel), n AS (SELECT bus, land, count(*) AS n FROM p GROUP BY ALL) SELECT p.bus, sum(popdens) AS pop, count(*) AS pixels, (SELECT arg_min(land, (-n.n, land)) FROM n WHERE n.bus = p.bus) AS main_land FROM p GROUP BY p.bus", "v_pixel")
+def bus_statistics(spark, d):
+    """Sums and the most frequent code of each bus."""
+    p = view(spark, d, "v_pixel").withColumnRenamed("region", "bus")
+    return p.groupBy("bus").agg(F.sum("popdens").alias("pop"), F.count("*").alias("pixels")).join(raster.mode_by(p, ["bus"], "land").withColumnRenamed("land", "main_land"), "bus")
+
+
+@query("SELECT p.pixel_id, p.atlas AS first_atlas, q.atlas AS second_atlas FROM v_pixel p JOIN v_pixel q ON p.lon_idx = q.lon_idx + 1 AND p.lat_idx = q.lat_idx WHERE p.region = 1 AND p.land NOT IN (0, 11, 13)", "v_pixel")
+def atlas_pairs(spark, d):
+    """Two aligned layers side by side."""
+    p = view(spark, d, "v_pixel")
+    moved = p.select((F.col("lon_idx") + 1).alias("lon_idx"), "lat_idx", F.col("atlas").alias("second_atlas"))
+    return p.where("region = 1").where(~F.col("land").isin(0, 11, 13)).join(moved, ["lon_idx", "lat_idx"]).select("pixel_id", F.col("atlas").alias("first_atlas"), "second_atlas")
+
+
+@query("WITH c(region, centre, era_lon) AS (VALUES (1, 1, 1), (1, 2, 3), (2, 1, 4)) SELECT region, hour, max(value) FILTER (WHERE centre = 1) AS temp1, avg(value) AS temp_top3 FROM c JOIN v_cell_hour v ON v.era_lon = c.era_lon GROUP BY ALL", "v_cell_hour")
+def centre_temperatures(spark, d):
+    """Hourly temperature at the centres of regions."""
+    centres = spark.createDataFrame([(1, 1, 1, 1), (1, 2, 3, 1), (2, 1, 4, 1)], "region int, centre int, era_lon int, era_lat int")
+    cells = view(spark, d, "v_cell_hour").withColumn("era_lat", F.lit(1))
+    return entry.top_temperatures(entry.temperatures(centres, cells))
+
+
+@query("WITH g AS (SELECT CAST(s_suppkey // 10 AS INT) AS \"row\", CAST(s_suppkey % 10 AS INT) AS col, s_suppkey // 10 * 0.3 + s_suppkey % 10 * 0.05 AS lat, s_suppkey % 10 * 0.4 + s_suppkey * 0.01 AS lon FROM supplier) SELECT a.\"row\", a.col, min(sqrt(pow(a.lon - b.lon, 2) + pow(a.lat - b.lat, 2))) AS spacing FROM g a JOIN g b ON abs(a.\"row\" - b.\"row\") <= 1 AND abs(a.col - b.col) <= 1 AND (a.\"row\" <> b.\"row\" OR a.col <> b.col) GROUP BY ALL")
+def grid_spacing(spark, d):
+    """Least spacing of a curvilinear grid."""
+    k = F.col("s_suppkey")
+    g = view(spark, d, "supplier").select(F.floor(k / 10).cast("int").alias("row"), (k % 10).cast("int").alias("col"), (k % 10 * 0.4 + k * 0.01).cast("double").alias("lon"), (F.floor(k / 10) * 0.3 + k % 10 * 0.05).cast("double").alias("lat"))
+    return raster.local_spacing(g)
+
+
 # Turbines
 
 TURBINES = "t AS (SELECT pixel_id, count(*) AS nturbines, max(yr) AS turbineyear, sum(capac_kw) AS turbinecapac FROM v_turbine GROUP BY 1), pt AS (SELECT px.*, coalesce(t.nturbines, 0) AS nturbines, coalesce(t.turbineyear, 0) AS turbineyear, coalesce(t.turbinecapac, 0.0) AS turbinecapac FROM px LEFT JOIN t USING (pixel_id))"
