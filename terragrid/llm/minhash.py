@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,19 +31,27 @@ from .common import id_text, map_batches, raw_texts, stored
 class Params:
     """Link where ``100 * intersection >= percent * union`` of sets of ``words``-word shingles.
 
-    With the 30 bands of 5 a pair at 0.8 shares a bucket with probability 0.999993; one at 0.9,
-    1 - 1e-11.  ``all_pairs_per_class``: once at most so many candidate pairs a class are left, all of
-    them are compared.  ``rounds``: after so many rounds of centres they are in any case.
+    With the 45 bands of 7 a pair at 0.8 shares a bucket with probability 0.99997, one at 0.85 with
+    1 - 4e-8, and one at 0.2 with 0.0006.  ``all_pairs_per_class``: once at most so many candidate pairs
+    a class and band are left, all of them are compared.  ``rounds``: after so many rounds of centres
+    they are in any case.  ``edges_per_task``: so many links are joined to components by one task.
+    ``cell_docs``: about so many sets of each side are compared together.
+
+    Before texts are fetched for the exact check, a pair's signatures are compared by one bit of each
+    coordinate.  At the least similarity s a share of (1 + s) / 2 agrees; a pair more than six standard
+    deviations below (once in 1e9) is no candidate.
     """
 
     words: int = 5
     percent: int = 80
-    bands: int = 30
-    rows: int = 5
+    bands: int = 45
+    rows: int = 7
     circle: int = 1 << 20
     seed: int = 11
     rounds: int = 6
-    all_pairs_per_class: float = 2.0
+    all_pairs_per_class: float = 20.0
+    edges_per_task: int = 1 << 20
+    cell_docs: int = 500
 
 
 GOLD, M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -88,9 +96,26 @@ def signature(s: np.ndarray, p: Params) -> np.ndarray:
     return out
 
 
-def buckets(s: np.ndarray, p: Params) -> np.ndarray:
-    """One 64-bit key for each band."""
-    sig = signature(s, p).reshape(p.bands, p.rows).astype(np.uint64)
+def words_of_bits(p: Params) -> int:
+    return -(-p.bands * p.rows // 64)
+
+
+def most_different_bits(p: Params) -> int:
+    """Bits in which two signatures may differ."""
+    n, agree = p.bands * p.rows, (1 + p.percent / 100) / 2
+    return int(n * (1 - agree) + 6 * (n * agree * (1 - agree)) ** 0.5) + 1
+
+
+def packed_bits(sig: np.ndarray, p: Params) -> np.ndarray:
+    """The lowest bit of each coordinate, in 64-bit integers."""
+    bits = np.zeros(64 * words_of_bits(p), np.uint8)
+    bits[: len(sig)] = sig & 1
+    return np.packbits(bits).view(np.int64)
+
+
+def buckets(signed: np.ndarray, p: Params) -> np.ndarray:
+    """One 64-bit key for each band of a signature."""
+    sig = signed.reshape(p.bands, p.rows).astype(np.uint64)
     out = np.arange(1, p.bands + 1, dtype=np.uint64) * GOLD
     for k in range(p.rows):
         out = mixed(out + sig[:, k] * M2 + GOLD)
@@ -98,19 +123,21 @@ def buckets(s: np.ndarray, p: Params) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, p: Params) -> DataFrame:
-    """``doc_id, n_shingles, k1, k2`` (128 bits of the set), ``bands`` of each row."""
+    """``doc_id, n_shingles, k1, k2`` (128 bits of the set), ``bands`` and ``bits`` of each row."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n, keys, bands = [], [], []
+        n, keys, bands, bits = [], [], [], []
         for text in raw_texts(batch):
             s = shingles(text, p.words)
             n.append(len(s))
             keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-            bands.append(buckets(s, p) if len(s) else None)
+            sig = signature(s, p) if len(s) else None
+            bands.append(buckets(sig, p) if len(s) else None)
+            bits.append(packed_bits(sig, p) if len(s) else None)
         k = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "k1", "k2", "bands"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "k1", "k2", "bands", "bits"])
 
-    return map_batches(docs, run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
+    return map_batches(docs, run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, bits array<long>")
 
 
 def rank(col: Column, turn: int) -> Column:
@@ -118,39 +145,106 @@ def rank(col: Column, turn: int) -> Column:
     return F.xxhash64(F.lit(f"turn{turn}"), col)
 
 
-def near_in_size(a: Column, b: Column, p: Params) -> Column:
-    """Sets whose sizes allow a link."""
-    return (100 * F.least(a, b)) >= (p.percent * F.greatest(a, b))
+def centre(p: Params, turn: int, *more: str) -> Column:
+    """The class of a bucket that is first in the turn's order, with its columns named ..._b."""
+    return F.min(F.struct(rank(F.col("rep"), turn).alias("r"), *(F.col(c).alias(f"{c}_b") for c in ("rep", "n", *bit_columns(p), *more)))).alias("m")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets are similar enough."""
-    left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+def bit_columns(p: Params) -> list[str]:
+    return [f"x{k}" for k in range(words_of_bits(p))]
 
-    def run(batches):
-        last, of_last = None, None
-        for batch in batches:
-            keep = []
-            for b, ta, tb in zip(batch.column("b").to_pylist(), raw_texts(batch, "text_a"), raw_texts(batch, "text_b"), strict=True):
-                if b != last:  # pairs come sorted by b from the join
-                    last, of_last = b, shingles(tb, p.words)
-                s = shingles(ta, p.words)
-                common = len(np.intersect1d(s, of_last, assume_unique=True))
-                keep.append(100 * common >= p.percent * (len(s) + len(of_last) - common))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep, pa.bool_())), batch.column("b").filter(pa.array(keep, pa.bool_()))], ["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+def may_link(p: Params) -> Column:
+    """Do the sizes allow a link, and do the signatures agree well enough for one?"""
+    a, b = F.col("n"), F.col("n_b")
+    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in bit_columns(p)])
+    return ((100 * F.least(a, b)) >= (p.percent * F.greatest(a, b))) & (differ <= most_different_bits(p))
+
+
+def shingle_sets(docs: DataFrame, p: Params) -> DataFrame:
+    """``doc_id, shingles``: the whole set as sorted 64-bit hashes."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingles(t, p.words).tobytes() for t in raw_texts(batch)]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
 
+    return map_batches(docs, run, "doc_id long, shingles binary")
 
-def components(edges: DataFrame) -> DataFrame:
+
+def confirmed(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
+    """The pairs (a, b) whose whole shingle sets are similar enough.
+
+    Ids are dealt into groups of about ``cell_docs``; a pair of groups is a cell.  A set travels once to
+    each cell that needs it, not once per pair; a partition streams its cells one after the other.
+    """
+    spark = pairs.sparkSession
+    n = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().count()
+    groups = max(1, -(-n // p.cell_docs))
+
+    def group(c: str) -> Column:
+        return F.pmod(F.xxhash64(F.lit("cell"), F.col(c)), F.lit(groups))
+
+    asked = pairs.withColumn("cell", group("a") * groups + group("b"))
+    needed = asked.select("cell", F.explode(F.array("a", "b")).alias("a")).distinct()
+    sent = needed.join(sets.withColumnRenamed("doc_id", "a"), "a").select("cell", F.lit(0).alias("kind"), "a", F.lit(None).cast("long").alias("b"), "shingles")
+    both = sent.unionByName(asked.select("cell", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("shingles")))
+    dealt = both.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "cell").sortWithinPartitions("cell", "kind")
+
+    def run(batches):
+        cell, here = None, {}
+        for batch in batches:
+            found = []
+            for c, kind, a, b, s in zip(*(batch.column(k).to_pylist() for k in ("cell", "kind", "a", "b", "shingles")), strict=True):
+                if c != cell:
+                    cell, here = c, {}
+                if not kind:  # texts of one id may differ: any of them counts
+                    here.setdefault(a, []).append(np.frombuffer(s, np.uint64))
+                elif any(similar(x, y, p.percent) for x in here[a] for y in here[b]):
+                    found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Is the Jaccard similarity of two sorted sets at least ``percent`` hundredths?"""
+    both = np.sort(np.concatenate([x, y]), kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(both) - common)
+
+
+def forest(batches):
+    """Links of one task as (u, v), v the least id that u reaches by them."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := parent.setdefault(x, x)) != x:
+            parent[x] = parent[y]
+            x = y
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            x, y = root(a), root(b)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+    nodes = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["u", "v"])
+
+
+def components(edges: DataFrame, per_task: int = 1 << 20) -> DataFrame:
     """``id, component`` (the least id reachable) of every id on an edge (a, b).
 
-    Alternating large and small stars; each turn is a stored table, and the turns end when the edges
-    no longer change.  Only two sums reach the driver.
+    Every ``per_task`` edges are first joined by one task, which leaves one row per id.  If there are
+    more edges, alternating large and small stars follow; each turn is a stored table, and the turns
+    end when the edges no longer change.  Only sums reach the driver.
     """
-    now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    before = None
+    edges = stored(edges.select("a", "b").distinct(), "edges")
+    tasks = max(1, -(-edges.count() // per_task))
+    now = stored(edges.coalesce(tasks).mapInArrow(forest, "u long, v long"), "forest")
+    if tasks == 1:
+        return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    now, before = stored(now.where("u <> v").distinct(), "edges"), None
     while True:
         told = now.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(20,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if told[0] == 0 or told == before:
@@ -178,38 +272,44 @@ def classes(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_
     linked = sketched.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     # equal sets: one representative, by an aggregation that is combined before the shuffle
     same = stored(linked.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")), "classes")
-    reps = linked.select(F.col("doc_id").alias("rep"), "k1", "k2", "bands").join(same, ["rep", "k1", "k2"]).dropDuplicates(["rep", "k1", "k2"])
+    reps = linked.select(F.col("doc_id").alias("rep"), "k1", "k2", "bands", "bits").join(same, ["rep", "k1", "k2"]).dropDuplicates(["rep", "k1", "k2"])
     spread = reps.select("rep", "n", F.explode("bands").alias("bucket"))
-    more = spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
-    spread = stored(spread.join(more, "bucket"), "buckets")
-    texts = stored(rows.join(spread.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "texts")
-
-    found, tried, of = None, None, None
-    for turn in range(p.rounds + 1):
-        here = spread.withColumn("c", F.col("rep")) if of is None else spread.join(of.select(F.col("id").alias("rep"), "component"), "rep", "left").select("rep", "n", "bucket", F.coalesce("component", "rep").alias("c"))
-        # buckets whose classes lie in several components, and how many pairs those make
-        sizes = here.groupBy("bucket", "c").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.count("*").alias("comps"), ((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs")).where("comps > 1")
-        told = sizes.agg(F.sum("pairs").alias("pairs"), F.count("*").alias("open")).first()
-        if not told["open"]:
-            break
-        last = turn == p.rounds or told["pairs"] <= p.all_pairs_per_class * p.bands * max(same.count(), 1)
-        here = here.join(sizes.select("bucket"), "bucket", "left_semi")
-        other = here.select("bucket", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"))
+    # buckets of several classes; then the signatures' bits of those classes
+    shared = spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
+    signed = reps.select("rep", "n", *(F.col("bits")[k].alias(c) for k, c in enumerate(bit_columns(p))))
+    spread = stored(spread.join(shared, "bucket").select("rep", "n", "bucket").join(signed, ["rep", "n"]), "buckets")
+    texts = rows.join(spread.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = stored(shingle_sets(texts, p).dropDuplicates(["doc_id", "shingles"]), "sets")
+    n_classes = same.count()
+
+    tried, of, turn, last = None, None, 0, False
+    while not last:
+        if of is None:
+            open_ = spread.withColumn("c", F.col("rep"))
+        else:
+            here = spread.join(of.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
+            # buckets whose classes lie in several components, and how many pairs those make
+            sizes = here.groupBy("bucket", "c").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.count("*").alias("comps"), ((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs")).where("comps > 1")
+            open_ = stored(here.join(sizes, "bucket"), "open")
+            told = open_.select("bucket", "pairs").distinct().agg(F.sum("pairs")).first()[0]
+            if not told:
+                break
+            last = turn > p.rounds or told <= p.all_pairs_per_class * p.bands * n_classes
         if last:
-            pairs = here.join(other, "bucket").where("rep < b")
+            other = open_.select("bucket", *(F.col(c).alias(f"{c}_b") for c in ("rep", "n", "c", *bit_columns(p))))
+            pairs = open_.join(other, "bucket").where("rep < rep_b")
         else:
-            centre = here.groupBy("bucket").agg(F.min(F.struct(rank(F.col("rep"), turn).alias("r"), F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"))).alias("m")).select("bucket", "m.b", "m.n_b", "m.c_b")
-            pairs = here.join(centre, "bucket")
-        pairs = pairs.where("c <> c_b").where(near_in_size(F.col("n"), F.col("n_b"), p)).select(F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b")).distinct()
+            pairs = open_.join(open_.groupBy("bucket").agg(centre(p, turn, "c")).select("bucket", "m.*"), "bucket")
+        pairs = pairs.where("c <> c_b").where(may_link(p)).select(F.greatest("rep", "rep_b").alias("a"), F.least("rep", "rep_b").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        good = stored(confirmed(pairs, texts, p), "links")
-        found = good if found is None else found.unionByName(good)
-        of = stored(components(found), "components")
-        if last:
-            break
+        good = stored(confirmed(pairs, sets, p), "links")
+        # components of the links so far are one row per id, to which the new links are added
+        links = good if of is None else good.unionByName(of.select(F.col("id").alias("a"), F.col("component").alias("b")))
+        of = components(links, p.edges_per_task)
+        turn += 1
     of = of if of is not None else same.select(F.col("rep").alias("id"), F.col("rep").alias("component")).limit(0)
     whole = same.join(of, same["rep"] == of["id"], "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
     out = sketched.select("doc_id", "n_shingles", "k1", "k2").join(whole, ["k1", "k2"], "left")

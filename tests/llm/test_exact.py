@@ -115,8 +115,9 @@ def test_rounds_of_centres_lose_nothing(spark):
 
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
-    got = minhash.components(edges).collect()
-    assert {r["id"] for r in got} == set(range(201)) and {r["component"] for r in got} == {0}
+    for per_task in (1 << 20, 7):
+        got = minhash.components(edges.repartition(40), per_task).collect()
+        assert {r["id"] for r in got} == set(range(201)) and {r["component"] for r in got} == {0}
 
 
 def test_circulant_signature():
