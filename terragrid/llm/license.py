@@ -5,7 +5,7 @@ vector, and its cosine to each template says which licence it states.  A file wi
 its own inherits from the nearest ancestor directory whose licence file states one: directories,
 not files, are joined with their ancestors' paths, and files then with their own directory.
 
-Terms are weighted by their document frequency among the templates; a word of no template weighs as
+Function words aren't terms.  Terms are weighted by their document frequency among the templates; a word of no template weighs as
 much as one that occurs in a single template.
 """
 
@@ -35,6 +35,8 @@ TEMPLATES = [
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
 ]
+#: English function words.
+STOP = "a and any are as be by for following in is of or that the this to under with without".split()
 LICENCE_FILE = r"(?i)^(LICEN[CS]E|COPYING)(\.(txt|md))?$"
 #: A cosine of this much states a licence.
 LEAST = 0.7
@@ -44,7 +46,7 @@ WORD, END = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*", r"([.!?])[ \t\r\n]+"
 
 def weights() -> tuple[dict[str, float], list[tuple[int, str, float]], float]:
     """Idf of every template term; (template, term, weight of a vector of length 1); idf of other words."""
-    bags = [Counter(re.findall(WORD, text.lower())) for _, text in TEMPLATES]
+    bags = [Counter(t for t in re.findall(WORD, text.lower()) if t not in STOP) for _, text in TEMPLATES]
     df = Counter(t for bag in bags for t in bag)
     idf = {t: round(math.log((1 + len(bags)) / (1 + n)) + 1, 6) for t, n in df.items()}
     rows = []
@@ -94,12 +96,12 @@ def stated(files: DataFrame) -> DataFrame:
     """``path, licence, score`` of the best notice of each file that states a licence."""
     spark = files.sparkSession
     _, rows, other = weights()
-    any_term = "(?i)(^|[^a-z0-9])(" + "|".join(re.escape(t) for t in telling(rows)) + ")"
+    any_term = "(?i)(^|[^a-z0-9])(" + "|".join(re.escape(t) for t in telling(rows)) + ")([^a-z0-9]|$)"
     hinted = files.where(F.col("text").rlike(any_term))
     sentences = F.split(F.regexp_replace("text", END, "$1\n"), "\n")
     whole = F.when(F.regexp_extract("path", r"[^/]*$", 0).rlike(LICENCE_FILE), F.array("text")).otherwise(F.array().cast("array<string>"))
     units = hinted.select("path", F.posexplode(F.concat(F.filter(sentences, lambda s: s.rlike(any_term)), whole)).alias("unit", "said"))
-    tf = units.select("path", "unit", F.explode(F.regexp_extract_all(F.lower("said"), F.lit(WORD), 0)).alias("term")).groupBy("path", "unit", "term").agg(F.count("*").cast("double").alias("tf"))
+    tf = units.select("path", "unit", F.explode(F.regexp_extract_all(F.lower("said"), F.lit(WORD), 0)).alias("term")).where(~F.col("term").isin(STOP)).groupBy("path", "unit", "term").agg(F.count("*").cast("double").alias("tf"))
     weighed = tf.join(F.broadcast(idfs(spark)), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other)))
     norms = weighed.groupBy("path", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = weighed.join(F.broadcast(terms(spark)), "term").groupBy("path", "unit", "template", "licence").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
@@ -150,7 +152,7 @@ units AS (
     unnest(range(len(list_concat(string_split(regexp_replace(text, '{END}', '\1' || chr(10), 'g'), chr(10)), CASE WHEN regexp_matches(path, '(^|/)(LICENSE|LICENCE|COPYING)(\.(txt|md))?$', 'i') THEN [text] ELSE [] END)))) AS unit
   FROM files
 ), words AS (SELECT path, unit, unnest(regexp_extract_all(lower(said), '{WORD}')) AS term FROM units),
-tf AS (SELECT path, unit, term, CAST(count(*) AS DOUBLE) AS tf FROM words GROUP BY ALL),
+tf AS (SELECT path, unit, term, CAST(count(*) AS DOUBLE) AS tf FROM words WHERE term NOT IN ({', '.join(repr(t) for t in STOP)}) GROUP BY ALL),
 weighed AS (SELECT tf.path, tf.unit, tf.term, tf.tf * coalesce(CAST(i.idf AS DOUBLE), CAST({other} AS DOUBLE)) AS w FROM tf LEFT JOIN idfs i ON tf.term = i.term),
 norms AS (SELECT path, unit, sqrt(sum(w * w)) AS norm FROM weighed GROUP BY ALL),
 dots AS (SELECT w.path, w.unit, t.template, t.licence, sum(w.w * CAST(t.weight AS DOUBLE)) AS dot FROM weighed w JOIN terms t ON w.term = t.term GROUP BY ALL),
