@@ -8,8 +8,10 @@ candidates are confirmed on their whole shingle sets.
 Nothing here makes all pairs of a group.  Documents of equal sets are one class.  In a band's bucket
 each class is first compared with the bucket's centre only; the links found are contracted, and a
 further round, with other centres, looks only at buckets whose classes still lie in different
-components.  When few candidate pairs are left, all of them are compared, so that no candidate pair
-between components is left out.  Pairs already compared aren't compared again.
+components.  In the end every class is compared with every component that it shares a bucket with,
+the smaller component asking the larger one: a component's members are cut into blocks, and those
+who ask stream past a block, so that no pairs are written and no candidate between components is
+left out.
 """
 
 from __future__ import annotations
@@ -32,9 +34,8 @@ class Params:
     """Link where ``100 * intersection >= percent * union`` of sets of ``words``-word shingles.
 
     With the 45 bands of 7 a pair at 0.8 shares a bucket with probability 0.99997, one at 0.85 with
-    1 - 4e-8, and one at 0.2 with 0.0006.  ``all_pairs_per_class``: once at most so many candidate pairs
-    a class and band are left, all of them are compared.  ``rounds``: after so many rounds of centres
-    they are in any case.  ``edges_per_task``: so many links are joined to components by one task.
+    1 - 4e-8, and one at 0.2 with 0.0006.  ``rounds``: so many rounds of centres come before the last
+    comparison.  ``edges_per_task``: so many links are joined to components by one task.
     ``cell_docs``: about so many sets of each side are compared together.
 
     Before texts are fetched for the exact check, a pair's signatures are compared by one bit of each
@@ -48,8 +49,7 @@ class Params:
     rows: int = 7
     circle: int = 1 << 20
     seed: int = 11
-    rounds: int = 6
-    all_pairs_per_class: float = 20.0
+    rounds: int = 2
     edges_per_task: int = 1 << 20
     cell_docs: int = 500
 
@@ -206,6 +206,71 @@ def confirmed(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def asked_components(open_: DataFrame, p: Params) -> DataFrame:
+    """``rep, target``: the components that a class must be compared with.
+
+    The smaller component asks the larger one (of equal ones the one with the lesser id); a component
+    of a single class is asked only if the signatures agree well enough.
+    """
+    bits = bit_columns(p)
+    single = [F.min(F.col(x)).alias(f"{x}_b") for x in ("n", *bits)]  # of a component of one class: that class's
+    sizes = open_.select("rep", "n", "c", *bits).distinct().groupBy("c").agg(F.count("*").alias("size"), *single)
+    own = open_.join(sizes.select("c", "size"), "c")
+    there = open_.select("bucket", "c").distinct().join(sizes.withColumnRenamed("size", "size_b"), "c").withColumnRenamed("c", "target")
+    met = own.join(there, "bucket").where((F.col("size") < F.col("size_b")) | ((F.col("size") == F.col("size_b")) & (F.col("c") < F.col("target")))).where((F.col("size_b") > 1) | may_link(p))
+    return met.select("rep", "target").distinct()
+
+
+def confirmed_members(asks: DataFrame, members: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
+    """Links (a, b) of the classes that ask with the members (rep, c, bits) of the components they ask.
+
+    A component's members are dealt into blocks of about ``cell_docs``, those who ask it into parts of
+    about four times as many; a cell is one of each.
+    """
+    spark = asks.sparkSession
+    bits = F.array(*bit_columns(p))
+    blocks = members.groupBy(F.col("c").alias("target")).agg(F.ceil(F.count("*") / p.cell_docs).alias("blocks"))
+    parts = asks.groupBy("target").agg(F.ceil(F.count("*") / (4 * p.cell_docs)).alias("parts"))
+    shape = stored(parts.join(blocks, "target"), "cells")
+
+    def dealt_to(c: str, n: str) -> Column:
+        return F.pmod(F.xxhash64(F.lit("cell"), F.col(c)), F.col(n))
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+    signed = members.select("rep", bits.alias("bits"))
+    held = members.select("rep", F.col("c").alias("target"), bits.alias("bits")).join(shape, "target").withColumn("block", dealt_to("rep", "blocks")).withColumn("part", every("parts"))
+    asking = asks.join(shape, "target").join(signed, "rep").withColumn("part", dealt_to("rep", "parts")).withColumn("block", every("blocks"))
+    cell = ["target", "block", "part"]
+    both = held.select(*cell, F.lit(0).alias("kind"), "rep", "bits").unionByName(asking.select(*cell, F.lit(1).alias("kind"), "rep", "bits"))
+    sent = both.join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    dealt = sent.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *cell).sortWithinPartitions(*cell, "kind")
+    most = most_different_bits(p)
+
+    def run(batches):
+        now, ids, signs, here, stacked = None, [], [], [], None
+        for batch in batches:
+            found = []
+            for *at, kind, rep, x, s in zip(*(batch.column(k).to_pylist() for k in (*cell, "kind", "rep", "bits", "shingles")), strict=True):
+                if at != now:
+                    now, ids, signs, here, stacked = at, [], [], [], None
+                mine = np.frombuffer(s, np.uint64)
+                if not kind:
+                    ids.append(rep), signs.append(x), here.append(mine)
+                    continue
+                if stacked is None:
+                    stacked = np.array(signs, np.int64).view(np.uint64)
+                differ = np.bitwise_count(stacked ^ np.array(x, np.int64).view(np.uint64)).sum(axis=1)
+                for k in np.flatnonzero(differ <= most):
+                    n, m = len(mine), len(here[k])
+                    if 100 * min(n, m) >= p.percent * max(n, m) and similar(mine, here[k], p.percent):
+                        found.append((rep, ids[k]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """Is the Jaccard similarity of two sorted sets at least ``percent`` hundredths?"""
     both = np.sort(np.concatenate([x, y]), kind="stable")
@@ -280,37 +345,29 @@ def classes(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_
     spread = stored(spread.join(shared, "bucket").select("rep", "n", "bucket").join(signed, ["rep", "n"]), "buckets")
     texts = rows.join(spread.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sets = stored(shingle_sets(texts, p).dropDuplicates(["doc_id", "shingles"]), "sets")
-    n_classes = same.count()
-
-    tried, of, turn, last = None, None, 0, False
-    while not last:
+    tried, of = None, None
+    for turn in range(p.rounds + 1):
         if of is None:
             open_ = spread.withColumn("c", F.col("rep"))
         else:
             here = spread.join(of.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
-            # buckets whose classes lie in several components, and how many pairs those make
-            sizes = here.groupBy("bucket", "c").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.count("*").alias("comps"), ((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs")).where("comps > 1")
-            open_ = stored(here.join(sizes, "bucket"), "open")
-            told = open_.select("bucket", "pairs").distinct().agg(F.sum("pairs")).first()[0]
-            if not told:
-                break
-            last = turn > p.rounds or told <= p.all_pairs_per_class * p.bands * n_classes
-        if last:
-            other = open_.select("bucket", *(F.col(c).alias(f"{c}_b") for c in ("rep", "n", "c", *bit_columns(p))))
-            pairs = open_.join(other, "bucket").where("rep < rep_b")
+            several = here.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket")
+            open_ = stored(here.join(several, "bucket"), "open")
+        if turn == p.rounds:
+            asks = stored(asked_components(open_, p), "asks")
+            members = open_.select("rep", "c", *bit_columns(p)).distinct()
+            good = stored(confirmed_members(asks, members, sets, p), "links")
         else:
             pairs = open_.join(open_.groupBy("bucket").agg(centre(p, turn, "c")).select("bucket", "m.*"), "bucket")
-        pairs = pairs.where("c <> c_b").where(may_link(p)).select(F.greatest("rep", "rep_b").alias("a"), F.least("rep", "rep_b").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        good = stored(confirmed(pairs, sets, p), "links")
+            pairs = pairs.where("c <> c_b").where(may_link(p)).select(F.greatest("rep", "rep_b").alias("a"), F.least("rep", "rep_b").alias("b")).distinct()
+            if tried is not None:
+                pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            pairs = stored(pairs, "pairs")
+            tried = pairs if tried is None else tried.unionByName(pairs)
+            good = stored(confirmed(pairs, sets, p), "links")
         # components of the links so far are one row per id, to which the new links are added
         links = good if of is None else good.unionByName(of.select(F.col("id").alias("a"), F.col("component").alias("b")))
         of = components(links, p.edges_per_task)
-        turn += 1
-    of = of if of is not None else same.select(F.col("rep").alias("id"), F.col("rep").alias("component")).limit(0)
     whole = same.join(of, same["rep"] == of["id"], "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
     out = sketched.select("doc_id", "n_shingles", "k1", "k2").join(whole, ["k1", "k2"], "left")
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)

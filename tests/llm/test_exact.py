@@ -105,12 +105,13 @@ def test_near_duplicates_are_exact(spark, words):
 
 
 def test_rounds_of_centres_lose_nothing(spark):
-    """With no all-pairs step before the last round, the rounds of centres find the same components."""
+    """Any number of rounds of centres, and small cells, find the same components."""
     texts = near_copies(20, 9)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want, _ = brute_components(texts, 2)
-    got = minhash.classes(docs, minhash.Params(words=2, all_pairs_per_class=0.0, rounds=3)).collect()
-    assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(want))
+    for rounds, cell in ((0, 500), (1, 3), (3, 7)):
+        got = minhash.classes(docs, minhash.Params(words=2, rounds=rounds, cell_docs=cell, edges_per_task=50)).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(want))
 
 
 def test_components_of_a_long_path(spark):
