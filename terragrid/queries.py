@@ -254,43 +254,52 @@ def region_distances(spark, d):
 
 # Rasters
 
+#: The grid has this many rows at least.
+ROWS = 20
 GRID = "g AS (SELECT lon_idx, lat_idx, min(region) AS region, min(land) AS land, sum(popdens) AS value FROM v_pixel WHERE lat_idx <= 20 GROUP BY ALL)"
 
 
-def small_grid(spark, d):
-    return view(spark, d, "v_pixel").where("lat_idx <= 20").groupBy("lon_idx", "lat_idx").agg(F.min("region").alias("region"), F.min("land").alias("land"), F.sum("popdens").alias("value"))
+def whole_grid(spark, d):
+    """Every pixel of the table; the SQL above stops at row 20, so above 2,000 parts it says less."""
+    return view(spark, d, "v_pixel").groupBy("lon_idx", "lat_idx").agg(F.min("region").alias("region"), F.min("land").alias("land"), F.sum("popdens").alias("value"))
+
+
+def height(g: DataFrame) -> int:
+    """Rows of a grid."""
+    return max(ROWS, g.agg(F.max("lat_idx")).first()[0] or 0)
 
 
 @query(f"WITH {GRID}, h AS (SELECT * FROM g WHERE region > 0 AND region <> 32767) SELECT DISTINCT a.region AS r1, b.region AS r2 FROM h a JOIN h b ON abs(a.lon_idx - b.lon_idx) <= 1 AND abs(a.lat_idx - b.lat_idx) <= 1", "v_pixel")
 def region_adjacency(spark, d):
     """Regions that touch."""
-    return raster.adjacency(small_grid(spark, d))
+    return raster.adjacency(whole_grid(spark, d))
 
 
 @query(f"WITH {GRID} SELECT (lon_idx - 1) // 3 + 1 AS lon_idx, (lat_idx - 1) // 3 + 1 AS lat_idx, sum(value) AS value FROM g WHERE lon_idx <= 99 AND lat_idx <= 18 GROUP BY ALL", "v_pixel")
 def block_sums(spark, d):
     """Sums over blocks."""
-    return raster.block_sum(small_grid(spark, d), 3, 100, 20)
+    g = whole_grid(spark, d)
+    return raster.block_sum(g, 3, 100, height(g))
 
 
 @query(f"WITH {GRID}, c AS (SELECT CAST((lon_idx - 1) // 10 AS BIGINT) AS bi, CAST((lat_idx - 1) // 5 AS BIGINT) AS bj, land, count(*) AS n FROM g GROUP BY ALL) SELECT bi, bj, land FROM c QUALIFY row_number() OVER (PARTITION BY bi, bj ORDER BY n DESC, land) = 1", "v_pixel")
 def mode_resample(spark, d):
     """Most frequent code of each coarse cell."""
-    g = small_grid(spark, d).select(F.floor((F.col("lon_idx") - 1) / 10).alias("bi"), F.floor((F.col("lat_idx") - 1) / 5).alias("bj"), "land")
+    g = whole_grid(spark, d).select(F.floor((F.col("lon_idx") - 1) / 10).alias("bi"), F.floor((F.col("lat_idx") - 1) / 5).alias("bj"), "land")
     return raster.mode_by(g, ["bi", "bj"], "land")
 
 
 @query(f"WITH {GRID} SELECT region, CAST((8 * CAST(lon_idx AS BIGINT) + 224) // 225 AS INT) AS era_lon, sum(value) AS population FROM g GROUP BY ALL", "v_pixel")
 def population_to_coarse(spark, d):
     """Population by region and coarse cell."""
-    g = small_grid(spark, d).withColumn("era_lon", grid.coarse_index(F.col("lon_idx"))).withColumnRenamed("value", "population")
+    g = whole_grid(spark, d).withColumn("era_lon", grid.coarse_index(F.col("lon_idx"))).withColumnRenamed("value", "population")
     return raster.zonal_sum(g, ["region", "era_lon"], "population")
 
 
 @query(f"WITH {GRID} SELECT a.lon_idx, a.lat_idx, sum(b.value) / 4 AS value FROM g a JOIN g b ON b.lon_idx - a.lon_idx BETWEEN 0 AND 1 AND b.lat_idx - a.lat_idx BETWEEN 0 AND 1 GROUP BY ALL HAVING count(*) = 4", "v_pixel")
 def half_cell_shift(spark, d):
     """Mean of four neighbours."""
-    return raster.half_cell_shift(small_grid(spark, d).select("lon_idx", "lat_idx", "value"))
+    return raster.half_cell_shift(whole_grid(spark, d).select("lon_idx", "lat_idx", "value"))
 
 
 DISK = "k(a, b, w) AS (VALUES " + ", ".join(f"({a}, {b}, CAST({w!r} AS DOUBLE))" for a, b, w in raster.offsets(raster.disk_kernel(2.3))) + ")"
@@ -299,19 +308,22 @@ DISK = "k(a, b, w) AS (VALUES " + ", ".join(f"({a}, {b}, CAST({w!r} AS DOUBLE))"
 @query(f"WITH {GRID}, {DISK} SELECT g.lon_idx, g.lat_idx, sum(coalesce(n.value, 0) * w) AS value FROM g CROSS JOIN k LEFT JOIN g n ON n.lon_idx = least(greatest(g.lon_idx + a, 1), 100) AND n.lat_idx = least(greatest(g.lat_idx + b, 1), 20) GROUP BY ALL", "v_pixel")
 def disk_mean_joins(spark, d):
     """Disk mean by shifted joins."""
-    return raster.disk_mean_small(small_grid(spark, d).select("lon_idx", "lat_idx", "value"), 2.3, 100, 20)
+    g = whole_grid(spark, d).select("lon_idx", "lat_idx", "value")
+    return raster.disk_mean_small(g, 2.3, 100, height(g))
 
 
 @query(f"WITH {GRID}, {DISK} SELECT g.lon_idx, g.lat_idx, sum(coalesce(n.value, 0) * w) AS value FROM g CROSS JOIN k LEFT JOIN g n ON n.lon_idx = least(greatest(g.lon_idx + a, 1), 100) AND n.lat_idx = least(greatest(g.lat_idx + b, 1), 20) GROUP BY ALL", "v_pixel")
 def disk_mean_tiles(spark, d):
     """The same on tiles with a halo."""
-    return raster.disk_mean(small_grid(spark, d).select("lon_idx", "lat_idx", "value"), 2.3, 100, 20, tile=16)
+    g = whole_grid(spark, d).select("lon_idx", "lat_idx", "value")
+    return raster.disk_mean(g, 2.3, 100, height(g), tile=16)
 
 
 @query(f"WITH {GRID} SELECT a.lon_idx, a.lat_idx, CASE WHEN any_value(a.land) = 0 THEN max(b.land) ELSE any_value(a.land) END AS land FROM g a JOIN g b ON abs(a.lon_idx - b.lon_idx) <= 1 AND abs(a.lat_idx - b.lat_idx) <= 1 GROUP BY ALL", "v_pixel")
 def fill_from_neighbours(spark, d):
     """Zero pixels take the largest value around."""
-    return raster.fill_zeros_from_neighbours(small_grid(spark, d).select("lon_idx", "lat_idx", "land"), 100, 20, "land").select("lon_idx", "lat_idx", F.col("land").cast("int").alias("land"))
+    g = whole_grid(spark, d).select("lon_idx", "lat_idx", "land")
+    return raster.fill_zeros_from_neighbours(g, 100, height(g), "land").select("lon_idx", "lat_idx", F.col("land").cast("int").alias("land"))
 
 
 SEEDS = f"{GRID}, s AS (SELECT lon_idx, lat_idx, CASE WHEN land % 7 = 0 THEN region ELSE 0 END AS region FROM g)"
@@ -320,7 +332,7 @@ SEEDS = f"{GRID}, s AS (SELECT lon_idx, lat_idx, CASE WHEN land % 7 = 0 THEN reg
 @query(f"WITH {SEEDS} SELECT a.lon_idx, a.lat_idx, arg_min(b.region, (CAST((a.lon_idx - b.lon_idx) AS BIGINT) * (a.lon_idx - b.lon_idx) + (a.lat_idx - b.lat_idx) * (a.lat_idx - b.lat_idx)) * 1000000 + b.region) AS region FROM s a, s b WHERE b.region > 0 GROUP BY ALL", "v_pixel")
 def nearest_fill(spark, d):
     """Every pixel takes the nearest region."""
-    g = small_grid(spark, d).select("lon_idx", "lat_idx", F.when(F.col("land") % 7 == 0, F.col("region")).otherwise(0).alias("region"))
+    g = whole_grid(spark, d).select("lon_idx", "lat_idx", F.when(F.col("land") % 7 == 0, F.col("region")).otherwise(0).alias("region"))
     return raster.nearest_fill(g)
 
 
@@ -328,7 +340,7 @@ def nearest_fill(spark, d):
 def shore_split(spark, d):
     """E5, K3: land and sea of a territory."""
     on, off = raster.split_shore(F.col("region"), F.col("land"))
-    return small_grid(spark, d).select("lon_idx", "lat_idx", on.alias("onshore"), off.alias("offshore"))
+    return whole_grid(spark, d).select("lon_idx", "lat_idx", on.alias("onshore"), off.alias("offshore"))
 
 
 @query("SELECT lon_idx, lat_idx, max(protected) AS protected FROM v_pixel GROUP BY ALL", "v_pixel")
@@ -347,7 +359,7 @@ def gdp_per_capita(spark, d):
 @query(f"WITH {GRID}, c AS (SELECT (lon_idx - 1) // 4 + 1 AS ci, (lat_idx - 1) // 4 + 1 AS cj, max(land) AS k FROM g GROUP BY ALL) SELECT g.lon_idx, g.lat_idx, c.k * g.value AS spread FROM g JOIN c ON (g.lon_idx - 1) // 4 + 1 = c.ci AND (g.lat_idx - 1) // 4 + 1 = c.cj", "v_pixel")
 def spread_to_fine(spark, d):
     """A coarse value on fine pixels."""
-    g = small_grid(spark, d)
+    g = whole_grid(spark, d)
     coarse = g.groupBy((F.floor((F.col("lon_idx") - 1) / 4) + 1).cast("int").alias("lon_idx"), (F.floor((F.col("lat_idx") - 1) / 4) + 1).cast("int").alias("lat_idx")).agg(F.max("land").alias("k"))
     return raster.spread_to_fine(coarse, g, 4, "k", "value", "spread").select("lon_idx", "lat_idx", "spread")
 
@@ -355,13 +367,14 @@ def spread_to_fine(spark, d):
 @query()
 def bilinear_resample(spark, d):
     """Interpolation to twice the resolution; tested against numpy."""
-    return raster.bilinear(small_grid(spark, d).select("lon_idx", "lat_idx", "value"), 2, 100, 20)
+    g = whole_grid(spark, d).select("lon_idx", "lat_idx", "value")
+    return raster.bilinear(g, 2, 100, height(g))
 
 
 @query()
 def population_centres(spark, d):
     """Greedy centres; tested against brute force."""
-    return raster.population_centres(small_grid(spark, d).where("region > 0").withColumnRenamed("value", "population"), 3, 3.3)
+    return raster.population_centres(whole_grid(spark, d).where("region > 0").withColumnRenamed("value", "population"), 3, 3.3)
 
 
 # Regions and spatial joins
