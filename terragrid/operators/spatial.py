@@ -70,12 +70,17 @@ def degrees_apart_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) ->
     return 111.0 * F.sqrt(F.pow(lon1 - lon2, 2) + F.pow(lat1 - lat2, 2))
 
 
+def places(sites: DataFrame, site_col: str) -> DataFrame:
+    """Sites of equal place once, under their least id: the only one that can be nearest."""
+    return sites.groupBy(F.col("lon").alias("x"), F.col("lat").alias("y")).agg(F.min(site_col).alias(site_col))
+
+
 def nearest_few(points: DataFrame, sites: DataFrame, id_col: str, site_col: str) -> DataFrame:
-    """Nearest of a checked, small number of sites to each point; the least id of a tie.
+    """Nearest of sites at a checked, small number of places to each point; the least id of a tie.
 
     The sites travel as one sorted array to every task, so no pairs are written anywhere.
     """
-    one = few(sites.select(site_col, F.col("lon").alias("x"), F.col("lat").alias("y"))).agg(F.array_sort(F.collect_list(F.struct(F.col(site_col).alias("id"), "x", "y"))).alias("sites"))
+    one = few(places(sites, site_col)).agg(F.array_sort(F.collect_list(F.struct(F.col(site_col).alias("id"), "x", "y"))).alias("sites"))
     near = F.array_min(F.transform("sites", lambda s: F.struct(degrees_apart_km(F.col("lon"), F.col("lat"), s.x, s.y).alias("km"), s.id.alias("id"))))
     return points.crossJoin(F.broadcast(one)).select(*points.columns, near.alias("n")).select(*points.columns, F.col("n.id").alias(site_col), F.col("n.km").alias("km"))
 
@@ -84,7 +89,7 @@ def nearest_within(points: DataFrame, sites: DataFrame, id_col: str, site_col: s
     """Nearest site within ``most`` degrees of each point, else null, for any number of sites: sites are
     copied to the nine cells around theirs."""
     shift = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
-    spread = sites.select(site_col, F.col("lon").alias("x"), F.col("lat").alias("y"), shift.alias("a")).withColumn("b", shift)
+    spread = places(sites, site_col).select(site_col, "x", "y", shift.alias("a")).withColumn("b", shift)
     spread = spread.withColumn("ci", F.floor(F.col("x") / most) + F.col("a")).withColumn("cj", F.floor(F.col("y") / most) + F.col("b"))
     at = points.select(id_col, "lon", "lat").withColumn("ci", F.floor(F.col("lon") / most)).withColumn("cj", F.floor(F.col("lat") / most))
     d2 = F.pow(F.col("lon") - F.col("x"), 2) + F.pow(F.col("lat") - F.col("y"), 2)

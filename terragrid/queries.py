@@ -29,6 +29,12 @@ def query(oracle: str | None = None, *views: str):
     return add
 
 
+def all_sites(spark: SparkSession, d: str) -> DataFrame:
+    """Every customer as a site; v_site, which the SQL shares, has a tenth of them."""
+    k = F.col("c_custkey")
+    return view(spark, d, "customer").select(k.alias("site_id"), (k * 71 % 360 - 179.25).cast("double").alias("lon"), (k * 29 % 180 - 89.25).cast("double").alias("lat"), F.col("c_nationkey").alias("country"))
+
+
 def pixels(spark: SparkSession, d: str) -> DataFrame:
     """Pixels with coordinates, area and masks; the disk mean of grid access is the table's own column."""
     p = view(spark, d, "v_pixel")
@@ -203,8 +209,18 @@ def ten_year_mean(spark, d):
  cos(radians(lat)) * pow(2 * pi() * 6371.0 / 360 * 0.25, 2) AS area, (floor((lon + 180) / 0.25) + 0.5) * 0.25 - 180 AS centre FROM v_site""", "v_site")
 def grid_index(spark, d):
     """Pixel, its centre and its area."""
+    return indexed(view(spark, d, "v_site"))
+
+
+@query()
+def grid_index_all(spark, d):
+    """The same of every customer; tested against brute force."""
+    return indexed(all_sites(spark, d))
+
+
+def indexed(sites):
     i = grid.lon_to_row(F.col("lon"), 0.25)
-    return view(spark, d, "v_site").select("site_id", i.alias("lon_idx"), grid.lat_to_col(F.col("lat"), 0.25).alias("lat_idx"), grid.cell_area_km2(F.col("lat"), 0.25).alias("area"), grid.row_to_lon(i, 0.25).alias("centre"))
+    return sites.select("site_id", i.alias("lon_idx"), grid.lat_to_col(F.col("lat"), 0.25).alias("lat_idx"), grid.cell_area_km2(F.col("lat"), 0.25).alias("area"), grid.row_to_lon(i, 0.25).alias("centre"))
 
 
 @query("SELECT pixel_id, CAST((8 * CAST(lon_idx AS BIGINT) + 224) // 225 AS INT) AS era_lon, CAST((8 * CAST(lat_idx AS BIGINT) + 224) // 225 AS INT) AS era_lat FROM v_pixel", "v_pixel")
@@ -477,12 +493,24 @@ def nearest_site(spark, d):
     return spatial.nearest_few(view(spark, d, "v_plant"), view(spark, d, "v_site").select("site_id", "lon", "lat"), "plant_id", "site_id").select("plant_id", "site_id", "km")
 
 
+@query()
+def nearest_site_all(spark, d):
+    """The same among all customers; tested against brute force."""
+    return spatial.nearest_few(view(spark, d, "v_plant"), all_sites(spark, d), "plant_id", "site_id").select("plant_id", "site_id", "km")
+
+
 @query("WITH c AS (SELECT p.plant_id, s.site_id, pow(p.lon - s.lon, 2) + pow(p.lat - s.lat, 2) AS d2 FROM v_plant p JOIN v_site s ON pow(p.lon - s.lon, 2) + pow(p.lat - s.lat, 2) < 25.0) SELECT plant_id, b.site_id, sqrt(b.d2) AS degrees FROM v_plant LEFT JOIN (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY plant_id ORDER BY d2, site_id) = 1) b USING (plant_id)", "v_plant", "v_site")
 def nearest_site_within(spark, d):
     """nearest site within a cut-off, by cells."""
     return spatial.nearest_within(view(spark, d, "v_plant"), view(spark, d, "v_site"), "plant_id", "site_id", 5.0).select("plant_id", "site_id", "degrees")
 
 
+@query()
+def nearest_site_within_all(spark, d):
+    """The same among all customers; tested against brute force."""
+    return spatial.nearest_within(view(spark, d, "v_plant"), all_sites(spark, d), "plant_id", "site_id", 5.0).select("plant_id", "site_id", "degrees")
+
+
 @query("""WITH p AS (SELECT plant_id, lon, lat FROM v_plant) SELECT plant_id AS point_id,
  CASE WHEN lon BETWEEN -100 AND 20 AND lat BETWEEN -60 AND 0 THEN 1 WHEN lat > 0 AND lat < 80 AND lon > -170 AND lon < 170 AND lat < 80 - abs(lon) * 80 / 170 THEN 2 ELSE 0 END AS poly_id FROM p""", "v_plant")
 def polygon_join(spark, d):
@@ -669,10 +697,10 @@ def hydro_inflow(spark, d):
 NATIONAL = "nat AS (SELECT n_nationkey AS country, CAST(500 + n_nationkey * 100 AS DOUBLE) AS national_mw, CAST(1000 + n_nationkey * 200 AS DOUBLE) AS generation_gwh FROM nation)"
 
 
-def existing_hydro(spark, d):
+def existing_hydro(spark, d, sites=None):
     plants = view(spark, d, "v_plant").withColumn("region", (1 + F.col("country") % 4).cast("int"))
     k = F.col("site_id")
-    sites = view(spark, d, "v_site").select("site_id", "lon", "lat", F.array(*[(1.0 + F.pmod(k * (m + 2), F.lit(11))).cast("double") for m in range(12)]).alias("profile"))
+    sites = (sites or view(spark, d, "v_site")).select("site_id", "lon", "lat", F.array(*[(1.0 + F.pmod(k * (m + 2), F.lit(11))).cast("double") for m in range(12)]).alias("profile"))
     national = view(spark, d, "nation").select(F.col("n_nationkey").alias("country"), (500 + F.col("n_nationkey") * 100).cast("double").alias("capacity_mw"), (1000 + F.col("n_nationkey") * 200).cast("double").alias("generation_gwh"))
     return hydro.existing(plants, sites, national)
 
@@ -699,6 +727,12 @@ def hydro_existing_inflow(spark, d):
     return existing_hydro(spark, d)[1]
 
 
+@query()
+def hydro_existing_inflow_all(spark, d):
+    """The same with the profiles of all customers; tested against brute force."""
+    return existing_hydro(spark, d, all_sites(spark, d))[1]
+
+
 # Joins, windows and reshaping
 
 
@@ -714,8 +748,18 @@ def feature_joins(spark, d):
 @query("WITH a AS (SELECT n_nationkey AS bus, count(c_custkey) AS customers FROM nation JOIN customer ON n_nationkey = c_nationkey WHERE c_custkey % 2 = 0 GROUP BY 1), b AS (SELECT s_nationkey AS bus, sum(s_acctbal) AS balance FROM supplier WHERE s_nationkey < 20 GROUP BY 1) SELECT coalesce(a.bus, b.bus) AS bus, coalesce(customers, 0) AS customers, coalesce(balance, 0.0) AS balance FROM a FULL JOIN b ON a.bus = b.bus")
 def bus_outer_join(spark, d):
     """Two aggregates, whichever is there."""
-    a = view(spark, d, "customer").where("c_custkey % 2 = 0").groupBy(F.col("c_nationkey").alias("bus")).agg(F.count("*").alias("customers"))
-    b = view(spark, d, "supplier").where("s_nationkey < 20").groupBy(F.col("s_nationkey").alias("bus")).agg(F.sum("s_acctbal").alias("balance"))
+    return both_buses(view(spark, d, "customer").where("c_custkey % 2 = 0"), view(spark, d, "supplier").where("s_nationkey < 20"))
+
+
+@query()
+def bus_outer_join_all(spark, d):
+    """The same of all customers and suppliers; tested against brute force."""
+    return both_buses(view(spark, d, "customer"), view(spark, d, "supplier"))
+
+
+def both_buses(customers, suppliers):
+    a = customers.groupBy(F.col("c_nationkey").alias("bus")).agg(F.count("*").alias("customers"))
+    b = suppliers.groupBy(F.col("s_nationkey").alias("bus")).agg(F.sum("s_acctbal").alias("balance"))
     return a.join(b, "bus", "full").select("bus", F.coalesce("customers", F.lit(0)).alias("customers"), F.coalesce("balance", F.lit(0.0)).alias("balance"))
 
 

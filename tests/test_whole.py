@@ -92,3 +92,55 @@ def test_regions_of_all_rows(spark, cells):
     best = cells[cells.region > 0].reset_index().sort_values(["value", "lon_idx", "lat_idx"], ascending=[False, True, True]).groupby("region").first()
     got = {r["region"]: (r["lon_idx"], r["lat_idx"]) for r in queries.population_centres(spark, SF).where("centre = 1").collect()}
     assert got == {r: (row.lon_idx, row.lat_idx) for r, row in best.iterrows()}
+
+
+MID = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def places(spark):
+    """Every customer and every plant in pandas."""
+    c = spark.read.parquet(f"{MID}/customer.parquet").toPandas()
+    c["lon"], c["lat"] = c.c_custkey * 71 % 360 - 179.25, c.c_custkey * 29 % 180 - 89.25
+    return c.sort_values("c_custkey").reset_index(drop=True), view(spark, MID, "v_plant").toPandas().sort_values("plant_id")
+
+
+def test_nearest_of_all_customers(spark, places):
+    sites, plants = places
+    d2 = (plants.lon.to_numpy()[:, None] - sites.lon.to_numpy()) ** 2 + (plants.lat.to_numpy()[:, None] - sites.lat.to_numpy()) ** 2
+    near, least = sites.c_custkey.to_numpy()[d2.argmin(axis=1)], d2.min(axis=1)
+    got = {r["plant_id"]: (r["site_id"], r["km"]) for r in queries.nearest_site_all(spark, MID).collect()}
+    assert got == {p: (s, pytest.approx(111 * x**0.5)) for p, s, x in zip(plants.plant_id, near, least)}
+    got = {r["plant_id"]: (r["site_id"], r["degrees"]) for r in queries.nearest_site_within_all(spark, MID).collect()}
+    assert got == {p: (s, pytest.approx(x**0.5)) if x < 25 else (None, None) for p, s, x in zip(plants.plant_id, near, least)}
+    assert any(s % 10 for s in near)
+
+
+def test_inflow_of_all_customers(spark, places):
+    sites, plants = places
+    days = np.array([31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31])
+    register = plants.groupby("country").capacity_mw.sum()
+    mw, energy = {}, {}
+    for p in plants.itertuples():
+        site = sites.c_custkey[((sites.lon - p.lon) ** 2 + (sites.lat - p.lat) ** 2).argmin()]
+        e = np.array([1.0 + site * (m + 2) % 11 for m in range(12)]) * days
+        national = 500 + 100 * p.country
+        own = p.capacity_mw * national / register[p.country]
+        cf = (1000 + 200 * p.country) * 1000 / 8760 / national
+        r = 1 + p.country % 4
+        mw[r] = mw.get(r, 0) + own
+        energy[r] = energy.get(r, 0) + own * cf * e / e.sum() * 365 / days
+    want = {(r, m + 1): pytest.approx(energy[r][m] / mw[r]) for r in mw for m in range(12)}
+    assert {(r["region"], r["month"]): r["inflow_cf"] for r in queries.hydro_existing_inflow_all(spark, MID).collect()} == want
+
+
+def test_index_and_buses_of_all_customers(spark, places):
+    sites, _ = places
+    want = {(k, int((x + 180) // 0.25) + 1, min(int((90 - y) // 0.25) + 1, 720)) for k, x, y in zip(sites.c_custkey, sites.lon, sites.lat)}
+    assert {tuple(r) for r in queries.grid_index_all(spark, MID).select("site_id", "lon_idx", "lat_idx").collect()} == want
+    for sf in (MID, MID.replace("0.01", "0.001")):
+        c, s = (spark.read.parquet(f"{sf}/{t}.parquet").toPandas() for t in ("customer", "supplier"))
+        count, balance = c.groupby("c_nationkey").size(), s.groupby("s_nationkey").s_acctbal.sum()
+        got = {r["bus"]: (r["customers"], float(r["balance"])) for r in queries.bus_outer_join_all(spark, sf).collect()}
+        assert got == {k: (count.get(k, 0), pytest.approx(float(balance.get(k, 0)))) for k in {*count.index, *balance.index}}
+    assert len(balance) < len(count)
