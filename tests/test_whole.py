@@ -144,3 +144,12 @@ def test_index_and_buses_of_all_customers(spark, places):
         got = {r["bus"]: (r["customers"], float(r["balance"])) for r in queries.bus_outer_join_all(spark, sf).collect()}
         assert got == {k: (count.get(k, 0), pytest.approx(float(balance.get(k, 0)))) for k in {*count.index, *balance.index}}
     assert len(balance) < len(count)
+
+
+def test_distances_of_all_plants(spark, places):
+    p = places[1]
+    k, y, x = p.plant_id.to_numpy(), np.radians(p.lat.to_numpy()), np.radians(p.lon.to_numpy())
+    h = np.sin((y - y[:, None]) / 2) ** 2 + np.cos(y) * np.cos(y[:, None]) * np.sin((x - x[:, None]) / 2) ** 2
+    km = 2 * 6371.0 * np.arcsin(np.sqrt(np.minimum(h, 1)))
+    got = {(r["r1"], r["r2"]): r["km"] for r in queries.region_distances(spark, MID).collect()}
+    assert got == {(k[i], k[j]): pytest.approx(km[i, j], abs=1e-3) for i in range(len(k)) for j in range(len(k))}
