@@ -526,7 +526,16 @@ def polygon_join(spark, d):
  SELECT s.site_id, count(n.pixel_id) FILTER (WHERE land > 0) AS onshore, count(n.pixel_id) FILTER (WHERE land = 0) AS offshore FROM (SELECT site_id FROM v_site WHERE site_id <= 400) s LEFT JOIN n ON s.site_id = n.site_id GROUP BY 1""", "v_site", "v_pixel")
 def service_areas(spark, d):
     """Sizes of the areas nearest to each site."""
-    sites = view(spark, d, "v_site").where("site_id <= 400").select("site_id", "lon", "lat")
+    return sized_areas(spark, d, view(spark, d, "v_site").where("site_id <= 400").select("site_id", "lon", "lat"))
+
+
+@query()
+def service_areas_all(spark, d):
+    """The same of all customers; tested against brute force."""
+    return sized_areas(spark, d, all_sites(spark, d))
+
+
+def sized_areas(spark, d, sites):
     px = view(spark, d, "v_pixel").select("pixel_id", "land", (F.col("pixel_id") % 360 - 179.6).cast("double").alias("lon"), (F.col("pixel_id") % 170 - 84.3).cast("double").alias("lat"))
     return spatial.area_sizes(spatial.service_areas(px, sites), sites)
 

@@ -153,3 +153,15 @@ def test_distances_of_all_plants(spark, places):
     km = 2 * 6371.0 * np.arcsin(np.sqrt(np.minimum(h, 1)))
     got = {(r["r1"], r["r2"]): r["km"] for r in queries.region_distances(spark, MID).collect()}
     assert got == {(k[i], k[j]): pytest.approx(km[i, j], abs=1e-3) for i in range(len(k)) for j in range(len(k))}
+
+
+def test_service_areas_of_all_customers(spark, places):
+    sites = places[0].drop_duplicates(["lon", "lat"])
+    px = view(spark, MID, "v_pixel").select("pixel_id", "land").toPandas()
+    want = {k: [0, 0] for k in places[0].c_custkey}
+    for i, land in zip(px.pixel_id, px.land):
+        x, y = i % 360 - 179.6, i % 170 - 84.3
+        km = np.round(111.0 * np.sqrt((x - sites.lon.to_numpy()) ** 2 + (y - sites.lat.to_numpy()) ** 2), 9)
+        want[sites.c_custkey.to_numpy()[km.argmin()]][0 if land > 0 else 1] += 1
+    got = {r["site_id"]: [r["onshore"], r["offshore"]] for r in queries.service_areas_all(spark, MID).collect()}
+    assert got == want and sum(map(sum, got.values())) == len(px)
