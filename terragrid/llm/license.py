@@ -1,7 +1,8 @@
 """License scans, in DataFrame operations only.
 
-Files are cut into sentences; a sentence, and the whole text of a licence file, is a sparse TF-IDF
-vector, and its cosine to each template says which licence it states.  A file without a notice of
+Files are cut into sentences, line by line and once more with the lines of a paragraph joined; a
+sentence, and the whole text of a licence file, is a sparse TF-IDF vector, and its cosine to each
+template says which licence it states.  A file without a notice of
 its own inherits from the nearest ancestor directory whose licence file states one: directories,
 not files, are joined with their ancestors' paths, and files then with their own directory.
 
@@ -43,6 +44,11 @@ LEAST = 0.7
 #: Words of a vector: letters and digits, with inner dots, hyphens and pluses.  Ends of sentences.
 WORD, END = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*", r"([.!?])[ \t\r\n]+"
 
+#: A line after which a paragraph is cut: it ends with a colon, or it is a copyright line.
+LAST = r"(?im)(?::[ \t]*|^[^a-z0-9\n]*(?:copyright|\(c\)|©)[^\n]*|all rights reserved\.?[ \t]*)$"
+#: Lines without letters and digits between paragraphs; a line feed inside of one, with a comment mark that is a word.
+GAP, INNER = r"\n[^\p{L}\p{N}]*\n", r"\n[ \t]*(?:(?i:rem|dnl)[ \t]+)?"
+
 
 def weights() -> tuple[dict[str, float], list[tuple[int, str, float]], float]:
     """Idf of every template term; (template, term, weight of a vector of length 1); idf of other words."""
@@ -92,6 +98,12 @@ def folder(path: Column) -> Column:
     return F.regexp_replace(path, "/?[^/]*$", "")
 
 
+def joined(text: Column) -> Column:
+    """Sentences of a text whose lines are joined within each paragraph; comment marks are no words."""
+    cut = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), LAST, "$0\n"), GAP, "\x01")
+    return F.split(F.regexp_replace(F.regexp_replace(cut, INNER, " "), END, "$1\x01"), "\x01")
+
+
 def stated(files: DataFrame) -> DataFrame:
     """``path, licence, score`` of the best notice of each file that states a licence."""
     spark = files.sparkSession
@@ -100,7 +112,7 @@ def stated(files: DataFrame) -> DataFrame:
     hinted = files.where(F.col("text").rlike(any_term))
     sentences = F.split(F.regexp_replace("text", END, "$1\n"), "\n")
     whole = F.when(F.regexp_extract("path", r"[^/]*$", 0).rlike(LICENCE_FILE), F.array("text")).otherwise(F.array().cast("array<string>"))
-    units = hinted.select("path", F.posexplode(F.concat(F.filter(sentences, lambda s: s.rlike(any_term)), whole)).alias("unit", "said"))
+    units = hinted.select("path", F.posexplode(F.concat(F.filter(F.concat(sentences, F.array_except(joined(F.col("text")), sentences)), lambda s: s.rlike(any_term)), whole)).alias("unit", "said"))
     tf = units.select("path", "unit", F.explode(F.regexp_extract_all(F.lower("said"), F.lit(WORD), 0)).alias("term")).where(~F.col("term").isin(STOP)).groupBy("path", "unit", "term").agg(F.count("*").cast("double").alias("tf"))
     weighed = tf.join(F.broadcast(idfs(spark)), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other)))
     norms = weighed.groupBy("path", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
