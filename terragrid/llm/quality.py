@@ -30,11 +30,10 @@ MAX_TOKENS, LONGEST_CACHED, CHUNK = 1 << 18, 32, 1 << 15
 
 @dataclass(frozen=True)
 class Params:
-    """``max_rows`` bounds the labelled rows that are learnt from (about that many, chosen by a fixed
-    hash of the id); of each, up to ``context_tokens`` tokens from all over the text give contexts."""
+    """``max_rows`` bounds the labelled rows that the network learns from (about that many, chosen by a
+    fixed hash of the id); word vectors come from every whole text that may be learnt from."""
 
     max_rows: int = 6000
-    context_tokens: int = 4000
     words: int = 1 << 14
     shapes: int = 1 << 10
     dim: int = 48
@@ -89,18 +88,44 @@ class Tokens:
         return np.array(out, np.int64).reshape(-1, 2)
 
 
-def contexts(buckets: np.ndarray, p: Params, into: np.ndarray) -> None:
-    """Add the index vectors of the neighbours to the vectors of the tokens."""
-    index = index_vectors(p)
-    own = index[buckets[:, 0]] + index[buckets[:, 1]]
-    around = np.zeros_like(own)
-    for k in range(1, p.window + 1):
-        around[k:] += own[:-k]
-        around[:-k] += own[k:]
-    for column in (0, 1):
-        order = np.argsort(buckets[:, column], kind="stable")
-        ids, starts = np.unique(buckets[order, column], return_index=True)
-        into[ids] += np.add.reduceat(around[order], starts, axis=0)
+class Contexts:
+    """For each bucket the sum of the index vectors of its neighbours, over whole texts; whole numbers, so exact."""
+
+    def __init__(self, p: Params) -> None:
+        n = p.words + p.shapes  # one more bucket, with no vector, stands between texts
+        self.p, self.gap = p, np.full((p.window, 2), n)
+        self.index = np.concatenate([index_vectors(p), np.zeros((1, p.dim), np.float32)])
+        self.sums, self.parts, self.own, self.n = np.zeros((n, p.dim)), [], [], 0
+
+    def add(self, buckets: np.ndarray) -> None:
+        """A text; a long one goes in chunks, each with its neighbours."""
+        w = self.p.window
+        for i in range(0, len(buckets), CHUNK):
+            low = max(i - w, 0)
+            part = buckets[low : i + CHUNK + w]
+            own = np.zeros(len(part) + w, bool)
+            own[i - low : i - low + min(CHUNK, len(buckets) - i)] = True
+            self.parts += [part, self.gap]
+            self.own.append(own)
+            self.n += len(own)
+            if self.n >= CHUNK:
+                self.flush()
+
+    def flush(self) -> None:
+        if not self.parts:
+            return
+        buckets, own = np.concatenate(self.parts), np.concatenate(self.own)
+        self.parts, self.own, self.n = [], [], 0
+        v = self.index[buckets[:, 0]] + self.index[buckets[:, 1]]
+        around = np.zeros_like(v)
+        for k in range(1, self.p.window + 1):
+            around[k:] += v[:-k]
+            around[:-k] += v[k:]
+        buckets, around = buckets[own], around[own]
+        for column in (0, 1):
+            order = np.argsort(buckets[:, column], kind="stable")
+            ids, starts = np.unique(buckets[order, column], return_index=True)
+            self.sums[ids] += np.add.reduceat(around[order], starts, axis=0)
 
 
 def pooled(buckets: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -164,8 +189,8 @@ def train(x: np.ndarray, y: np.ndarray, vectors: np.ndarray, p: Params) -> Model
 def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Learn from the labelled rows that ``may_learn`` (a condition on ``doc_id``) admits.
 
-    Word vectors: each of ``tasks`` tasks sums the contexts of its rows of the sample, and the sums
-    meet block by block, so the driver gets one table of fixed size.  Network: the driver gets the
+    Word vectors: each task sums the contexts of all its rows that may be learnt from, with or without
+    a label, and the sums meet block by block, so the driver gets one table of fixed size.  Network: the driver gets the
     features of at most about ``max_rows`` rows, a fifth of which only calibrates.  Null labels and
     null texts aren't learnt from; without any label every text scores 0.5.
     """
@@ -177,23 +202,21 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, p: Params = Param
     size, blocks = (p.words + p.shapes) * p.dim, 16
 
     def gather(batches):
-        tokens, sums = Tokens(p), np.zeros((p.words + p.shapes, p.dim), np.float32)
+        tokens, found = Tokens(p), Contexts(p)
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                b = tokens.buckets(text)
-                if len(b):
-                    step = max(1, -(-len(b) // p.context_tokens))
-                    for at in range(0, len(b), step * 500):
-                        contexts(b[at : at + 500], p, sums)
-        parts = np.array_split(sums.ravel(), blocks)
-        yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["block", "sums"])
+                found.add(tokens.buckets(text))
+        found.flush()
+        parts = np.array_split(found.sums.ravel().astype(np.int64), blocks)
+        yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in parts], pa.binary())], ["block", "sums"])
 
     def meet(t: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in t.column("sums").to_pylist())
+        total = sum(np.frombuffer(zlib.decompress(x.as_py()), np.int64) for x in t.column("sums"))
         return pa.table({"block": t.column("block").slice(0, 1), "sums": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
     schema = "block int, sums binary"
-    found = sample.select("text").mapInArrow(gather, schema).groupBy("block").applyInArrow(meet, schema).collect()
+    learnt = id_text(docs, id_col, text_col).where(may_learn & F.col("doc_id").isNotNull() & (F.col("text") != "")).select("text")
+    found = learnt.mapInArrow(gather, schema).groupBy("block").applyInArrow(meet, schema).collect()
     vectors = np.concatenate([np.frombuffer(r["sums"], np.float32) for r in sorted(found, key=lambda r: r["block"])]) if found else np.zeros(size, np.float32)
     vectors = vectors.reshape(-1, p.dim)
     # a token without contexts keeps no vector; the others get length 1
