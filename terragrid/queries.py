@@ -968,10 +968,8 @@ def demand_features(spark, d):
 @query()
 def demand_prediction(spark, d):
     """M2, M3: boosted trees; tested by their error."""
-    from .options import DemandOptions
-
     rows, zone = demand_rows(spark, d)
-    return demand.predicted(demand.train(rows, DemandOptions(rounds=5, depth=4, eta=0.3)), rows, zone, 744)
+    return demand.predicted(demand.train(rows), rows, zone, 744)
 
 
 @query()

@@ -8,6 +8,8 @@ import pytest
 from terragrid import queries
 from terragrid.fixtures import view
 from terragrid.operators import raster
+from terragrid.options import DemandOptions
+from terragrid.plans import demand
 
 SF = "/root/testdata/sf0.1"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
@@ -165,3 +167,15 @@ def test_service_areas_of_all_customers(spark, places):
         want[sites.c_custkey.to_numpy()[km.argmin()]][0 if land > 0 else 1] += 1
     got = {r["site_id"]: [r["onshore"], r["offshore"]] for r in queries.service_areas_all(spark, MID).collect()}
     assert got == want and sum(map(sum, got.values())) == len(px)
+
+
+def test_demand_prediction_by_the_whole_model(spark, monkeypatch):
+    models, train = [], demand.train
+
+    def seen(rows, o=DemandOptions(), label="normdemand"):
+        models.append(o)
+        return train(rows, DemandOptions(rounds=1, depth=1), label)
+
+    monkeypatch.setattr(demand, "train", seen)
+    queries.demand_prediction(spark, MID.replace("0.01", "0.001"))
+    assert models == [DemandOptions()]
