@@ -14,6 +14,7 @@ import hashlib
 import pickle
 import re
 import zlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import fixed_share, id_text, kept_rows, map_batches
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
-MAX_TOKENS, LONGEST_CACHED, CHUNK = 1 << 18, 32, 1 << 15
+MAX_TOKENS, LONGEST_CACHED, CHUNK, BLOCK = 1 << 18, 32, 1 << 13, 1 << 12
 
 
 @dataclass(frozen=True)
@@ -47,13 +48,21 @@ class Params:
     tasks: int = 6
 
 
-def shape(token: str) -> str:
-    """Case, digits and the first punctuation of a token, with its length up to four."""
-    if token[0].isalnum() or token[0] == "_":
-        kind = "d" if token.isdigit() else "U" if len(token) > 1 and token.isupper() else "T" if token[0].isupper() and token[1:].islower() else "l" if token.islower() else "m"
+@lru_cache(maxsize=1 << 12)
+def form(kind: str, n: int) -> int:
+    return zlib.crc32(f"{kind}{n}".encode())
+
+
+def shape(token: str) -> int:
+    """A hash of case, digits and the first punctuation of a token, with its length up to four."""
+    first = token[0]
+    if token.islower():
+        kind = "l"
+    elif first.isalnum() or first == "_":
+        kind = "d" if token.isdigit() else "U" if len(token) > 1 and token.isupper() else "T" if first.isupper() and token[1:].islower() else "m"
     else:
-        kind = token[0] + ("+" if len(token) > 1 and token.count(token[0]) == len(token) else "")
-    return f"{kind}{min(len(token), 4)}"
+        kind = first + ("+" if len(token) > 1 and token.count(first) == len(token) else "")
+    return form(kind, min(len(token), 4))
 
 
 @lru_cache(maxsize=2)
@@ -67,82 +76,107 @@ def index_vectors(p: Params) -> np.ndarray:
     return out
 
 
-class Tokens:
-    """Buckets of tokens, with a bounded cache."""
+class Tokens(dict):
+    """Word bucket and shape bucket of each token, packed into one integer; a bounded cache."""
 
     def __init__(self, p: Params) -> None:
-        self.p, self.known = p, {}
+        self.words, self.shapes = p.words, p.shapes
+
+    def __missing__(self, token: str) -> int:
+        k = zlib.crc32(token.lower().encode()) % self.words << 32 | self.words + shape(token) % self.shapes
+        if len(token) <= LONGEST_CACHED:
+            if len(self) >= MAX_TOKENS:
+                self.clear()
+            self[token] = k
+        return k
+
+    def chunks(self, text: str, around: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, slice]]:
+        """Buckets of the words and of the shapes of each chunk of tokens, with so many more ``around`` it, and where the chunk is."""
+        tokens = TOKEN.findall(text)
+        for i in range(0, len(tokens), CHUNK):
+            low = max(i - around, 0)
+            part = tokens[low : i + CHUNK + around]
+            k = np.fromiter(map(self.__getitem__, part), np.int64, len(part))
+            yield k >> 32, k & 0xFFFFFFFF, slice(i - low, min(i + CHUNK, len(tokens)) - low)
 
     def buckets(self, text: str) -> np.ndarray:
         """Word bucket and shape bucket of each token."""
-        known, out = self.known, []
-        for t in TOKEN.findall(text):
-            k = known.get(t)
-            if k is None:
-                k = (zlib.crc32(t.lower().encode()) % self.p.words, self.p.words + zlib.crc32(shape(t).encode()) % self.p.shapes)
-                if len(t) <= LONGEST_CACHED:
-                    if len(known) >= MAX_TOKENS:
-                        known.clear()
-                    known[t] = k
-            out.append(k)
-        return np.array(out, np.int64).reshape(-1, 2)
+        return np.concatenate([np.zeros((0, 2), np.int64), *(np.stack([w, s], axis=1) for w, s, _ in self.chunks(text))])
 
 
 class Contexts:
     """For each bucket the sum of the index vectors of its neighbours, over whole texts; whole numbers, so exact."""
 
     def __init__(self, p: Params) -> None:
-        n = p.words + p.shapes  # one more bucket, with no vector, stands between texts
-        self.p, self.gap = p, np.full((p.window, 2), n)
-        self.index = np.concatenate([index_vectors(p), np.zeros((1, p.dim), np.float32)])
-        self.sums, self.parts, self.own, self.n = np.zeros((n, p.dim)), [], [], 0
+        self.p, self.tokens, self.gap = p, Tokens(p), p.words + p.shapes
+        self.index = np.concatenate([index_vectors(p), np.zeros((1, p.dim), np.float32)])  # the last one stands between texts
+        self.sums, self.parts, self.n = np.zeros((self.gap + 1, p.dim)), [], 0
 
-    def add(self, buckets: np.ndarray) -> None:
+    def add(self, text: str) -> None:
         """A text; a long one goes in chunks, each with its neighbours."""
-        w = self.p.window
-        for i in range(0, len(buckets), CHUNK):
-            low = max(i - w, 0)
-            part = buckets[low : i + CHUNK + w]
-            own = np.zeros(len(part) + w, bool)
-            own[i - low : i - low + min(CHUNK, len(buckets) - i)] = True
-            self.parts += [part, self.gap]
-            self.own.append(own)
-            self.n += len(own)
+        for words, shapes, own in self.tokens.chunks(text, self.p.window):
+            self.parts.append((words, shapes, own))
+            self.n += len(words)
             if self.n >= CHUNK:
                 self.flush()
 
     def flush(self) -> None:
         if not self.parts:
             return
-        buckets, own = np.concatenate(self.parts), np.concatenate(self.own)
-        self.parts, self.own, self.n = [], [], 0
-        v = self.index[buckets[:, 0]] + self.index[buckets[:, 1]]
+        w, gap = self.p.window, np.full(self.p.window, self.gap)
+        words, shapes = (np.concatenate([x for part in self.parts for x in (part[k], gap)]) for k in (0, 1))
+        own, at = np.zeros(len(words), bool), 0
+        for x, _, mine in self.parts:
+            own[at + mine.start : at + mine.stop] = True
+            at += len(x) + w
+        self.parts, self.n = [], 0
+        v = self.index.take(words, axis=0) + self.index.take(shapes, axis=0)
         around = np.zeros_like(v)
-        for k in range(1, self.p.window + 1):
+        for k in range(1, w + 1):
             around[k:] += v[:-k]
             around[:-k] += v[k:]
-        buckets, around = buckets[own], around[own]
-        for column in (0, 1):
-            order = np.argsort(buckets[:, column], kind="stable")
-            ids, starts = np.unique(buckets[order, column], return_index=True)
-            self.sums[ids] += np.add.reduceat(around[order], starts, axis=0)
-
-
-def pooled(buckets: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Mean and spread of the vectors of a text's tokens, their agreement with the next, and the log of their number."""
-    n, d = len(buckets), vectors.shape[1]
+        around[~own] = 0
+        for ids in (words, shapes):
+            ids = ids.astype(np.uint16 if self.gap < 1 << 16 else np.int64)
+            order = np.argsort(ids, kind="stable")
+            ids = ids[order]
+            first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+            self.sums[ids[first]] += np.add.reduceat(around.take(order, axis=0), first, axis=0)
+
+    def total(self) -> np.ndarray:
+        self.flush()
+        return self.sums[:-1]
+
+
+def pool(rows: Iterable[np.ndarray], d: int) -> np.ndarray:
+    """Mean and spread of the rows of a text's tokens, their agreement with the next, and the log of their number."""
+    n, last = 0, None
     total, square, pairs = np.zeros(d), np.zeros(d), np.zeros(d)
-    for i in range(0, n, CHUNK):  # each chunk begins with the last token of the one before
-        v = vectors[buckets[max(i - 1, 0) : i + CHUNK, 0]] + vectors[buckets[max(i - 1, 0) : i + CHUNK, 1]]
-        pairs += np.einsum("ij,ij->j", v[1:], v[:-1], dtype=np.float64)
-        v = v[min(i, 1) :]
-        total += v.sum(axis=0, dtype=np.float64)
-        square += np.einsum("ij,ij->j", v, v, dtype=np.float64)
+    for chunk in rows:
+        for i in range(0, len(chunk), BLOCK):  # sums in single precision stay short
+            v = chunk[i : i + BLOCK]
+            total += np.ones(len(v), np.float32) @ v
+            square += np.einsum("ij,ij->j", v, v)
+            pairs += np.einsum("ij,ij->j", v[1:], v[:-1])
+            if last is not None:
+                pairs += last * v[0]
+            last = v[-1]
+            n += len(v)
     mean = total / max(n, 1)
     spread = np.sqrt(np.maximum(square / max(n, 1) - mean**2, 0))
     return np.concatenate([mean, spread, pairs / max(n - 1, 1), [np.log1p(n)]])
 
 
+def features(text: str, tokens: Tokens, vectors: np.ndarray) -> np.ndarray:
+    """Features of a whole text."""
+    return pool((vectors.take(w, axis=0) + vectors.take(s, axis=0) for w, s, _ in tokens.chunks(text)), vectors.shape[1])
+
+
+def pooled(buckets: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Features of a text whose tokens have these buckets."""
+    return pool((vectors[b[:, 0]] + vectors[b[:, 1]] for b in (buckets[i : i + CHUNK] for i in range(0, len(buckets), CHUNK))), vectors.shape[1])
+
+
 @dataclass
 class Model:
     params: Params
@@ -199,24 +233,27 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, p: Params = Param
     n = marks.count()
     marks = marks.where(fixed_share(F.col("doc_id"), p.max_rows / max(n, 1), "quality"))
     sample = id_text(docs, id_col, text_col).where(F.col("text") != "").join(marks, "doc_id").select("doc_id", "text", F.col("mark").alias("y"), fixed_share(F.col("doc_id"), 0.2, "fold").alias("fold")).repartition(p.tasks, "doc_id")
-    size, blocks = (p.words + p.shapes) * p.dim, 16
+    size, blocks = (p.words + p.shapes) * p.dim, 64
+    schema = "block int, sums binary"
 
-    def gather(batches):
-        tokens, found = Tokens(p), Contexts(p)
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Contexts(p)
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                found.add(tokens.buckets(text))
-        found.flush()
-        parts = np.array_split(found.sums.ravel().astype(np.int64), blocks)
+                found.add(text)
+        parts = np.array_split(found.total().ravel().astype(np.int64), blocks)
         yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in parts], pa.binary())], ["block", "sums"])
 
-    def meet(t: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(zlib.decompress(x.as_py()), np.int64) for x in t.column("sums"))
-        return pa.table({"block": t.column("block").slice(0, 1), "sums": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}  # sums stream past: one array per block, however many tasks there were
+        for batch in batches:
+            for block, packed in zip(batch.column("block").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+                x = np.frombuffer(zlib.decompress(packed), np.int64)
+                total[block] = total[block] + x if block in total else x
+        yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in total.values()], pa.binary())], ["block", "sums"])
 
-    schema = "block int, sums binary"
     learnt = id_text(docs, id_col, text_col).where(may_learn & F.col("doc_id").isNotNull() & (F.col("text") != "")).select("text")
-    found = learnt.mapInArrow(gather, schema).groupBy("block").applyInArrow(meet, schema).collect()
+    found = learnt.mapInArrow(gather, schema).repartition(p.tasks, "block").mapInArrow(meet, schema).collect()
     vectors = np.concatenate([np.frombuffer(r["sums"], np.float32) for r in sorted(found, key=lambda r: r["block"])]) if found else np.zeros(size, np.float32)
     vectors = vectors.reshape(-1, p.dim)
     # a token without contexts keeps no vector; the others get length 1
@@ -224,12 +261,12 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, p: Params = Param
 
     sent = spark.sparkContext.broadcast(vectors)
 
-    def features(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def pooled_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         tokens = Tokens(p)
-        x = [pooled(tokens.buckets(t), sent.value).tolist() for t in batch.column("text").to_pylist()]
+        x = [features(t, tokens, sent.value).tolist() for t in batch.column("text").to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), batch.column("fold"), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "y", "fold", "x"])
 
-    rows = sorted(map_batches(sample, features, "doc_id long, y int, fold boolean, x array<double>").collect(), key=lambda r: (r["doc_id"], r["x"]))
+    rows = sorted(map_batches(sample, pooled_rows, "doc_id long, y int, fold boolean, x array<double>").collect(), key=lambda r: (r["doc_id"], r["x"]))
     width = 3 * p.dim + 1
     if len({r["y"] > 0 for r in rows}) < 2:
         only = 0.0 if not rows else 30.0 if rows[0]["y"] > 0 else -30.0
@@ -261,7 +298,7 @@ def scorer(docs: DataFrame, model: Model):
             m = pickle.loads(sent.value)
             _live[tag] = m, Tokens(m.params)
         m, tokens = _live[tag]
-        return m.probability(np.array([pooled(tokens.buckets(t), m.vectors) for t in texts])) if texts else np.zeros(0)
+        return m.probability(np.array([features(t, tokens, m.vectors) for t in texts])) if texts else np.zeros(0)
 
     return run
 
