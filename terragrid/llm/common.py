@@ -21,20 +21,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch; with texts of 100 kB a batch stays under 100 MB.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch, whichever is reached first.
+BATCH_ROWS, BATCH_BYTES = 1000, 1 << 24
 
 _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; one of our own only where it is unset."""
+    """The folder named in ``spark.checkpoint.dir``; one of our own only where it is unset and all tasks
+    run on this machine.  Executors elsewhere couldn't share it, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     now = spark.sparkContext.getCheckpointDir()
     if now:
         return now.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="terragrid-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
@@ -69,10 +72,13 @@ def _forget_all() -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most BATCH_ROWS rows, so that a batch of long texts fits a Python worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Arrow batches of at most BATCH_ROWS rows and about BATCH_BYTES bytes, so that a batch of long texts fits a
+    Python worker.  The session keeps the smaller settings: plans read them when they run."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key).lower().removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
