@@ -1,18 +1,24 @@
 """Language identification.
 
-A word is the set of its hashed character n-grams, with marks at its ends; each bucket has an
-embedding; a text is the average over the n-grams of its words; a linear softmax gives the
-languages.  Embeddings and softmax are trained together by stochastic gradient descent in numpy, on
-a bounded sample of labelled rows.  A temperature and a rejection threshold are then set on rows
-that the training didn't see.
+A word (a run of letters and marks, in lower case) is the set of its character n-grams, with marks at
+its ends; each n-gram is hashed to a bucket that has an embedding; a text is the average over the
+n-grams of its words; a linear softmax gives the languages and one class more, for what is none of
+them.  Embeddings and softmax are trained together by stochastic gradient descent in numpy, on a
+bounded sample of labelled rows, on short pieces of them, and on texts in no language that are made
+from them.  On rows that the training didn't see, a temperature that falls with a text's length
+calibrates the probability, and a threshold bounds the share of false acceptances.
 """
 
 from __future__ import annotations
 
 import hashlib
 import pickle
+import sys
+import unicodedata
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,33 +26,69 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fixed_share, id_text, map_batches
+from .common import fixed_share, id_text, small_batches
 
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
-MAX_WORDS, LONGEST_CACHED, PIECE = 1 << 18, 32, 256
+LETTER = regex.compile(r"\p{L}")
+CHUNK, MANY = 1 << 16, 1 << 13
 UNKNOWN = "und"
 
+#: First and last code point of letters of scripts, from which texts in no language are made.
+SCRIPTS = [(0x3B1, 0x3C9), (0x430, 0x44F), (0x561, 0x586), (0x5D0, 0x5EA), (0x627, 0x64A), (0x905, 0x939), (0x985, 0x9A8), (0xE01, 0xE2E), (0x10D0, 0x10F0), (0x3041, 0x3093), (0x30A1, 0x30F3), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3)]
+
 
 @dataclass(frozen=True)
 class Params:
     """``rows_per_lang`` bounds the training sample: about that many rows of each language, chosen by
-    a fixed hash of the id, and ``max_langs`` (the most frequent) bounds the languages."""
+    a fixed hash of the id, each with its whole text.  ``false_accepts``: the share of texts in no
+    language that may be accepted in calibration.  ``doubt`` is spread over all classes in calibration, so
+    that a sample without errors doesn't give certainty."""
 
     rows_per_lang: int = 400
-    max_langs: int = 256
-    words_per_row: int = 200
     buckets: int = 1 << 15
     dim: int = 16
     longest_gram: int = 4
-    epochs: int = 3
+    epochs: int = 4
     rate: float = 0.5
-    accepted: float = 0.99
-
-
-def grams(word: str, p: Params) -> list[int]:
-    """Buckets of the n-grams of a lower-case word."""
-    s = f"<{word}>"
-    return [zlib.crc32(s[i : i + n].encode()) % p.buckets for n in range(1, p.longest_gram + 1) for i in range(len(s) - n + 1)]
+    false_accepts: float = 0.02
+    doubt: float = 0.005
+
+
+@lru_cache(maxsize=1)
+def in_words() -> np.ndarray:
+    """For each code point whether it is a letter or a mark."""
+    return np.fromiter((unicodedata.category(chr(c))[0] in "LM" for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+
+
+def grams(text: str, p: Params) -> Iterator[np.ndarray]:
+    """Buckets of the n-grams of all words, in chunks.  Whatever is no letter or mark is one and the same end mark;
+    an n-gram has it only as its first or last character."""
+    low = text.lower()
+    for i in range(0, len(low) + 1, CHUNK):  # place 0 is the mark before the text, place k its k-th character
+        m = min(CHUNK, len(low) + 1 - i)
+        code = np.frombuffer(low[max(i - 1, 0) : i + m + p.longest_gram - 2].encode("utf-32-le", "surrogatepass"), np.uint32)
+        c = np.zeros(m + p.longest_gram - 1, np.uint32)
+        here = c[1:] if i == 0 else c
+        here[: len(code)] = np.where(in_words()[code], code + np.uint32(1), np.uint32(0))
+        word, h, inner, out = c > 0, np.zeros(m, np.uint32), np.ones(m, bool), []
+        for n in range(1, p.longest_gram + 1):  # the n-grams that begin at these places
+            last = slice(n - 1, n - 1 + m)
+            h = h + c[last] * np.uint32(0x9E3779B1 * (2 * n + 1) & 0xFFFFFFFF)
+            if n > 2:
+                inner = inner & word[n - 2 : n - 2 + m]
+            x = h[word[:m] if n == 1 else word[:m] | word[last] if n == 2 else inner] + np.uint32(n * 0x85EBCA6B & 0xFFFFFFFF)
+            x = (x ^ (x >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+            x = (x ^ (x >> np.uint32(12))) * np.uint32(0x297A2D39)
+            out.append((x ^ (x >> np.uint32(15))) % np.uint32(p.buckets))
+        yield np.concatenate(out)
+
+
+def bag(text: str, p: Params) -> np.ndarray:
+    """How often each bucket occurs."""
+    out = np.zeros(p.buckets, np.int64)
+    for g in grams(text, p):
+        out += np.bincount(g, minlength=p.buckets)
+    return out
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -56,84 +98,122 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
+    """``out`` and ``bias`` have a column for each language, and a last one for what is none of them.  A text of n
+    n-grams has the temperature ``warm + warmer / sqrt(n)``."""
+
     params: Params
     langs: list[str]
     emb: np.ndarray
     out: np.ndarray
     bias: np.ndarray
-    temperature: float = 1.0
+    warm: float = 1.0
+    warmer: float = 0.0
     threshold: float = 0.0
 
     def __post_init__(self) -> None:
-        self.folded = (self.emb @ self.out).astype(np.float64)  # softmax inputs are linear in the n-grams
-        self.known: dict[str, int] = {}
-        self.rows = np.zeros((1024, len(self.langs) + 1))
-
-    def word(self, w: str) -> np.ndarray:
-        """Sum of the softmax inputs over the n-grams of a word, and their number; long words in pieces."""
-        g = [b for i in range(0, len(w), PIECE) for b in grams(w[i : i + PIECE], self.params)]
-        return np.append(self.folded[g].sum(axis=0), len(g))
-
-    def scores(self, text: str) -> np.ndarray | None:
-        """Softmax inputs of a whole text; None if it has no letter."""
-        words = WORD.findall(text.lower())
-        if not words:
-            return None
-        known, total, at = self.known, np.zeros(len(self.langs) + 1), []
-        for w in words:
-            k = known.get(w)
-            if k is None:
-                if len(w) > LONGEST_CACHED:
-                    total += self.word(w)
-                    continue
-                if len(known) >= MAX_WORDS:
-                    total += self.rows[at].sum(axis=0) if at else 0
-                    at.clear()
-                    known.clear()
-                k = known[w] = len(known)
-                if k >= len(self.rows):
-                    self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-                self.rows[k] = self.word(w)
-            at.append(k)
-        if at:
-            total += self.rows[at].sum(axis=0)
-        return total[:-1] / total[-1] + self.bias
-
-
-def train(rows: list[tuple[list[int], int]], langs: list[str], p: Params) -> Model:
-    """Stochastic gradient descent, one text a step."""
+        self.folded = self.emb.astype(np.float64) @ self.out.astype(np.float64)  # softmax inputs are linear in the n-grams
+
+    def inputs(self, text: str) -> tuple[np.ndarray, int]:
+        """Softmax inputs of a whole text, and the number of its n-grams."""
+        total, n = np.zeros(self.folded.shape[1]), 0
+        for g in grams(text, self.params):
+            total += np.bincount(g, minlength=len(self.folded)) @ self.folded if len(g) > MANY else self.folded.take(g, axis=0).sum(axis=0)
+            n += len(g)
+        return total / max(n, 1) + self.bias, n
+
+    def probabilities(self, x: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+        return softmax(x / np.expand_dims(self.warm + self.warmer / np.sqrt(np.maximum(n, 1)), -1))
+
+
+def pieces(text: str) -> Iterator[tuple[str, bool]]:
+    """A text to learn from and what is made from it: whether each is in the text's language.
+
+    Of the others, one has the text's letters exchanged for each other, one its letters shuffled, one random
+    letters, one random letters of another script, one a letter repeated.
+    """
+    rng = np.random.default_rng(zlib.crc32(text.encode()))
+    low = text.lower()
+    words = WORD.findall(low)
+    if not words:
+        return
+    yield text, True
+
+    def some(most: int) -> list[str]:
+        n = int(rng.integers(2, most + 1))
+        at = int(rng.integers(0, max(len(words) - n, 0) + 1))
+        return words[at : at + n]
+
+    def invented(letters: list[str]) -> str:
+        return " ".join("".join(rng.choice(letters, int(k))) for k in rng.integers(1, 10, int(rng.integers(1, 24))))
+
+    yield " ".join(some(6)), True
+    yield " ".join(some(30)), True
+    alphabet = sorted(set("".join(words)) | set("abcdefghijklmnopqrstuvwxyz" if low[:1000].upper() != low[:1000] else ""))
+    kind = int(rng.integers(0, 5))
+    yield " ".join(some(40)).translate({ord(a): str(b) for a, b in zip(alphabet, rng.permutation(alphabet), strict=True)}), False
+    if kind < 2:
+        mine = some(24)
+        mixed = iter(rng.permutation(list("".join(mine))))
+        yield " ".join("".join(next(mixed) for _ in w) for w in mine), False
+    if kind in (1, 2):
+        yield invented(alphabet), False
+    if kind in (2, 3):
+        low_, high = SCRIPTS[int(rng.integers(len(SCRIPTS)))]
+        yield invented([chr(int(x)) for x in rng.integers(low_, high + 1, 40)]), False
+    if kind > 2:
+        yield str(rng.choice(alphabet)) * int(rng.choice([1, 1, 2, 3, 5, 30, 600])), False
+
+
+def train(rows: list[tuple[np.ndarray, np.ndarray, int]], langs: list[str], p: Params) -> Model:
+    """Stochastic gradient descent, one text (buckets, counts, class) a step."""
     rng = np.random.default_rng(17)
     emb = rng.normal(0, 1 / p.dim, (p.buckets, p.dim))
-    out, bias = np.zeros((p.dim, len(langs))), np.zeros(len(langs))
-    bags = [np.unique(np.array(g), return_counts=True) for g, _ in rows]
-    share = [n / n.sum() for _, n in bags]
+    out, bias = np.zeros((p.dim, len(langs) + 1)), np.zeros(len(langs) + 1)
+    share = [n / n.sum() for _, n, _ in rows]
     steps, done = p.epochs * len(rows), 0
     for _ in range(p.epochs):
         for i in rng.permutation(len(rows)):
-            ids, w, rate = bags[i][0], share[i], p.rate * (1 - done / steps)
+            ids, w = rows[i][0], share[i]
             pooled = w @ emb[ids]
+            # no step may be longer than the loss is sure to fall along it: a text of few n-grams has a steep one
+            rate = p.rate * min(p.dim, 1 / ((w @ w) * (out * out).sum() + pooled @ pooled + 1e-9)) * (1 - done / steps)
             delta = softmax(pooled @ out + bias)
-            delta[rows[i][1]] -= 1
+            delta[rows[i][2]] -= 1
             back = out @ delta
-            out -= rate * np.outer(pooled, delta) * p.dim
-            bias -= rate * 0.1 * delta
-            emb[ids] -= rate * p.dim * w[:, None] * back
+            out -= rate * np.outer(pooled, delta)
+            bias -= rate / p.dim * 0.1 * delta
+            emb[ids] -= rate * w[:, None] * back
             done += 1
-    return Model(p, langs, emb, out, bias)
+    return Model(p, langs, emb.astype(np.float32), out.astype(np.float32), bias)
 
 
-def calibrate(model: Model, texts: list[str], truth: list[int]) -> None:
-    """Temperature of the least log loss, and the confidence that ``accepted`` of the right answers reach."""
-    found = [(s, t) for s, t in ((model.scores(x), t) for x, t in zip(texts, truth, strict=True)) if s is not None]
-    if not found:
+def calibrate(model: Model, rows: list[tuple[np.ndarray, np.ndarray, int]]) -> None:
+    """The two temperatures of the least log loss, by a grid that moves until the best lies inside it, and
+    the least confidence at which few enough texts in no language are accepted."""
+    if not rows:
         return
-    logits, right = np.array([s for s, _ in found]), np.array([t for _, t in found])
-    grid = np.geomspace(0.02, 20, 121)
-    loss = [-np.log(np.maximum(softmax(logits / t)[np.arange(len(right)), right], 1e-12)).mean() for t in grid]
-    model.temperature = float(grid[int(np.argmin(loss))])
-    best = softmax(logits / model.temperature)
-    sure = np.sort(best.max(axis=1)[best.argmax(axis=1) == right])
-    model.threshold = float(sure[int(len(sure) * (1 - model.params.accepted))]) if len(sure) else 0.0
+    p, right = model.params, np.array([t for _, _, t in rows])
+    x = np.array([(n @ model.folded[ids]) / n.sum() + model.bias for ids, n, _ in rows])
+    size = np.array([n.sum() for _, n, _ in rows])
+    k = x.shape[1]
+    aim = np.full(x.shape, p.doubt / k)
+    aim[np.arange(len(x)), right] += 1 - p.doubt
+
+    def loss(warm: float, warmer: float) -> float:
+        z = x / (warm + warmer / np.sqrt(size))[:, None]
+        z = z - z.max(axis=1, keepdims=True)
+        return float((aim * (np.log(np.exp(z).sum(axis=1, keepdims=True)) - z)).sum(axis=1).mean())
+
+    best, step = (0.1, 0.1), 2.0
+    while step > 1.05:
+        around = [(best[0] * step**i, best[1] * step**j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+        around = [c for c in around if 1e-4 <= c[0] <= 1e3 and 1e-4 <= c[1] <= 1e3]
+        now = min(around, key=lambda c: loss(*c))
+        best, step = now, step if now != best else step**0.5
+    model.warm, model.warmer = best
+    sure = model.probabilities(x, size)[:, :-1].max(axis=1)
+    wrong = np.sort(sure[right == k - 1])
+    model.threshold = max(0.5, float(np.nextafter(wrong[min(len(wrong) - 1, int(np.ceil(len(wrong) * (1 - p.false_accepts))))], 2)) if len(wrong) else 0.5)
 
 
 def fit(docs: DataFrame, may_learn: Column, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -141,31 +221,35 @@ def fit(docs: DataFrame, may_learn: Column, p: Params = Params(), id_col: str =
 
     Counts of all languages come from one aggregation.  The sample takes each row by a fixed hash of
     its id, at a rate that gives about ``rows_per_lang`` rows a language; a fifth of it calibrates.
-    The driver gets at most ``max_langs * rows_per_lang`` rows' n-grams of ``words_per_row`` words.
+    The driver gets the n-gram counts of about ``rows_per_lang`` whole texts a language and of the pieces
+    made from them, at most ``buckets`` numbers each.
     """
     labelled = docs.where(may_learn & docs[lang_col].isNotNull() & docs[text_col].isNotNull()).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"))
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(p.max_langs).collect()}
-    langs = sorted(counts)
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    langs = sorted(r["lang"] for r in counts.collect())
     if not langs:
-        return Model(p, [UNKNOWN], np.zeros((p.buckets, p.dim)), np.zeros((p.dim, 1)), np.zeros(1))
-    rate = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, p.rows_per_lang / n))])
-    chosen = labelled.where(F.col("lang").isin(langs)).where(F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1 << 30)) < F.element_at(rate, F.col("lang")) * (1 << 30))
+        return Model(p, [UNKNOWN], np.zeros((p.buckets, p.dim), np.float32), np.zeros((p.dim, 2), np.float32), np.zeros(2))
+    # counts has one row per language, as has the driver's list
+    chosen = labelled.join(F.broadcast(counts), "lang").where(F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1 << 30)) < F.least(F.lit(1.0), p.rows_per_lang / F.col("n")) * (1 << 30))
     number = {k: i for i, k in enumerate(langs)}
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for text in batch.column("text").to_pylist():
-            words = WORD.findall(text.lower())
-            step = max(1, -(-len(words) // p.words_per_row))  # words from all over a long text
-            out.append([w[:PIECE] for w in words[::step]])
-        return pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("fold"), pa.array(out, pa.list_(pa.string()))], ["lang", "fold", "words"])
-
-    rows = map_batches(chosen.select("text", "lang", fixed_share(F.col("doc_id"), 0.2, "fold").alias("fold")), run, "lang string, fold boolean, words array<string>").collect()
-    rows = sorted(([r["lang"], r["fold"], r["words"]] for r in rows if r["words"]), key=repr)
-    seen = {w: grams(w, p) for w in {w for _, fold, words in rows if not fold for w in words}}
-    learnt = [([g for w in words for g in seen[w]], number[k]) for k, fold, words in rows if not fold]
-    model = train(learnt, langs, p)
-    calibrate(model, [" ".join(words) for _, fold, words in rows if fold], [number[k] for k, fold, _ in rows if fold])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, lang, fold in zip(*(batch.column(c).to_pylist() for c in ("text", "lang", "fold")), strict=True):
+                found = []
+                for piece, same in pieces(text):
+                    n = bag(piece, p)
+                    ids = np.flatnonzero(n)
+                    if len(ids):
+                        found.append((lang if same else None, fold, ids.astype(np.int32), n[ids]))
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.bool_()), pa.array([x[2] for x in found], pa.list_(pa.int32())), pa.array([x[3] for x in found], pa.list_(pa.int64()))], ["lang", "fold", "ids", "counts"])
+
+    small_batches(docs.sparkSession)
+    rows = chosen.select("text", "lang", fixed_share(F.col("doc_id"), 0.2, "fold").alias("fold")).mapInArrow(run, "lang string, fold boolean, ids array<int>, counts array<long>").collect()
+    rows = sorted(((r["lang"] or "", r["lang"] is None, r["fold"], np.array(r["ids"]), np.array(r["counts"])) for r in rows), key=lambda r: (r[0], r[1], r[2], r[3].tobytes(), r[4].tobytes()))
+    sets = {fold: [(ids, n, len(langs) if none else number[lang]) for lang, none, f, ids, n in rows if f == fold] for fold in (True, False)}
+    model = train(sets[False], langs, p)
+    calibrate(model, sets[True])
     return model
 
 
@@ -175,27 +259,28 @@ _live: dict[str, Model] = {}
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, lang_pred, score, accepted`` of every whole text, in one map without a shuffle.
 
-    ``score`` is the calibrated probability of ``lang_pred``; ``accepted`` is false where it is under
-    the threshold found in calibration.  A null or empty text, or one without a letter, gives
-    ``und``, 0 and false.  Repeated rows are predicted each; an empty table gives an empty result.
+    ``lang_pred`` is the likeliest language, ``score`` its calibrated probability; ``accepted`` is false
+    where the text is likelier in none of the languages, or the score is under the threshold found in
+    calibration.  A null or empty text, or one without a letter, gives ``und``, 0 and false.  Repeated
+    rows are predicted each; an empty table gives an empty result.
     """
-    blob = pickle.dumps((model.params, model.langs, model.emb.astype(np.float32), model.out.astype(np.float32), model.bias, model.temperature, model.threshold))
+    blob = pickle.dumps((model.params, model.langs, model.emb, model.out, model.bias, model.warm, model.warmer, model.threshold))
     tag, sent = hashlib.sha256(blob).hexdigest(), docs.sparkSession.sparkContext.broadcast(blob)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if tag not in _live:
-            _live.clear()
-            _live[tag] = Model(*pickle.loads(sent.value))
-        m = _live[tag]
-        lang, score, sure = [], [], []
-        for text in batch.column("text").to_pylist():
-            x = m.scores(text)
-            if x is None:
-                lang.append(UNKNOWN), score.append(0.0), sure.append(False)
-                continue
-            y = softmax(x / m.temperature)
-            k = int(y.argmax())
-            lang.append(m.langs[k]), score.append(float(y[k])), sure.append(bool(y[k] >= m.threshold and m.langs[k] != UNKNOWN))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(sure, pa.bool_())], ["doc_id", "lang_pred", "score", "accepted"])
-
-    return map_batches(id_text(docs, id_col, text_col), run, "doc_id long, lang_pred string, score double, accepted boolean")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if tag not in _live:
+                _live.clear()
+                _live[tag] = Model(*pickle.loads(sent.value))
+            m = _live[tag]
+            texts = batch.column("text").to_pylist()
+            told = [bool(LETTER.search(t)) for t in texts]
+            found = [m.inputs(t) if ok else (m.bias, 0) for t, ok in zip(texts, told, strict=True)]
+            y = m.probabilities(np.array([x for x, _ in found]), np.array([n for _, n in found]))
+            k = y[:, :-1].argmax(axis=1)
+            score = y[np.arange(len(y)), k]
+            sure = (score >= m.threshold) & (score > y[:, -1])
+            lang = [m.langs[i] if ok else UNKNOWN for i, ok in zip(k, told, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(np.where(told, score, 0.0), pa.float64()), pa.array([bool(s and ok and x != UNKNOWN) for s, ok, x in zip(sure, told, lang, strict=True)], pa.bool_())], ["doc_id", "lang_pred", "score", "accepted"])
+
+    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double, accepted boolean")
