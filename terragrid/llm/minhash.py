@@ -39,8 +39,10 @@ class Params:
     ``cell_docs``: about so many sets of each side are compared together.
 
     Before texts are fetched for the exact check, a pair's signatures are compared by one bit of each
-    coordinate.  At the least similarity s a share of (1 + s) / 2 agrees; a pair more than six standard
-    deviations below (once in 1e9) is no candidate.
+    coordinate.  At the least similarity s a share of (1 + s) / 2 agrees; a pair more than ``sigmas`` standard
+    deviations below (at six, once in 1e9) is no candidate.  Without ``sigmas`` every pair of a bucket is.
+
+    ``hot_rows``: a key with more rows, or more than a thousandth of all rows, is dealt to several tasks.
     """
 
     words: int = 5
@@ -52,6 +54,8 @@ class Params:
     rounds: int = 2
     edges_per_task: int = 1 << 20
     cell_docs: int = 500
+    sigmas: float | None = 6.0
+    hot_rows: int = 1000
 
 
 GOLD, M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -103,7 +107,7 @@ def words_of_bits(p: Params) -> int:
 def most_different_bits(p: Params) -> int:
     """Bits in which two signatures may differ."""
     n, agree = p.bands * p.rows, (1 + p.percent / 100) / 2
-    return int(n * (1 - agree) + 6 * (n * agree * (1 - agree)) ** 0.5) + 1
+    return n if p.sigmas is None else int(n * (1 - agree) + p.sigmas * (n * agree * (1 - agree)) ** 0.5) + 1
 
 
 def packed_bits(sig: np.ndarray, p: Params) -> np.ndarray:
@@ -140,6 +144,31 @@ def sketches(docs: DataFrame, p: Params) -> DataFrame:
     return map_batches(docs, run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, bits array<long>")
 
 
+def hot(sizes: DataFrame, key: str, total: int, most: int, size: str = "size") -> DataFrame:
+    """``key, pieces`` of the keys that hold more than ``most`` and more than a thousandth of ``total`` rows.
+
+    As the sizes sum to ``total``, there are at most a thousand of them, whatever the input: they may be
+    broadcast.  A piece has as many rows as a key that just isn't hot.
+    """
+    limit = max(most, total // 1000)
+    return F.broadcast(sizes.where(F.col(size) > limit).select(key, F.ceil(F.col(size) / limit).cast("int").alias("pieces")))
+
+
+def dealt(rows: DataFrame, hot_keys: DataFrame, key: str, by: str) -> DataFrame:
+    """The rows with a ``piece``: those of a hot key are dealt to its pieces, the others are piece 0.  No shuffle."""
+    return rows.join(hot_keys, key, "left").withColumn("piece", F.pmod(F.xxhash64(F.lit("piece"), F.col(by)), F.coalesce("pieces", F.lit(1))).cast("int")).drop("pieces")
+
+
+def copied(rows: DataFrame, hot_keys: DataFrame, key: str) -> DataFrame:
+    """The rows once for each piece of their key, to be joined with dealt ones by key and piece."""
+    return rows.join(hot_keys, key, "left").withColumn("piece", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1))).drop("pieces")
+
+
+def joined(rows: DataFrame, facts: DataFrame, hot_keys: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """Rows with the facts of their key, so that no task gets all rows of a hot key."""
+    return dealt(rows, hot_keys, key, by).join(copied(facts, hot_keys, key), [key, "piece"], how).drop("piece")
+
+
 def rank(col: Column, turn: int) -> Column:
     """Another fixed random order of the ids for each turn."""
     return F.xxhash64(F.lit(f"turn{turn}"), col)
@@ -188,7 +217,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
     needed = asked.select("cell", F.explode(F.array("a", "b")).alias("a")).distinct()
     sent = needed.join(sets.withColumnRenamed("doc_id", "a"), "a").select("cell", F.lit(0).alias("kind"), "a", F.lit(None).cast("long").alias("b"), "shingles")
     both = sent.unionByName(asked.select("cell", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("shingles")))
-    dealt = both.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "cell").sortWithinPartitions("cell", "kind")
+    ordered = both.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "cell").sortWithinPartitions("cell", "kind")
 
     def run(batches):
         cell, here = None, {}
@@ -203,21 +232,25 @@ def confirmed(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
                     found.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return ordered.mapInArrow(run, "a long, b long")
 
 
-def asked_components(open_: DataFrame, p: Params) -> DataFrame:
+def asked_components(open_: DataFrame, hot_buckets: DataFrame, p: Params) -> DataFrame:
     """``rep, target``: the components that a class must be compared with.
 
     The smaller component asks the larger one (of equal ones the one with the lesser id); a component
-    of a single class is asked only if the signatures agree well enough.
+    of a single class is asked only if the signatures agree well enough.  Classes of a hot bucket are
+    dealt to several tasks, and none but those who may ask leave the task.
     """
     bits = bit_columns(p)
     single = [F.min(F.col(x)).alias(f"{x}_b") for x in ("n", *bits)]  # of a component of one class: that class's
-    sizes = open_.select("rep", "n", "c", *bits).distinct().groupBy("c").agg(F.count("*").alias("size"), *single)
-    own = open_.join(sizes.select("c", "size"), "c")
-    there = open_.select("bucket", "c").distinct().join(sizes.withColumnRenamed("size", "size_b"), "c").withColumnRenamed("c", "target")
-    met = own.join(there, "bucket").where((F.col("size") < F.col("size_b")) | ((F.col("size") == F.col("size_b")) & (F.col("c") < F.col("target")))).where((F.col("size_b") > 1) | may_link(p))
+    members = open_.select("rep", "n", "c", *bits).distinct()
+    sizes = stored(members.groupBy("c").agg(F.count("*").alias("size"), *single), "sizes")
+    hot_components = hot(sizes, "c", sizes.agg(F.sum("size")).first()[0] or 0, max(1, p.hot_rows // p.bands))  # a class has up to ``bands`` rows
+    own = joined(open_, sizes.select("c", "size"), hot_components, "c", "rep")
+    there = joined(open_.select("bucket", "c").distinct(), sizes.withColumnRenamed("size", "size_b"), hot_components, "c", "bucket").withColumnRenamed("c", "target")
+    met = dealt(own, hot_buckets, "bucket", "rep").join(copied(there, hot_buckets, "bucket"), ["bucket", "piece"])
+    met = met.where((F.col("size") < F.col("size_b")) | ((F.col("size") == F.col("size_b")) & (F.col("c") < F.col("target")))).where((F.col("size_b") > 1) | may_link(p))
     return met.select("rep", "target").distinct()
 
 
@@ -229,23 +262,27 @@ def confirmed_members(asks: DataFrame, members: DataFrame, sets: DataFrame, p: P
     """
     spark = asks.sparkSession
     bits = F.array(*bit_columns(p))
-    blocks = members.groupBy(F.col("c").alias("target")).agg(F.ceil(F.count("*") / p.cell_docs).alias("blocks"))
-    parts = asks.groupBy("target").agg(F.ceil(F.count("*") / (4 * p.cell_docs)).alias("parts"))
-    shape = stored(parts.join(blocks, "target"), "cells")
-
-    def dealt_to(c: str, n: str) -> Column:
+    members = members.withColumnRenamed("c", "target")
+    held_by = members.groupBy("target").agg(F.count("*").alias("held"))
+    asked_by = asks.groupBy("target").agg(F.count("*").alias("asked"))
+    shape = asked_by.join(held_by, "target").select("target", (F.col("asked") + F.col("held")).alias("size"), F.ceil(F.col("held") / p.cell_docs).alias("blocks"), F.ceil(F.col("asked") / (4 * p.cell_docs)).alias("parts"))
+    shape = stored(shape, "cells")
+    hot_targets = hot(shape, "target", shape.agg(F.sum("size")).first()[0] or 0, p.hot_rows)
+    shape = shape.drop("size")
+
+    def block(c: str, n: str) -> Column:
         return F.pmod(F.xxhash64(F.lit("cell"), F.col(c)), F.col(n))
 
     def every(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
 
     signed = members.select("rep", bits.alias("bits"))
-    held = members.select("rep", F.col("c").alias("target"), bits.alias("bits")).join(shape, "target").withColumn("block", dealt_to("rep", "blocks")).withColumn("part", every("parts"))
-    asking = asks.join(shape, "target").join(signed, "rep").withColumn("part", dealt_to("rep", "parts")).withColumn("block", every("blocks"))
+    held = joined(members.select("rep", "target", bits.alias("bits")), shape, hot_targets, "target", "rep").withColumn("block", block("rep", "blocks")).withColumn("part", every("parts"))
+    asking = joined(asks, shape, hot_targets, "target", "rep").join(signed, "rep").withColumn("part", block("rep", "parts")).withColumn("block", every("blocks"))
     cell = ["target", "block", "part"]
     both = held.select(*cell, F.lit(0).alias("kind"), "rep", "bits").unionByName(asking.select(*cell, F.lit(1).alias("kind"), "rep", "bits"))
     sent = both.join(sets.withColumnRenamed("doc_id", "rep"), "rep")
-    dealt = sent.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *cell).sortWithinPartitions(*cell, "kind")
+    ordered = sent.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *cell).sortWithinPartitions(*cell, "kind")
     most = most_different_bits(p)
 
     def run(batches):
@@ -268,7 +305,7 @@ def confirmed_members(asks: DataFrame, members: DataFrame, sets: DataFrame, p: P
                         found.append((rep, ids[k]))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return ordered.mapInArrow(run, "a long, b long")
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -297,7 +334,7 @@ def forest(batches):
     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["u", "v"])
 
 
-def components(edges: DataFrame, per_task: int = 1 << 20) -> DataFrame:
+def components(edges: DataFrame, per_task: int = 1 << 20, hot_rows: int = 1000) -> DataFrame:
     """``id, component`` (the least id reachable) of every id on an edge (a, b).
 
     Every ``per_task`` edges are first joined by one task, which leaves one row per id.  If there are
@@ -316,10 +353,12 @@ def components(edges: DataFrame, per_task: int = 1 << 20) -> DataFrame:
             break
         before = told
         around = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = around.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        least = stored(around.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size")), "least")
+        hubs = hot(least, "u", 2 * told[0], hot_rows)
+        large = joined(around, least.select("u", F.least("u", "m").alias("m")), hubs, "u", "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = stored(large.distinct(), "large")
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size")), "least")
+        small = joined(large, least.select("u", "m"), hot(least, "u", large.count(), hot_rows), "u", "v")
         now = stored(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
 
@@ -336,13 +375,15 @@ def classes(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_
     sketched = stored(sketches(rows, p), "sketches")
     linked = sketched.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     # equal sets: one representative, by an aggregation that is combined before the shuffle
-    same = stored(linked.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")), "classes")
-    reps = linked.select(F.col("doc_id").alias("rep"), "k1", "k2", "bands", "bits").join(same, ["rep", "k1", "k2"]).dropDuplicates(["rep", "k1", "k2"])
+    same = stored(linked.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.count("*").alias("size")), "classes")
+    n_classes = same.count()
+    reps = linked.select(F.col("doc_id").alias("rep"), "k1", "k2", "bands", "bits").join(same.drop("size"), ["rep", "k1", "k2"]).dropDuplicates(["rep", "k1", "k2"])
     spread = reps.select("rep", "n", F.explode("bands").alias("bucket"))
     # buckets of several classes; then the signatures' bits of those classes
-    shared = spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
+    shared = stored(spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "shared")
+    hot_buckets = hot(shared, "bucket", n_classes * p.bands, p.hot_rows)
     signed = reps.select("rep", "n", *(F.col("bits")[k].alias(c) for k, c in enumerate(bit_columns(p))))
-    spread = stored(spread.join(shared, "bucket").select("rep", "n", "bucket").join(signed, ["rep", "n"]), "buckets")
+    spread = stored(joined(spread, shared.select("bucket"), hot_buckets, "bucket", "rep").select("rep", "n", "bucket").join(signed, ["rep", "n"]), "buckets")
     texts = rows.join(spread.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sets = stored(shingle_sets(texts, p).dropDuplicates(["doc_id", "shingles"]), "sets")
     tried, of = None, None
@@ -352,13 +393,13 @@ def classes(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_
         else:
             here = spread.join(of.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
             several = here.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket")
-            open_ = stored(here.join(several, "bucket"), "open")
+            open_ = stored(joined(here, several, hot_buckets, "bucket", "rep"), "open")
         if turn == p.rounds:
-            asks = stored(asked_components(open_, p), "asks")
+            asks = stored(asked_components(open_, hot_buckets, p), "asks")
             members = open_.select("rep", "c", *bit_columns(p)).distinct()
             good = stored(confirmed_members(asks, members, sets, p), "links")
         else:
-            pairs = open_.join(open_.groupBy("bucket").agg(centre(p, turn, "c")).select("bucket", "m.*"), "bucket")
+            pairs = joined(open_, open_.groupBy("bucket").agg(centre(p, turn, "c")).select("bucket", "m.*"), hot_buckets, "bucket", "rep")
             pairs = pairs.where("c <> c_b").where(may_link(p)).select(F.greatest("rep", "rep_b").alias("a"), F.least("rep", "rep_b").alias("b")).distinct()
             if tried is not None:
                 pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -367,12 +408,15 @@ def classes(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_
             good = stored(confirmed(pairs, sets, p), "links")
         # components of the links so far are one row per id, to which the new links are added
         links = good if of is None else good.unionByName(of.select(F.col("id").alias("a"), F.col("component").alias("b")))
-        of = components(links, p.edges_per_task)
-    whole = same.join(of, same["rep"] == of["id"], "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
-    out = sketched.select("doc_id", "n_shingles", "k1", "k2").join(whole, ["k1", "k2"], "left")
+        of = components(links, p.edges_per_task, p.hot_rows)
+    # a class of many copies is a hot key; rows that nothing links need no class
+    whole = same.join(of, same["rep"] == of["id"], "left").select(F.struct("k1", "k2").alias("k"), F.coalesce("component", "rep").alias("component_id"))
+    copies = hot(same.withColumn("k", F.struct("k1", "k2")), "k", sketched.count(), p.hot_rows)
+    mine = sketched.select("doc_id", "n_shingles", F.struct("k1", "k2").alias("k"))
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
-    component = F.when(alone, F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    out = joined(mine.where(~alone), whole, copies, "k", "doc_id").select("doc_id", "n_shingles", "component_id")
+    out = out.unionByName(mine.where(alone).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
 
 
 def deduplicated(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
