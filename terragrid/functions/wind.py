@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,14 +13,16 @@ PARK_CURVE = (
 )
 
 
-def capacity_factor(speed: Column) -> Column:
-    """Linear between whole speeds; 0 below 0, from 29 m/s, and for NaN; null for null."""
+def capacity_factor(speed: Column | np.ndarray) -> Column | np.ndarray:
+    """Linear between whole speeds; 0 below 0, from 29 m/s, and for NaN; null for null.  Of a column or of an array."""
+    last = len(PARK_CURVE) - 1
+    if isinstance(speed, np.ndarray):
+        return np.where((speed >= 0) & (speed < last), np.interp(speed, np.arange(last + 1), PARK_CURVE), 0.0)
     curve = F.array(*map(F.lit, PARK_CURVE))
     low = F.floor(speed).cast("int")
     part = speed - low
-    inside = (speed >= 0) & (speed < len(PARK_CURVE) - 1)
     value = (1 - part) * F.get(curve, low) + part * F.get(curve, low + 1)
-    return F.when(speed.isNull(), None).when(inside, value).otherwise(0.0)
+    return F.when(speed.isNull(), None).when((speed >= 0) & (speed < last), value).otherwise(0.0)
 
 
 def rescaled(speed: Column, atlas: Column, mean_all_years: Column) -> Column:

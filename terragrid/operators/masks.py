@@ -55,5 +55,6 @@ def solar_code(o: SolarOptions, m: dict[str, Column], region: Column, popdens: C
 
 
 def offshore_code(o: WindOptions, m: dict[str, Column], topo: Column, offshore: Column) -> Column:
-    code = F.when(offshore == 0, 0).when(offshore == NOREGION, NOREGION).when(m["shore"], 1).when(m["kept"], 3)
+    """The same at sea, where the two ends are the other way round: what is no sea of a region is NOREGION, what is NOREGION is 0."""
+    code = F.when(offshore == 0, NOREGION).when(offshore == NOREGION, 0).when(m["shore"], 1).when(m["kept"], 3)
     return code.when(topo <= -o.max_depth, 8).when(~m["grid_b"], 4).otherwise(7)

@@ -1,7 +1,7 @@
 """Raster algebra: focal, zonal and resampling operators on tables (lon_idx, lat_idx, value).
 
-Focal operators with a small kernel gather their neighbours by an equi-join on shifted indexes; large
-kernels work on tiles with a halo, one bounded array per group.
+Focal operators work on tiles with a halo, one bounded array per group: a pixel is shuffled once, and
+only pixels near a border of tiles more often.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from ..functions.scalar import is_region
 from ..options import NOREGION
 
 KEYS = ["lon_idx", "lat_idx"]
+#: Values that are filled by distance are below this.
+DIGIT = 1 << 20
 
 
 def covered(x0: float, x1: float, y0: float, y1: float, r: float) -> float:
@@ -49,24 +51,25 @@ def offsets(weights: np.ndarray) -> list[tuple[int, int, float]]:
     return [(i - n, j - n, float(weights[i, j])) for i in range(len(weights)) for j in range(len(weights)) if weights[i, j] > 0]
 
 
-def focal(raster: DataFrame, weights: list[tuple[int, int, float]], nlon: int, nlat: int, how: str = "sum", value: str = "value") -> DataFrame:
+def focal(raster: DataFrame, weights: list[tuple[int, int, float]], nlon: int, nlat: int, how: str = "sum", value: str = "value", tile: int = 512) -> DataFrame:
     """Weighted sum, or maximum, over neighbours of every pixel of the raster; the border is repeated
     outwards, and pixels that aren't in the table count 0."""
-    near = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(w).alias("w")) for a, b, w in weights])).alias("o")
-    ask = raster.select(*KEYS, near).select(
-        *(F.col(k).alias(f"to_{k}") for k in KEYS),
-        F.least(F.greatest(F.col("lon_idx") + F.col("o.a"), F.lit(1)), F.lit(nlon)).alias("lon_idx"),
-        F.least(F.greatest(F.col("lat_idx") + F.col("o.b"), F.lit(1)), F.lit(nlat)).alias("lat_idx"),
-        F.col("o.w").alias("w"),
-    )
-    met = ask.join(raster.select(*KEYS, F.col(value).alias("v")), KEYS, "left")
-    v = F.coalesce("v", F.lit(0.0))
-    out = F.sum(v * F.col("w")) if how == "sum" else F.max(v)
-    return met.groupBy(*(F.col(f"to_{k}").alias(k) for k in KEYS)).agg(out.alias(value))
+    halo = max(max(abs(a), abs(b)) for a, b, _ in weights)
+
+    def gather(a: np.ndarray) -> np.ndarray:
+        height, width = a.shape[0] - 2 * halo, a.shape[1] - 2 * halo
+        out = None
+        for i, j, w in weights:
+            x = a[halo + i : halo + i + height, halo + j : halo + j + width]
+            x = x * w if how == "sum" else x
+            out = x.copy() if out is None else out + x if how == "sum" else np.maximum(out, x)
+        return out
+
+    return tiled(raster, gather, nlon, nlat, tile, halo, value)
 
 
 def disk_mean_small(raster: DataFrame, radius: float, nlon: int, nlat: int, value: str = "value") -> DataFrame:
-    """Disk mean by shifted joins, for radii of a few pixels."""
+    """Disk mean with every weight by itself, for radii of a few pixels."""
     return focal(raster, offsets(disk_kernel(radius)), nlon, nlat, "sum", value)
 
 
@@ -86,30 +89,47 @@ def convolved(a: np.ndarray, k: np.ndarray) -> np.ndarray:
     return out
 
 
-def tiled(raster: DataFrame, fn, nlon: int, nlat: int, tile: int = 512, halo: int = 0, value: str = "value", result: str = "double") -> DataFrame:
-    """Apply ``fn`` to arrays of a tile with its halo; it returns the tile's part.
+def by_tile(raster: DataFrame, run, schema: str, tile: int, halo: int, value: str, nlon: int | None = None, nlat: int | None = None) -> DataFrame:
+    """``run`` on each tile's pixels, those of its halo included: columns lon_idx, lat_idx, v, ti, tj.
 
     Each pixel goes to the tiles whose halo holds it; a group is at most (tile + 2 halo)² pixels.
-    Outside the grid the border is repeated.  Only pixels of the table come back.
     """
 
-    def tiles(i: Column) -> Column:
-        return F.sequence(F.floor((i - 1 - halo) / tile), F.floor((i - 1 + halo) / tile))
+    def tiles(i: Column, n: int | None) -> Column:
+        last = F.floor((i - 1 + halo) / tile)
+        return F.sequence(F.greatest(F.floor((i - 1 - halo) / tile), F.lit(0)), last if n is None else F.least(last, F.lit((n - 1) // tile)))
+
+    spread = raster.select(*KEYS, F.col(value).cast("double").alias("v"), F.explode(tiles(F.col("lon_idx"), nlon)).alias("ti")).withColumn("tj", F.explode(tiles(F.col("lat_idx"), nlat)))
+    return spread.groupBy("ti", "tj").applyInPandas(run, schema)
+
 
-    spread = raster.select(*KEYS, F.col(value).cast("double").alias("v"), F.explode(tiles(F.col("lon_idx"))).alias("ti")).withColumn("tj", F.explode(tiles(F.col("lat_idx"))))
-    spread = spread.where(F.col("ti").between(0, (nlon - 1) // tile) & F.col("tj").between(0, (nlat - 1) // tile))
+def as_array(pdf: pd.DataFrame, tile: int, halo: int, missing: float) -> tuple[int, int, np.ndarray]:
+    """What lies before a tile in the grid, and the tile with its halo."""
+    i0, j0 = int(pdf.ti.iloc[0]) * tile, int(pdf.tj.iloc[0]) * tile
+    a = np.full((tile + 2 * halo, tile + 2 * halo), missing)
+    a[pdf.lon_idx - 1 - i0 + halo, pdf.lat_idx - 1 - j0 + halo] = pdf.v
+    return i0, j0, a
+
+
+def tiled(raster: DataFrame, fn, nlon: int | None, nlat: int | None, tile: int = 512, halo: int = 0, value: str = "value", result: str = "double", missing: float = 0.0) -> DataFrame:
+    """Apply ``fn`` to arrays of a tile with its halo; it returns the tile's part.
+
+    Outside the grid the border is repeated, if its size is given.  Only pixels of the table come back,
+    without those that are NaN.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        i0, j0 = int(pdf.ti.iloc[0]) * tile, int(pdf.tj.iloc[0]) * tile
-        a = np.zeros((tile + 2 * halo, tile + 2 * halo))
-        a[pdf.lon_idx - 1 - i0 + halo, pdf.lat_idx - 1 - j0 + halo] = pdf.v
-        rows = np.clip(np.arange(i0 - halo, i0 + tile + halo), 0, nlon - 1) - i0 + halo
-        cols = np.clip(np.arange(j0 - halo, j0 + tile + halo), 0, nlat - 1) - j0 + halo
-        out = fn(a[np.ix_(rows.clip(0, len(a) - 1), cols.clip(0, len(a) - 1))])
+        i0, j0, a = as_array(pdf, tile, halo, missing)
+        if nlon is not None:
+            rows = np.clip(np.arange(i0 - halo, i0 + tile + halo), 0, nlon - 1) - i0 + halo
+            cols = np.clip(np.arange(j0 - halo, j0 + tile + halo), 0, nlat - 1) - j0 + halo
+            a = a[np.ix_(rows.clip(0, len(a) - 1), cols.clip(0, len(a) - 1))]
+        out = fn(a)
         own = pdf[pdf.lon_idx.between(i0 + 1, i0 + tile) & pdf.lat_idx.between(j0 + 1, j0 + tile)]
-        return pd.DataFrame({"lon_idx": own.lon_idx, "lat_idx": own.lat_idx, value: out[own.lon_idx - 1 - i0, own.lat_idx - 1 - j0]})
+        v = out[own.lon_idx - 1 - i0, own.lat_idx - 1 - j0]
+        return pd.DataFrame({"lon_idx": own.lon_idx, "lat_idx": own.lat_idx, value: v})[~np.isnan(v)]
 
-    return spread.groupBy("ti", "tj").applyInPandas(run, f"lon_idx int, lat_idx int, {value} {result}")
+    return by_tile(raster, run, f"lon_idx int, lat_idx int, {value} {result}", tile, halo, value, nlon, nlat)
 
 
 def disk_mean(raster: DataFrame, radius: float, nlon: int, nlat: int, tile: int = 512, value: str = "value") -> DataFrame:
@@ -118,19 +138,43 @@ def disk_mean(raster: DataFrame, radius: float, nlon: int, nlat: int, tile: int
     return tiled(raster, lambda a: convolved(a, k), nlon, nlat, tile, len(k) // 2, value)
 
 
-def half_cell_shift(raster: DataFrame, value: str = "value") -> DataFrame:
+def half_cell_shift(raster: DataFrame, value: str = "value", tile: int = 512) -> DataFrame:
     """Mean of each pixel and its eastern, southern and southeastern neighbours; missing where one is."""
-    four = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)])
-    sent = raster.select((F.col("lon_idx")).alias("i"), F.col("lat_idx").alias("j"), value, F.explode(four).alias("o"))
-    at = sent.select((F.col("i") - F.col("o.a")).alias("lon_idx"), (F.col("j") - F.col("o.b")).alias("lat_idx"), value)
-    return at.groupBy(*KEYS).agg(F.avg(value).alias(value), F.count("*").alias("n")).where("n = 4").drop("n")
+    return tiled(raster, lambda a: (a[1:-1, 1:-1] + a[2:, 1:-1] + a[1:-1, 2:] + a[2:, 2:]) / 4, None, None, tile, 1, value, missing=np.nan)
+
+
+def least_by_distance(at: np.ndarray, x: np.ndarray, height: np.ndarray, scale: int) -> np.ndarray:
+    """For each place of ``at`` the least ``scale * (at - x)² + height``; both are sorted.
+
+    The best x never moves back as ``at`` moves on, so a place has only the ones between its
+    neighbours' best to look at: places are taken in halving steps, and every step looks at about
+    len(x) + len(at) values.
+    """
+    n, out = len(at), np.zeros(len(at), np.int64)
+    best = np.zeros(n, np.int64)
+    step = 1 << max(n - 1, 1).bit_length()
+    while step:
+        q = np.arange(step - 1, n, 2 * step)
+        low = np.where(q - step >= 0, best[np.maximum(q - step, 0)], 0)
+        high = np.where(q + step < n, best[np.minimum(q + step, n - 1)], len(x) - 1)
+        if len(q):
+            size = high - low + 1
+            start = np.cumsum(size) - size
+            k = np.repeat(low - start, size) + np.arange(size.sum())
+            value = scale * (np.repeat(at[q], size) - x[k]) ** 2 + height[k]
+            least = np.minimum.reduceat(value, start)
+            hit = np.flatnonzero(value == np.repeat(least, size))
+            first = hit[np.searchsorted(hit, start)]
+            best[q], out[q] = k[first], least
+        step //= 2
+    return out
 
 
 def nearest_fill(regions: DataFrame, value: str = "region") -> DataFrame:
     """Every pixel gets the value of the nearest pixel with a value over 0; of equally near ones the least.
 
     An exact Euclidean transform in two passes: along columns, then along rows.  A group is one column
-    or one row of the grid, so its size is bounded by the grid.
+    or one row of the grid, so its size is bounded by the grid, and costs n log n.  Values are below 2 ** 20.
     """
     far = 1 << 40
 
@@ -147,15 +191,12 @@ def nearest_fill(regions: DataFrame, value: str = "region") -> DataFrame:
         return pd.DataFrame({"lon_idx": pdf.lon_idx, "lat_idx": lat, "d2": (lat - lat[use]) ** 2, value: v[use]})
 
     def row(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("lon_idx")
         lon, d2, v = (pdf[c].to_numpy().astype(np.int64) for c in ("lon_idx", "d2", value))
-        some = np.flatnonzero(d2 < far)
-        out = np.zeros(len(lon), np.int64)
-        for part in np.array_split(np.arange(len(lon)), max(1, len(lon) * max(len(some), 1) // 4_000_000)):
-            if len(some) and len(part):
-                d = (lon[part, None] - lon[some]) ** 2 + d2[some]
-                tied = np.where(d == d.min(axis=1, keepdims=True), v[some], 1 << 40)
-                out[part] = tied.min(axis=1)
-        return pd.DataFrame({"lon_idx": lon, "lat_idx": pdf.lat_idx, value: out})
+        some, out = np.flatnonzero(d2 < far), np.zeros(len(lon), np.int64)
+        if len(some):  # the value is the last digit, so of equally near ones the least wins
+            out = least_by_distance(lon, lon[some], d2[some] * DIGIT + v[some], DIGIT) % DIGIT
+        return pd.DataFrame({"lon_idx": lon, "lat_idx": pdf.lat_idx.to_numpy(), value: out})
 
     first = regions.select(*KEYS, F.col(value).cast("int").alias(value)).groupBy("lon_idx").applyInPandas(column, f"lon_idx int, lat_idx int, d2 long, {value} int")
     return first.groupBy("lat_idx").applyInPandas(row, f"lon_idx int, lat_idx int, {value} int")
@@ -166,14 +207,22 @@ def split_shore(territory: Column, land: Column, background: bool = False) -> tu
     return (territory if background else F.when(land > 0, territory).otherwise(0)), F.when(land == 0, territory).otherwise(0)
 
 
-def adjacency(regions: DataFrame, value: str = "region") -> DataFrame:
-    """(r1, r2) of regions that touch in one of eight directions, both ways, each with itself."""
-    held = regions.where(is_region(F.col(value)))
-    # half of the neighbourhood is enough, as pairs are mirrored
-    near = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 0), (1, 0), (0, 1), (1, 1), (1, -1))])
-    a = held.select(F.col(value).alias("r1"), "lon_idx", "lat_idx", F.explode(near).alias("o")).select("r1", (F.col("lon_idx") + F.col("o.a")).alias("lon_idx"), (F.col("lat_idx") + F.col("o.b")).alias("lat_idx"))
-    pairs = a.join(held.select(*KEYS, F.col(value).alias("r2")), KEYS).select("r1", "r2").distinct()
-    return pairs.union(pairs.select("r2", "r1")).distinct()
+def adjacency(regions: DataFrame, value: str = "region", tile: int = 512) -> DataFrame:
+    """(r1, r2) of regions that touch in one of eight directions, both ways, each with itself.  A tile emits each pair once."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, _, a = as_array(pdf, tile, 1, 0)
+        a, pairs = a.astype(np.int64), []
+        mine = a[1:-1, 1:-1]
+        for i in (-1, 0, 1):
+            for j in (-1, 0, 1):
+                there = a[1 + i : 1 + i + tile, 1 + j : 1 + j + tile]
+                both = (mine > 0) & (there > 0)
+                pairs.append(np.unique(mine[both] << 32 | there[both]))
+        pairs = np.unique(np.concatenate(pairs))
+        return pd.DataFrame({"r1": pairs >> 32, "r2": pairs & 0xFFFFFFFF})
+
+    return by_tile(regions.where(is_region(F.col(value))), run, "r1 int, r2 int", tile, 1, value).distinct()
 
 
 def block_sum(raster: DataFrame, n: int, nlon: int, nlat: int, value: str = "value") -> DataFrame:
@@ -195,19 +244,80 @@ def zonal_sum(raster: DataFrame, keys: list[str], value: str = "value") -> DataF
     return raster.groupBy(*keys).agg(F.sum(value).alias(value))
 
 
+def cubic_weights(t: np.ndarray) -> np.ndarray:
+    """Weights of the four samples around a place t of the way between the two in the middle: the cubic
+    convolution of Keys (1981) with a = -1/2, which gives parabolas back exactly."""
+    return np.stack([-0.5 * t + t**2 - 0.5 * t**3, 1 - 2.5 * t**2 + 1.5 * t**3, 0.5 * t + 2 * t**2 - 1.5 * t**3, -0.5 * t**2 + 0.5 * t**3])
+
+
+def linear_weights(t: np.ndarray) -> np.ndarray:
+    return np.stack([np.zeros_like(t), 1 - t, t, np.zeros_like(t)])
+
+
+def finer(raster: DataFrame, factor: int, nlon: int, nlat: int, weights, value: str = "value", tile: int = 256) -> DataFrame:
+    """Interpolate to a grid ``factor`` times as fine: every pixel of the table is cut into pixels of its own.
+
+    ``weights`` gives those of four neighbours in a row, two on each side, for a place between the middle
+    ones.  The border is repeated; pixels that aren't in the table count 0.
+    """
+    place = (np.arange(factor) + 0.5) / factor - 0.5
+    base, w = np.floor(place).astype(int), weights(place - np.floor(place))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        i0, j0, a = as_array(pdf, tile, 2, 0.0)
+        rows = (np.clip(np.arange(i0 - 2, i0 + tile + 2), 0, nlon - 1) - i0 + 2).clip(0, len(a) - 1)
+        cols = (np.clip(np.arange(j0 - 2, j0 + tile + 2), 0, nlat - 1) - j0 + 2).clip(0, len(a) - 1)
+        a = a[np.ix_(rows, cols)]
+        wide = np.zeros((tile * factor, a.shape[1]))
+        out = np.zeros((tile * factor, tile * factor))
+        for f in range(factor):
+            for k in range(4):
+                first = 2 + base[f] + k - 1
+                wide[f::factor] += w[k, f] * a[first : first + tile]
+        for f in range(factor):
+            for k in range(4):
+                first = 2 + base[f] + k - 1
+                out[:, f::factor] += w[k, f] * wide[:, first : first + tile]
+        own = pdf[pdf.lon_idx.between(i0 + 1, i0 + tile) & pdf.lat_idx.between(j0 + 1, j0 + tile)]
+        u = ((own.lon_idx.to_numpy() - 1)[:, None, None] * factor + np.arange(factor)[None, :, None] + np.zeros((1, 1, factor), int)).ravel()
+        v = ((own.lat_idx.to_numpy() - 1)[:, None, None] * factor + np.arange(factor)[None, None, :] + np.zeros((1, factor, 1), int)).ravel()
+        return pd.DataFrame({"lon_idx": u + 1, "lat_idx": v + 1, value: out[u - i0 * factor, v - j0 * factor]})
+
+    return by_tile(raster, run, f"lon_idx int, lat_idx int, {value} double", tile, 2, value, nlon, nlat)
+
+
 def bilinear(raster: DataFrame, factor: int, nlon: int, nlat: int, value: str = "value") -> DataFrame:
-    """Interpolate to a grid ``factor`` times as fine; the border is repeated."""
-    fine = F.explode(F.sequence(F.lit(0), F.lit(factor - 1)))
-    at = raster.select(*KEYS, fine.alias("a")).withColumn("b", fine)
-    x, y = (F.col("a") + 0.5) / factor - 0.5, (F.col("b") + 0.5) / factor - 0.5
-    out = None
-    for du in (0, 1):
-        for dv in (0, 1):
-            i, j = F.floor(x) + du, F.floor(y) + dv
-            w = (F.when(F.lit(du) == 1, x - F.floor(x)).otherwise(1 - (x - F.floor(x)))) * (F.when(F.lit(dv) == 1, y - F.floor(y)).otherwise(1 - (y - F.floor(y))))
-            part = at.select(((F.col("lon_idx") - 1) * factor + F.col("a") + 1).cast("int").alias("to_lon"), ((F.col("lat_idx") - 1) * factor + F.col("b") + 1).cast("int").alias("to_lat"), F.least(F.greatest(F.col("lon_idx") + i, F.lit(1)), F.lit(nlon)).cast("int").alias("lon_idx"), F.least(F.greatest(F.col("lat_idx") + j, F.lit(1)), F.lit(nlat)).cast("int").alias("lat_idx"), w.alias("w"))
-            out = part if out is None else out.unionByName(part)
-    return out.join(raster.select(*KEYS, value), KEYS).groupBy(F.col("to_lon").alias("lon_idx"), F.col("to_lat").alias("lat_idx")).agg(F.sum(F.col(value) * F.col("w")).alias(value))
+    """Bilinear interpolation to a grid ``factor`` times as fine."""
+    return finer(raster, factor, nlon, nlat, linear_weights, value)
+
+
+def bicubic(raster: DataFrame, factor: int, nlon: int, nlat: int, value: str = "value") -> DataFrame:
+    """Interpolation by cubic convolution to a grid ``factor`` times as fine."""
+    return finer(raster, factor, nlon, nlat, cubic_weights, value)
+
+
+def downscaled(coarse: DataFrame, factor: int, nlon: int, nlat: int, value: str = "value", tile: int = 256) -> DataFrame:
+    """A coarse total, as population, on fine pixels: interpolated by cubic convolution, never negative, and
+    scaled so that every coarse pixel keeps its total."""
+    fine = bicubic(coarse, factor, nlon, nlat, value).withColumn(value, F.greatest(F.col(value), F.lit(0.0)))
+    parent = [(F.floor((F.col(k) - 1) / factor) + 1).cast("int").alias(f"c_{k}") for k in KEYS]
+    fine = fine.select("*", *parent)
+    total = coarse.select(*(F.col(k).alias(f"c_{k}") for k in KEYS), F.col(value).alias("total"))
+    share = F.try_divide(F.col(value), F.sum(value).over(Window.partitionBy("c_lon_idx", "c_lat_idx")))
+    return fine.withColumn("share", F.coalesce(share, F.lit(1.0 / factor**2))).join(total, ["c_lon_idx", "c_lat_idx"]).select(*KEYS, (F.col("share") * F.col("total")).alias(value))
+
+
+def resized(raster: DataFrame, nlon: int, nlat: int, new_lon: int, new_lat: int, value: str = "value") -> DataFrame:
+    """A raster of nlon by nlat pixels at another, coarser size: each new pixel is the mean of the old ones that
+    it covers, by the share of them that it covers."""
+
+    def shares(i: Column, n: int, m: int) -> Column:
+        """New pixels that an old one reaches into, with the share of the new one's width."""
+        low, high = (i - 1) * (m / n), i * (m / n)
+        return F.transform(F.sequence(F.floor(low), F.least(F.ceil(high - 1e-12) - 1, F.lit(m - 1))), lambda k: F.struct((k + 1).cast("int").alias("k"), (F.least(high, k + 1) - F.greatest(low, k)).alias("w")))
+
+    at = raster.select(value, F.explode(shares(F.col("lon_idx"), nlon, new_lon)).alias("x"), "lat_idx").select(value, "x", F.explode(shares(F.col("lat_idx"), nlat, new_lat)).alias("y"))
+    return at.groupBy(F.col("x.k").alias("lon_idx"), F.col("y.k").alias("lat_idx")).agg(F.sum(F.col(value) * F.col("x.w") * F.col("y.w")).alias(value))
 
 
 def gdp_per_capita(gdp: Column, population: Column) -> Column:
@@ -237,10 +347,14 @@ def merged_layers(first: DataFrame, *others: DataFrame, value: str = "protected"
     return out.groupBy(*KEYS).agg(F.max(value).alias(value))
 
 
-def fill_zeros_from_neighbours(raster: DataFrame, nlon: int, nlat: int, value: str = "value") -> DataFrame:
+def fill_zeros_from_neighbours(raster: DataFrame, nlon: int, nlat: int, value: str = "value", tile: int = 512) -> DataFrame:
     """Zero pixels take the largest value of their three by three neighbourhood."""
-    around = focal(raster, [(a, b, 1.0) for a in (-1, 0, 1) for b in (-1, 0, 1)], nlon, nlat, "max", value).withColumnRenamed(value, "near")
-    return raster.join(around, KEYS).select(*KEYS, F.when(F.col(value) == 0, F.col("near")).otherwise(F.col(value)).alias(value))
+
+    def fill(a: np.ndarray) -> np.ndarray:
+        most = np.max([a[i : i + a.shape[0] - 2, j : j + a.shape[1] - 2] for i in range(3) for j in range(3)], axis=0)
+        return np.where(a[1:-1, 1:-1] == 0, most, a[1:-1, 1:-1])
+
+    return tiled(raster, fill, nlon, nlat, tile, 1, value)
 
 
 def local_spacing(grid: DataFrame) -> DataFrame:

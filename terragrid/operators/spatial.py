@@ -2,34 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.grid import haversine_km, lon_to_row, plant_lat_index
 from ..options import NOREGION
 
-#: Sites up to this number may be sent to every task.
+#: Tables up to this number of rows may be sent to every task.
 FEW_SITES = 100_000
+#: Into so many blocks one side of all pairs is cut.
+PAIR_BLOCKS = 64
 
 
 def few(df: DataFrame, most: int = FEW_SITES) -> DataFrame:
     """The table with a broadcast hint, after its size has been checked."""
     n = df.limit(most + 1).count()
     if n > most:
-        raise ValueError(f"more than {most} rows: give a maximal distance instead")
+        raise ValueError(f"more than {most} rows are too many to broadcast")
     return F.broadcast(df)
 
 
 def point_region(points: DataFrame, regions: DataFrame, res: float, value: str = "region", search: int = 2) -> DataFrame:
-    """Region of each point; where it is 0, the largest one within ``search`` pixels; 0 outside the raster."""
+    """Region of each point; where it is 0, the largest one within ``search`` pixels; 0 outside the raster.
+
+    The pixels that hold points look around themselves; the raster is only read and joined once.
+    """
     at = points.withColumn("lon_idx", lon_to_row(F.col("lon"), res)).withColumn("lat_idx", plant_lat_index(F.col("lat"), res))
     shift = F.explode(F.sequence(F.lit(-search), F.lit(search)))
-    held = regions.where(F.col(value) > 0)
-    around = held.select((F.col("lon_idx")).alias("i"), F.col("lat_idx").alias("j"), value, shift.alias("a")).withColumn("b", shift).groupBy((F.col("i") + F.col("a")).alias("lon_idx"), (F.col("j") + F.col("b")).alias("lat_idx")).agg(F.max(value).alias("near"))
-    own = regions.select("lon_idx", "lat_idx", F.col(value).alias("own"))
-    met = at.join(own, ["lon_idx", "lat_idx"], "left").join(around, ["lon_idx", "lat_idx"], "left")
-    found = F.when(F.col("own").isNull(), 0).when(F.col("own") > 0, F.col("own")).otherwise(F.coalesce("near", F.lit(0)))
-    return met.select(*points.columns, found.cast("int").alias(value))
+    asked = at.select(F.col("lon_idx").alias("i"), F.col("lat_idx").alias("j")).distinct().select("i", "j", shift.alias("a")).select("*", shift.alias("b"))
+    asked = asked.withColumn("lon_idx", F.col("i") + F.col("a")).withColumn("lat_idx", F.col("j") + F.col("b"))
+    held = regions.select("lon_idx", "lat_idx", F.col(value).alias("held"))
+    here = (F.col("a") == 0) & (F.col("b") == 0)
+    found = asked.join(held, ["lon_idx", "lat_idx"]).groupBy("i", "j").agg(F.max(F.when(here, F.col("held"))).alias("own"), F.max(F.when(F.col("held") > 0, F.col("held"))).alias("near"))
+    met = at.join(found.withColumnsRenamed({"i": "lon_idx", "j": "lat_idx"}), ["lon_idx", "lat_idx"], "left")
+    region = F.when(F.col("own").isNull(), 0).when(F.col("own") > 0, F.col("own")).otherwise(F.coalesce("near", F.lit(0)))
+    return met.select(*points.columns, region.cast("int").alias(value))
 
 
 def point_region_offshore(points: DataFrame, regions: DataFrame, offshore: DataFrame, res: float, value: str = "region") -> DataFrame:
@@ -52,7 +63,8 @@ def inside(x: Column, y: Column, ring: Column) -> Column:
 def point_in_polygons(points: DataFrame, polygons: DataFrame, cell: float, id_col: str = "point_id", poly_col: str = "poly_id") -> DataFrame:
     """First polygon (the least number) that holds each point, else 0.
 
-    Both sides are cut into square cells; a polygon goes to the cells of its box.
+    Both sides are cut into square cells; a ring goes to the cells of its box.  A polygon may have several
+    rings, a row each: a point is inside if it lies in an odd number of them, so holes and parts count.
     """
     xs, ys = F.transform("ring", lambda p: p.x), F.transform("ring", lambda p: p.y)
 
@@ -61,7 +73,7 @@ def point_in_polygons(points: DataFrame, polygons: DataFrame, cell: float, id_co
 
     spread = polygons.select(poly_col, "ring", F.explode(cells(xs)).alias("ci")).withColumn("cj", F.explode(cells(ys)))
     at = points.withColumn("ci", F.floor(F.col("x") / cell)).withColumn("cj", F.floor(F.col("y") / cell))
-    hit = at.join(spread, ["ci", "cj"]).where(inside(F.col("x"), F.col("y"), F.col("ring"))).groupBy(id_col).agg(F.min(poly_col).alias(poly_col))
+    hit = at.join(spread, ["ci", "cj"]).where(inside(F.col("x"), F.col("y"), F.col("ring"))).groupBy(id_col, poly_col).agg(F.count("*").alias("rings")).where("rings % 2 = 1").groupBy(id_col).agg(F.min(poly_col).alias(poly_col))
     return points.join(hit, id_col, "left").withColumn(poly_col, F.coalesce(poly_col, F.lit(0)))
 
 
@@ -75,14 +87,44 @@ def places(sites: DataFrame, site_col: str) -> DataFrame:
     return sites.groupBy(F.col("lon").alias("x"), F.col("lat").alias("y")).agg(F.min(site_col).alias(site_col))
 
 
-def nearest_few(points: DataFrame, sites: DataFrame, id_col: str, site_col: str) -> DataFrame:
-    """Nearest of sites at a checked, small number of places to each point; the least id of a tie.
+def candidate_cells(spark: SparkSession, asking: DataFrame, occupied: DataFrame, cell: float, limit: int = 1 << 20) -> DataFrame:
+    """``pi, pj, ci, cj``: for each square cell (pi, pj) the occupied cells that can hold the site nearest to one of its points.
 
-    The sites travel as one sorted array to every task, so no pairs are written anywhere.
+    Of a cell's occupied cells, the one whose farthest place is nearest bounds the distance; every cell with a
+    place within that bound is a candidate.  Occupied cells are at most as many as the earth has (64,800 of one
+    degree), and that is checked before they reach the driver.
     """
-    one = few(places(sites, site_col)).agg(F.array_sort(F.collect_list(F.struct(F.col(site_col).alias("id"), "x", "y"))).alias("sites"))
-    near = F.array_min(F.transform("sites", lambda s: F.struct(degrees_apart_km(F.col("lon"), F.col("lat"), s.x, s.y).alias("km"), s.id.alias("id"))))
-    return points.crossJoin(F.broadcast(one)).select(*points.columns, near.alias("n")).select(*points.columns, F.col("n.id").alias(site_col), F.col("n.km").alias("km"))
+    held = occupied.limit(limit + 1).collect()
+    if len(held) > limit:
+        raise ValueError(f"more than {limit} cells with sites: choose larger cells")
+    sent = spark.sparkContext.broadcast(np.array(sorted((r["ci"], r["cj"]) for r in held), np.int64).reshape(-1, 2))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = sent.value
+        for batch in batches:
+            for i, j in zip(batch.column("pi").to_pylist(), batch.column("pj").to_pylist(), strict=True):
+                apart = np.abs(cells - (i, j))
+                most = ((apart + 1) ** 2).sum(axis=1).min() if len(cells) else 0
+                near = cells[(np.maximum(apart - 1, 0) ** 2).sum(axis=1) <= most]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), i)), pa.array(np.full(len(near), j)), pa.array(near[:, 0]), pa.array(near[:, 1])], ["pi", "pj", "ci", "cj"])
+
+    return asking.mapInArrow(run, "pi long, pj long, ci long, cj long")
+
+
+def nearest_few(points: DataFrame, sites: DataFrame, id_col: str, site_col: str, cell: float = 1.0) -> DataFrame:
+    """Nearest site to each point, the least id of a tie, however many points and sites there are.
+
+    Both sides are cut into cells; a point meets the sites of the cells in which its nearest one can be,
+    so the work follows the density of sites, not points times sites.
+    """
+    once = places(sites, site_col).select(site_col, "x", "y", F.floor(F.col("x") / cell).alias("ci"), F.floor(F.col("y") / cell).alias("cj"))
+    at = points.select(id_col, "lon", "lat", F.floor(F.col("lon") / cell).alias("pi"), F.floor(F.col("lat") / cell).alias("pj"))
+    cells = candidate_cells(points.sparkSession, at.select("pi", "pj").distinct(), once.select("ci", "cj").distinct(), cell)
+    # sites meet the point cells that ask for them before the points do
+    offered = cells.join(once, ["ci", "cj"]).select("pi", "pj", site_col, "x", "y")
+    km = degrees_apart_km(F.col("lon"), F.col("lat"), F.col("x"), F.col("y"))
+    best = at.join(offered, ["pi", "pj"]).groupBy(id_col, "lon", "lat").agg(F.min(F.struct(km.alias("km"), F.col(site_col).alias("id"))).alias("n"))
+    return points.join(best, [id_col, "lon", "lat"], "left").select(*points.columns, F.col("n.id").alias(site_col), F.col("n.km").alias("km"))
 
 
 def nearest_within(points: DataFrame, sites: DataFrame, id_col: str, site_col: str, most: float) -> DataFrame:
@@ -105,22 +147,38 @@ def regridded(grid: DataFrame, curvilinear: DataFrame, series: DataFrame, res: f
 
 
 def distances(centres: DataFrame, compat: bool = False) -> DataFrame:
-    """All pairs of a checked, small number of region centres (region, lat, lon), each with itself."""
-    a, b = (few(centres.select(*(F.col(c).alias(f"{c}{k}") for c in ("region", "lat", "lon"))), 5000) for k in (1, 2))
-    return a.crossJoin(b).select(F.col("region1").alias("r1"), F.col("region2").alias("r2"), haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"), compat).alias("km"))
+    """All pairs of region centres (region, lat, lon), each with itself: that is the result, n² rows for n regions.
+
+    The other side of a pair is cut into blocks of rows, so that a task reads whole blocks.
+    """
+    a, b = (centres.select(*(F.col(c).alias(f"{c}{k}") for c in ("region", "lat", "lon"))) for k in (1, 2))
+    block = F.struct("region2", "lat2", "lon2")
+    blocks = b.groupBy(F.pmod(F.xxhash64("region2"), F.lit(PAIR_BLOCKS)).alias("block")).agg(F.collect_list(block).alias("b"))
+    dealt = a.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PAIR_BLOCKS - 1).cast("long"))).alias("block"))
+    pairs = dealt.join(blocks, "block").select("region1", "lat1", "lon1", F.inline("b"))
+    return pairs.select(F.col("region1").alias("r1"), F.col("region2").alias("r2"), haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"), compat).alias("km"))
 
 
 def rasterized(polygons: DataFrame, res: float, west: float, north: float) -> DataFrame:
     """(lon_idx, lat_idx, poly_id) of the pixels whose centre lies in a polygon (poly_id, ring); the first of several.
 
-    Each polygon is cut into the rows of its box, and a row into the pixels between its crossings, so
-    only pixels near the polygon are made.
+    By scan lines: every edge tells where it crosses the centre lines of its rows; between the first and the
+    second crossing of a row, the third and the fourth, and so on, all pixels are inside.  A polygon may have
+    several rows: its rings, holes among them.
     """
-    ys, xs = F.transform("ring", lambda p: p.y), F.transform("ring", lambda p: p.x)
-    rows = polygons.select("poly_id", "ring", F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.explode(F.sequence(F.floor((F.lit(north) - F.array_max(ys)) / res) + 1, F.floor((F.lit(north) - F.array_min(ys)) / res) + 1)).alias("lat_idx"))
-    cells = rows.select("poly_id", "ring", F.col("lat_idx").cast("int").alias("lat_idx"), F.explode(F.sequence((F.floor((F.col("x0") - west) / res) + 1).cast("int"), (F.floor((F.col("x1") - west) / res) + 1).cast("int"))).alias("lon_idx"))
-    hit = cells.where(inside(F.lit(west) + res * (F.col("lon_idx") - 0.5), F.lit(north) - res * (F.col("lat_idx") - 0.5), F.col("ring")))
-    return hit.groupBy("lon_idx", "lat_idx").agg(F.min("poly_id").cast("int").alias("poly_id"))
+    n = F.size("ring")
+    edges = polygons.select("poly_id", F.explode(F.zip_with("ring", F.concat(F.slice("ring", 2, n), F.slice("ring", 1, 1)), lambda a, b: F.struct(a.x.alias("x1"), a.y.alias("y1"), b.x.alias("x2"), b.y.alias("y2")))).alias("e")).select("poly_id", "e.*").where("y1 <> y2")
+    # rows j with the lower end <= north - res * (j - 0.5) < the upper end
+    first = F.floor((F.lit(north) - F.greatest("y1", "y2")) / res + 0.5) + 1
+    last = F.floor((F.lit(north) - F.least("y1", "y2")) / res + 0.5)
+    rows = edges.where(first <= last).select("*", F.explode(F.sequence(first, last)).alias("j"))
+    y = F.lit(north) - res * (F.col("j") - 0.5)
+    crossing = F.col("x1") + (y - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
+    lines = rows.groupBy("poly_id", "j").agg(F.sort_array(F.collect_list(crossing)).alias("xs"))
+    low, high = F.col("xs")[F.col("k") * 2], F.col("xs")[F.col("k") * 2 + 1]
+    runs = lines.select("*", F.explode(F.sequence(F.lit(0), (F.size("xs") / 2).cast("int") - 1)).alias("k")).select("poly_id", "j", F.ceil((low - west) / res + 0.5).alias("a"), (F.ceil((high - west) / res + 0.5) - 1).alias("b"))
+    cells = runs.where("a <= b").select("poly_id", F.explode(F.sequence(F.col("a").cast("int"), F.col("b").cast("int"))).alias("lon_idx"), F.col("j").cast("int").alias("lat_idx"))
+    return cells.groupBy("lon_idx", "lat_idx").agg(F.min("poly_id").cast("int").alias("poly_id"))
 
 
 def service_areas(pixels: DataFrame, sites: DataFrame) -> DataFrame:

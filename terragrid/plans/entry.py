@@ -60,7 +60,7 @@ def wind_potential(spark: SparkSession, data: Data, o: WindOptions, nlon: int =
     techs = resource.wind_techs(px.withColumns({"onshore_a": m["onshore_a"], "onshore_b": m["onshore_b"], "offshore_ok": m["offshore"]}), o)
     all_years = spark.read.parquet(data.path("cells", "wind"))
     means = all_years.groupBy(*resource.CELL).agg(F.avg("mean").alias("mean_all"))
-    used = all_years.where((F.col("year") == o.era_year) & (F.col("mean") > 0)).select(*resource.CELL, F.posexplode("series").alias("hour", "value"))
+    used = all_years.where((F.col("year") == o.era_year) & (F.col("mean") > 0)).select(*resource.CELL, F.sequence(F.lit(0), F.size("series") - 1).alias("hours"), F.col("series").cast("array<double>").alias("values"))
     techs = techs.join(means, resource.CELL)
     factor = F.try_divide("atlas", F.nullif("mean_all", F.lit(0.0))) if o.rescale_to_wind_atlas else F.lit(1.0)
     return resource.capacity(techs), resource.hourly(techs, used, factor, wind.capacity_factor)

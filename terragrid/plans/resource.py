@@ -2,20 +2,26 @@
 
 Pixels carry masks and classes; coarse cells carry hourly series.  Fine pixels meet their cell by the
 integer key ``coarse_index``.  The number of pixels of a (tech, region, class, cell[, factor]) is
-aggregated first, and only these weights meet the hours: the cost of the hourly part is cells times
-hours, not pixels times hours.
+aggregated first, and only these weights meet the series.  With a factor per pixel, a cell's weights and
+its series, one array, come together in one group, and only sums by class leave it: no rows are pixels
+times hours, and the hourly part writes at most cells times classes times hours.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from ..functions import wind
 from ..functions.scalar import classes, is_region
 from ..options import SolarOptions, WindOptions
 
 CELL = ["era_lon", "era_lat"]
+#: So many factors of a cell meet its hours at once.
+FACTORS = 256
 
 
 def stacked(pixels: DataFrame, techs: list[tuple[str, Column, Column, Column, Column]]) -> DataFrame:
@@ -55,17 +61,50 @@ def capacity(techs: DataFrame) -> DataFrame:
     return techs.groupBy("tech", "region", "class").agg(F.sum("capacity_gw").alias("capacity_gw"), F.count("*").alias("pixels"))
 
 
+def as_series(cells: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """(keys, hours, values): one row with two arrays per cell, without nulls."""
+    held = cells.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("hour", F.col(value).cast("double").alias("v")))).alias("s"))
+    return held.select(*keys, F.col("s.hour").alias("hours"), F.col("s.v").alias("values"))
+
+
 def hourly(techs: DataFrame, cells: DataFrame, factor: Column | None = None, curve=None, keys: list[str] = CELL, value: str = "value") -> DataFrame:
     """(tech, region, class, hour, cf): mean over pixels.
 
-    ``cells`` is (keys, hour, value).  ``factor`` scales a pixel's series and ``curve`` is applied to
-    the scaled value; pixels of equal factor in one cell are aggregated before they meet the hours.
+    ``cells`` is (keys, hour, value), or (keys, hours, values) with a cell's series as arrays.  ``factor``
+    scales a pixel's series and ``curve``, a function of numpy arrays, is applied to the scaled values.
     """
-    weights = techs.select("tech", "region", "class", *keys, (factor if factor is not None else F.lit(1.0)).alias("factor")).where("factor is not null")
+    weights = techs.select("tech", "region", "class", *keys, (factor if factor is not None else F.lit(1.0)).cast("double").alias("factor")).where("factor is not null")
     weights = weights.groupBy("tech", "region", "class", *keys, "factor").agg(F.count("*").alias("w"))
-    met = weights.join(cells, keys)
-    x = F.col(value).cast("double") * F.col("factor")
-    return met.groupBy("tech", "region", "class", "hour").agg(F.try_divide(F.sum(F.col("w") * (curve(x) if curve else x)), F.sum("w")).alias("cf"))
+    group = ["tech", "region", "class"]
+    if factor is None and curve is None:  # linear: a cell's value counts as often as it has pixels
+        if "hours" in cells.columns:
+            cells = cells.select(*keys, F.inline(F.arrays_zip(F.col("hours").alias("hour"), F.col("values").alias(value))))
+        met = weights.drop("factor").join(cells, keys)
+        return met.groupBy(*group, "hour").agg(F.try_divide(F.sum(F.col("w") * F.col(value).cast("double")), F.sum("w")).alias("cf"))
+    series = cells if "hours" in cells.columns else as_series(cells, keys, value)
+
+    def meet(mine: pa.Table, cell: pa.Table) -> pa.Table:
+        names = [*group, "w", "sums", "hours"]
+        types = [*(mine.schema.field(c).type for c in group), pa.int64(), pa.list_(pa.float64()), cell.schema.field("hours").type]
+        if not mine.num_rows or not cell.num_rows:
+            return pa.table([pa.array([], t) for t in types], names)
+        values = np.asarray(cell.column("values").combine_chunks().values, float)
+        factors, at = np.unique(mine.column("factor").to_numpy(), return_inverse=True)
+        rows = list(zip(*(mine.column(c).to_pylist() for c in group), strict=True))
+        number = {r: k for k, r in enumerate(dict.fromkeys(rows))}
+        pixels = np.zeros((len(number), len(factors)))
+        np.add.at(pixels, ([number[r] for r in rows], at), mine.column("w").to_numpy())
+        sums = np.zeros((len(number), len(values)))
+        for k in range(0, len(factors), FACTORS):  # factors meet the hours in blocks of bounded size
+            x = values * factors[k : k + FACTORS, None]
+            sums += pixels[:, k : k + FACTORS] @ (curve(x) if curve else x)
+        columns = [*zip(*number, strict=True), pixels.sum(axis=1).astype(np.int64), list(sums), cell.column("hours").to_pylist() * len(number)]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    schema = StructType([*(weights.schema[c] for c in group), StructField("w", LongType()), StructField("sums", ArrayType(DoubleType())), series.schema["hours"]])
+    of_class = weights.groupBy(*keys).cogroup(series.groupBy(*keys)).applyInArrow(meet, schema)
+    by_hour = of_class.select(*group, "w", F.inline(F.arrays_zip(F.col("hours").alias("hour"), F.col("sums").alias("total"))))
+    return by_hour.groupBy(*group, "hour").agg(F.try_divide(F.sum("total"), F.sum("w")).alias("cf"))
 
 
 def class_map(pixels: DataFrame, o: WindOptions, atlas: str = "atlas") -> DataFrame:

@@ -84,10 +84,10 @@ def wind_capacity(spark, d):
     "v_pixel", "v_cell_hour",
 )
 def wind_hourly(spark, d):
-    """Hourly capacity factors, rescaled to the atlas; weights are aggregated before the hours."""
+    """Hourly capacity factors, rescaled to the atlas; a cell's weights meet its series as one array."""
     hours = view(spark, d, "v_cell_hour")
     mean = hours.groupBy("era_lon").agg(F.avg("value").alias("mean_all"))
-    techs = resource.wind_techs(pixels(spark, d), WindOptions()).join(F.broadcast(mean), "era_lon")
+    techs = resource.wind_techs(pixels(spark, d), WindOptions()).join(mean, "era_lon")
     return resource.hourly(techs, hours.select("era_lon", "hour", "value"), F.try_divide("atlas", F.nullif("mean_all", F.lit(0.0))), wind.capacity_factor, ["era_lon"])
 
 
@@ -134,7 +134,7 @@ def solar_map(spark, d):
     f"""WITH {PIXELS} SELECT pixel_id,
     CASE WHEN region = 0 THEN 0 WHEN region = 32767 THEN 32767 WHEN popdens > 150 THEN 2 WHEN kept THEN 3 WHEN NOT grid_a AND NOT grid_b THEN 4 WHEN NOT good_wind THEN 1 WHEN NOT grid_a THEN 8 ELSE 7 END AS wind_code,
     CASE WHEN region = 0 THEN 0 WHEN region = 32767 THEN 32767 WHEN popdens > 150 THEN 2 WHEN kept THEN 3 WHEN NOT grid_a AND NOT grid_b THEN 4 WHEN NOT good_solar THEN 1 WHEN NOT grid_a THEN 6 ELSE 5 END AS solar_code,
-    CASE WHEN offshore = 0 THEN 0 WHEN offshore = 32767 THEN 32767 WHEN kept THEN 3 WHEN topo <= -40 THEN 8 WHEN NOT grid_b THEN 4 ELSE 7 END AS offshore_code FROM px""",
+    CASE WHEN offshore = 0 THEN 32767 WHEN offshore = 32767 THEN 0 WHEN kept THEN 3 WHEN topo <= -40 THEN 8 WHEN NOT grid_b THEN 4 ELSE 7 END AS offshore_code FROM px""",
     "v_pixel",
 )
 def mask_codes(spark, d):
@@ -395,10 +395,10 @@ def population_centres(spark, d):
 
 # Regions and spatial joins
 
-EUROPE = [("r1", regions.Admin(("EUROPE",))), ("r2", regions.Admin(("ASIA",), ("CHINA", "INDIA"))), ("r3", (regions.Admin(("AMERICA",), ("CANADA",)), regions.Admin(("ASIA",), ("JAPAN",))))]
+EUROPE = [("r1", regions.Admin(("EUROPE",))), ("r2", regions.Admin(("ASIA",), ("NATION_7", "NATION_12"))), ("r3", (regions.Admin(("AMERICA",), ("NATION_6",)), regions.Admin(("ASIA",), ("NATION_17",))))]
 
 
-@query("SELECT uid, n0, n1, CASE WHEN n0 = 'EUROPE' THEN 1 WHEN n0 = 'ASIA' AND n1 IN ('CHINA', 'INDIA') THEN 2 WHEN n0 = 'AMERICA' AND n1 = 'CANADA' OR n0 = 'ASIA' AND n1 = 'JAPAN' THEN 3 ELSE 0 END AS region FROM v_region_name", "v_region_name")
+@query("SELECT uid, n0, n1, CASE WHEN n0 = 'EUROPE' THEN 1 WHEN n0 = 'ASIA' AND n1 IN ('NATION_7', 'NATION_12') THEN 2 WHEN n0 = 'AMERICA' AND n1 = 'NATION_6' OR n0 = 'ASIA' AND n1 = 'NATION_17' THEN 3 ELSE 0 END AS region FROM v_region_name", "v_region_name")
 def admin_lookup(spark, d):
     """Region of a place by the hierarchy."""
     places = view(spark, d, "v_region_name").withColumn("n2", F.lit(None).cast("string"))
@@ -438,15 +438,13 @@ def all_subregions(spark, d):
     return regions.all_subregions(view(spark, d, "v_region_name").withColumn("n1", F.when(F.col("uid") % 3 == 0, "").otherwise(F.col("n1"))), 1)
 
 
-GROUPS = {"OECD": ["FRANCE", "GERMANY", "JAPAN", "CANADA"], "ASIA": ["CHINA", "INDIA", "INDONESIA"]}
+GROUPS = {"OECD": ["NATION_6", "NATION_7", "NATION_12", "NATION_3"], "ASIA": ["NATION_18", "NATION_8", "NATION_9"]}
 
 
-@query("SELECT n_name AS country, CASE WHEN n_name IN ('FRANCE', 'GERMANY', 'JAPAN', 'CANADA') THEN 'OECD' WHEN n_name IN ('CHINA', 'INDIA', 'INDONESIA') THEN 'ASIA' ELSE '' END AS grp FROM nation")
+@query("SELECT n_name AS country, CASE WHEN n_name IN ('NATION_6', 'NATION_7', 'NATION_12', 'NATION_3') THEN 'OECD' WHEN n_name IN ('NATION_18', 'NATION_8', 'NATION_9') THEN 'ASIA' ELSE '' END AS grp FROM nation")
 def scenario_groups(spark, d):
     """Scenario group of a country."""
-    known = view(spark, d, "nation").select(F.col("n_name").alias("country"))
-    have = {r["country"] for r in known.limit(300).collect()}
-    return regions.grouped_countries({g: [c for c in m if c in have] for g, m in GROUPS.items()}, known, spark)
+    return regions.grouped_countries(GROUPS, view(spark, d, "nation").select(F.col("n_name").alias("country")), spark)
 
 
 @query(f"WITH {PIXELS} SELECT region, avg(CAST(lat AS DOUBLE)) AS lat, avg(CAST(lon AS DOUBLE)) AS lon, sum(lat * popdens) / sum(popdens) AS pop_lat, sum(lon * popdens) / sum(popdens) AS pop_lon FROM px WHERE region > 0 AND region <> 32767 GROUP BY 1", "v_pixel")
@@ -772,10 +770,10 @@ def both_buses(customers, suppliers):
     return a.join(b, "bus", "full").select("bus", F.coalesce("customers", F.lit(0)).alias("customers"), F.coalesce("balance", F.lit(0.0)).alias("balance"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL) AND c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_name LIKE '%A')")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL) AND c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_name LIKE '%1')")
 def missing_buses(spark, d):
     """Members without data, of some countries."""
-    some = view(spark, d, "nation").where(F.col("n_name").endswith("A")).select(F.col("n_nationkey").alias("c_nationkey"))
+    some = view(spark, d, "nation").where(F.col("n_name").endswith("1")).select(F.col("n_nationkey").alias("c_nationkey"))
     return view(spark, d, "customer").join(some, "c_nationkey", "left_semi").join(view(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
 
 
@@ -808,9 +806,8 @@ TYPES = "click purchase signup view error".split()
 def pivot_round_trip(spark, d):
     """K4, K5: long to wide and back."""
     e = view(spark, d, "events").withColumn("bus", (F.col("user_id") % 4).cast("int"))
-    names = [r["event_type"] for r in e.select("event_type").distinct().orderBy("event_type").collect()]
-    wide = e.groupBy("bus").pivot("event_type", names).agg(F.sum("value"))
-    return wide.unpivot(["bus"], names, "event_type", "v").where("v is not null")
+    wide = e.groupBy("bus").pivot("event_type", TYPES).agg(F.sum("value"))
+    return wide.unpivot(["bus"], TYPES, "event_type", "v").where("v is not null")
 
 
 @query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
@@ -877,8 +874,8 @@ def sun_position(spark, d):
 )
 def irradiance(spark, d):
     """Tilted and direct irradiance."""
-    x = solar.irradiance(F.col("value") * 20000, F.col("value") * 12000, F.col("ts"), F.col("lat"), F.col("lon"))
-    return sunny(spark, d).select("event_id", x.dni.alias("dni"), x.gti.alias("gti"))
+    rows = sunny(spark, d).withColumns({"ssrd": F.col("value") * 20000, "fdir": F.col("value") * 12000})
+    return solar.with_irradiance(rows, "ssrd", "fdir").select("event_id", "dni", "gti")
 
 
 @query("SELECT event_id, sqrt(pow(value / 10, 2) + pow(coalesce(CASE WHEN event_id % 3 = 0 THEN NULL ELSE value / 20 END, 0), 2)) AS speed, CASE WHEN event_id % 5 > 0 THEN value + 200 - 273.15 ELSE 0 END AS celsius FROM events")
