@@ -137,11 +137,6 @@ def significant(x: Column, digits: int = 4) -> Column:
     return out.otherwise(x)
 
 
-def park_row(tech: Column, region: Column, cls: Column, hour: Column, value: Column) -> Column:
-    """A fixed-width line for a modelling language."""
-    return F.format_string("%-3s . %s%-2d . h%04d %10.6f", region, tech, cls, hour, value)
-
-
 def decimal_comma(x: Column, digits: int = 6) -> Column:
     return F.translate(F.format_string(f"%.{digits}f", x), ".", ",")
 

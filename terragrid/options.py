@@ -28,9 +28,13 @@ def with_options(defaults: O, given: Mapping[str, Any]) -> O:
     return replace(defaults, **given)
 
 
+# The defaults below are fixed values.
+
+
 @dataclass(frozen=True)
 class SolarOptions:
     gisregion: str = "Europe8"
+    filenamesuffix: str = ""
     pv_density: float = 45.0
     csp_density: float = 35.0
     pvroof_area: float = 0.05
@@ -48,6 +52,7 @@ class SolarOptions:
     pvclasses_max: tuple[float, ...] = (0.14, 0.18, 0.22, 0.26, 1.0)
     cspclasses_min: tuple[float, ...] = (0.10, 0.18, 0.24, 0.28, 0.32)
     cspclasses_max: tuple[float, ...] = (0.18, 0.24, 0.28, 0.32, 1.0)
+    downsample_masks: int = 1
     classB_threshold: float = 0.001
     grid_everywhere: bool = False
 
@@ -55,6 +60,7 @@ class SolarOptions:
 @dataclass(frozen=True)
 class WindOptions:
     gisregion: str = "Europe8"
+    filenamesuffix: str = ""
     onshore_density: float = 5.0
     offshore_density: float = 8.0
     area_onshore: float = 0.08
@@ -68,14 +74,18 @@ class WindOptions:
     scenarioyear: str = "ssp2_2050"
     era_year: int = 2018
     rescale_to_wind_atlas: bool = True
+    wind_speed_altitude: int = 100
+    wind_class_altitude: int = 100
     res: float = 0.01
     erares: float = 0.28125
     onshoreclasses_min: tuple[float, ...] = (2.0, 5.0, 6.0, 7.0, 8.0)
     onshoreclasses_max: tuple[float, ...] = (5.0, 6.0, 7.0, 8.0, 99.0)
     offshoreclasses_min: tuple[float, ...] = (3.0, 6.0, 7.0, 8.0, 9.0)
     offshoreclasses_max: tuple[float, ...] = (6.0, 7.0, 8.0, 9.0, 99.0)
+    downsample_masks: int = 1
     classB_threshold: float = 0.001
     grid_everywhere: bool = False
+    climate_scenario: str = ""
 
 
 @dataclass(frozen=True)

@@ -31,7 +31,8 @@ def stacked(pixels: DataFrame, techs: list[tuple[str, Column, Column, Column, Co
 
 
 def wind_techs(pixels: DataFrame, o: WindOptions, atlas: str = "atlas") -> DataFrame:
-    """Pixels with mask columns onshore_a, onshore_b, offshore_ok, columns region, offshore, area_km2 and the atlas."""
+    """Pixels with mask columns onshore_a, onshore_b, offshore_ok, columns region, offshore, area_km2 and the speed that
+    tells the class, named by ``atlas``."""
     on = classes(F.col(atlas), o.onshoreclasses_min, o.onshoreclasses_max)
     off = classes(F.col(atlas), o.offshoreclasses_min, o.offshoreclasses_max)
     gw, gw_off = (wind.capacity_gw(d, s, F.col("area_km2")) for d, s in ((o.onshore_density, o.area_onshore), (o.offshore_density, o.area_offshore)))
@@ -82,6 +83,7 @@ def hourly(techs: DataFrame, cells: DataFrame, factor: Column | None = None, cur
         met = weights.drop("factor").join(cells, keys)
         return met.groupBy(*group, "hour").agg(F.try_divide(F.sum(F.col("w") * F.col(value).cast("double")), F.sum("w")).alias("cf"))
     series = cells if "hours" in cells.columns else as_series(cells, keys, value)
+    series = series.select(*(F.col(c).alias(f"{c}_") for c in keys), "hours", "values")  # names apart, should both sides come from one table
 
     def meet(mine: pa.Table, cell: pa.Table) -> pa.Table:
         names = [*group, "w", "sums", "hours"]
@@ -102,7 +104,7 @@ def hourly(techs: DataFrame, cells: DataFrame, factor: Column | None = None, cur
         return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
     schema = StructType([*(weights.schema[c] for c in group), StructField("w", LongType()), StructField("sums", ArrayType(DoubleType())), series.schema["hours"]])
-    of_class = weights.groupBy(*keys).cogroup(series.groupBy(*keys)).applyInArrow(meet, schema)
+    of_class = weights.groupBy(*keys).cogroup(series.groupBy(*(f"{c}_" for c in keys))).applyInArrow(meet, schema)
     by_hour = of_class.select(*group, "w", F.inline(F.arrays_zip(F.col("hours").alias("hour"), F.col("sums").alias("total"))))
     return by_hour.groupBy(*group, "hour").agg(F.try_divide(F.sum("total"), F.sum("w")).alias("cf"))
 
@@ -147,6 +149,14 @@ def site_cf(sites: DataFrame, cells: DataFrame, keys: list[str] = CELL) -> DataF
     return met.groupBy("site_id").agg(F.avg(v).alias("speed"), F.avg(wind.capacity_factor(v)).alias("cf"))
 
 
+def site_cf_years(sites: DataFrame, cells: DataFrame, years: list[int], keys: list[str] = CELL) -> DataFrame:
+    """Mean over some years of the yearly means of points; hours of all years are (keys, year, hour, value, mean_all)."""
+    met = sites.join(cells.where(F.col("year").isin(*years)), keys)
+    v = wind.rescaled(F.col("value"), F.col("atlas"), F.col("mean_all"))
+    yearly = met.groupBy("site_id", "year").agg(F.avg(v).alias("speed"), F.avg(wind.capacity_factor(v)).alias("cf"))
+    return yearly.groupBy("site_id").agg(F.avg("speed").alias("speed"), F.avg("cf").alias("cf"))
+
+
 def deviations(yearly: DataFrame) -> DataFrame:
     """(y1, y2, deviation): mean absolute difference over cells of every two different years of (cell, year, value).
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .fixtures import sql, view
 from .functions import grid, scalar, solar, wind
 from .operators import masks, raster, regions, spatial
-from .options import HydroOptions, NOREGION, SolarOptions, WindOptions
+from .options import HydroOptions, NOREGION, SolarOptions, WindOptions, with_options
 from .plans import demand, entry, hydro, resource, turbines
 from .sources import tables
 
@@ -146,6 +146,96 @@ def mask_codes(spark, d):
     return p.select("pixel_id", masks.wind_code(WindOptions(), w, c[0], c[3]).alias("wind_code"), masks.solar_code(SolarOptions(), s, c[0], c[3]).alias("solar_code"), masks.offshore_code(WindOptions(), w, F.col("topo"), F.col("offshore")).alias("offshore_code"))
 
 
+# Whole computations: territory split at the shore, disk means, masks, classes, hours
+
+#: Radii in pixels of the reach of the grid and of the shore.
+REACH, SHORE = 2.3, 1.2
+WHOLE = {"distance_elec_access": REACH * RES * grid.KM_PER_DEGREE, "min_shore_distance": SHORE * RES * grid.KM_PER_DEGREE}
+#: Shares of their pixels that a disk of each radius covers, over its area: counted on 1,500 by 1,500 points a pixel.
+REACH_SQL = "k1(a, b, w) AS (SELECT i.range, j.range, CASE least(abs(i.range), abs(j.range)) * 10 + greatest(abs(i.range), abs(j.range)) WHEN 2 THEN 0.04704 WHEN 12 THEN 0.03285 WHEN 22 THEN 0.00187 ELSE 0.06017 END FROM range(-2, 3) i, range(-2, 3) j)"
+SHORE_SQL = "k2(a, b, w) AS (SELECT i.range, j.range, CASE abs(i.range) + abs(j.range) WHEN 0 THEN 0.22105 WHEN 1 THEN 0.14685 ELSE 0.04789 END FROM range(-1, 2) i, range(-1, 2) j)"
+WHOLE_SQL = f"""{REACH_SQL}, {SHORE_SQL}, g0 AS (SELECT *, CASE WHEN lon_idx % 20 < 8 AND lat_idx % 12 < 6 THEN 0 ELSE land END AS land2, CASE WHEN pixel_id % 97 = 0 THEN 1.0 ELSE 0.0 END AS access FROM v_pixel),
+g1 AS (SELECT *, CASE WHEN land2 > 0 THEN region ELSE 0 END AS r, CASE WHEN land2 = 0 THEN region ELSE 0 END AS offr, cos(radians(90 - (lat_idx - 0.5) * 0.01)) * pow(2 * pi() * 6371.0 / 360 * 0.01, 2) AS area FROM g0),
+hh AS (SELECT greatest(20, max(lat_idx)) AS h FROM g1),
+bu AS (SELECT g.pixel_id, sum(coalesce(n.access, 0) * k.w) AS buffered FROM g1 g CROSS JOIN k1 k CROSS JOIN hh LEFT JOIN g1 n ON n.lon_idx = least(greatest(g.lon_idx + k.a, 1), 100) AND n.lat_idx = least(greatest(g.lat_idx + k.b, 1), hh.h) GROUP BY 1),
+sh AS (SELECT g.pixel_id, sum(CASE WHEN n.r > 0 THEN k.w ELSE 0 END) AS near FROM g1 g CROSS JOIN k2 k CROSS JOIN hh LEFT JOIN g1 n ON n.lon_idx = least(greatest(g.lon_idx + k.a, 1), 100) AND n.lat_idx = least(greatest(g.lat_idx + k.b, 1), hh.h) GROUP BY 1),
+wp AS (SELECT g1.*, bu.buffered > 0.001 AS grid_b, sh.near > 1e-6 AS ashore, protected IN (1,2,3,4,5,8) AS kept FROM g1 JOIN bu USING (pixel_id) JOIN sh USING (pixel_id)),
+wm AS (SELECT *, r > 0 AND land2 NOT IN (0,11,13) AND popdens < 150 AND NOT kept AS fit FROM wp),
+wt AS (SELECT 'onshoreA' AS tech, r AS region, {ON} AS class, 5.0 * 0.08 / 1000 * area AS gw, era_lon, atlas FROM wm WHERE fit AND access > 0 AND r <> 32767
+  UNION ALL SELECT 'onshoreB', r, {ON}, 2 * 5.0 * 0.08 / 1000 * area, era_lon, atlas FROM wm WHERE fit AND access = 0 AND grid_b AND r <> 32767
+  UNION ALL SELECT 'offshore', offr, {OFF}, 8.0 * 0.33 / 1000 * area, era_lon, atlas FROM wm WHERE grid_b AND NOT ashore AND topo > -40 AND offr > 0 AND offr <> 32767 AND NOT kept)"""
+
+
+def whole_pixels(spark, d, o):
+    """Masked pixels of the whole table, with a sea, a sparse grid and the disk means of both."""
+    p = view(spark, d, "v_pixel")
+    sea = (F.col("lon_idx") % 20 < 8) & (F.col("lat_idx") % 12 < 6)
+    p = p.withColumns({"land": F.when(sea, 0).otherwise(F.col("land")), "gridaccess": (F.col("pixel_id") % 97 == 0).cast("double"), "mean_gti": F.col("atlas") / 40, "mean_dni": F.col("atlas") / 30})
+    on, off = raster.split_shore(F.col("region"), F.col("land"))
+    p = p.withColumns({"region": on, "offshore": off})
+    return entry.masked(entry.prepared(entry.located(p, RES), o, 100, height(p), tile=64), o)
+
+
+def whole_wind(spark, d):
+    o = with_options(WindOptions(), WHOLE)
+    px = whole_pixels(spark, d, o)
+    cells = view(spark, d, "v_cell_hour").groupBy("era_lon").agg(F.avg("value").alias("mean"), F.sort_array(F.collect_list(F.struct("hour", "value"))).alias("s"))
+    cells = cells.select("era_lon", "mean", F.col("s.hour").alias("hours"), F.col("s.value").alias("values")).join(px.select("era_lon", "era_lat").distinct(), "era_lon")
+    return entry.wind_result(px, cells.select(*resource.CELL, (F.col("mean") * 1.1).alias("mean_all")), cells, o)
+
+
+@query(f"WITH {WHOLE_SQL} SELECT tech, region, class, sum(gw) AS capacity_gw, count(*) AS pixels FROM wt WHERE class > 0 GROUP BY ALL", "v_pixel")
+def whole_wind_capacity(spark, d):
+    """Capacity from layers by way of disk means, the shore and masks."""
+    return whole_wind(spark, d)[0]
+
+
+@query(
+    f"""WITH {WHOLE_SQL}, {CURVE}, means AS (SELECT era_lon, avg(value) * 1.1 AS mean_all FROM v_cell_hour GROUP BY 1),
+    met AS (SELECT t.tech, t.region, t.class, h.hour, h.value * t.atlas / m.mean_all AS x FROM wt t JOIN means m ON t.era_lon = m.era_lon JOIN v_cell_hour h ON t.era_lon = h.era_lon WHERE t.class > 0)
+    SELECT tech, region, class, hour, avg({CF.format(x="x")}) AS cf FROM met LEFT JOIN curve c0 ON c0.v = floor(x) LEFT JOIN curve c1 ON c1.v = floor(x) + 1 GROUP BY ALL""",
+    "v_pixel", "v_cell_hour",
+)
+def whole_wind_hourly(spark, d):
+    """Hourly factors of the same."""
+    return whole_wind(spark, d)[1]
+
+
+@query(
+    f"""WITH {REACH_SQL}, {WHOLE_SQL.split(f"{SHORE_SQL}, ")[1].split("sh AS")[0]} sp AS (SELECT g1.*, bu.buffered > 0.001 AS grid_b, protected IN (1,2,3,4,5,8) AS kept, atlas / 40 AS mean_gti, atlas / 30 AS mean_dni FROM g1 JOIN bu USING (pixel_id)),
+    sm AS (SELECT *, r > 0 AND land2 NOT IN (0,1,2,3,4,5,8) AND popdens < 150 AND NOT kept AS fit, access > 0 AND popdens > 200 AND NOT kept AS roof FROM sp),
+    st AS (SELECT 'pvrooftop' AS tech, r AS region, {PV} AS class, 45.0 * 0.05 / 1000 * area AS gw FROM sm WHERE roof
+     UNION ALL SELECT 'pvplantA', r, {PV}, 45.0 * 0.05 / 1000 * area FROM sm WHERE fit AND access > 0 AND NOT roof
+     UNION ALL SELECT 'pvplantB', r, {PV}, 2 * 45.0 * 0.05 / 1000 * area FROM sm WHERE fit AND access = 0 AND grid_b AND NOT roof
+     UNION ALL SELECT 'cspplantA', r, {CSP}, 35.0 * 0.05 / 1000 * area FROM sm WHERE fit AND access > 0
+     UNION ALL SELECT 'cspplantB', r, {CSP}, 2 * 35.0 * 0.05 / 1000 * area FROM sm WHERE fit AND access = 0 AND grid_b)
+    SELECT tech, region, class, sum(gw) AS capacity_gw, count(*) AS pixels FROM st WHERE class > 0 AND region > 0 AND region <> 32767 GROUP BY ALL""",
+    "v_pixel",
+)
+def whole_solar_capacity(spark, d):
+    """Solar capacity from layers by way of the disk mean and masks."""
+    o = with_options(SolarOptions(), {"distance_elec_access": WHOLE["distance_elec_access"]})
+    hours = view(spark, d, "v_cell_hour").select("era_lon", F.lit(1).alias("era_lat"), "hour", "value")
+    return entry.solar_result(whole_pixels(spark, d, o), hours, hours, o)[0]
+
+
+@query(
+    """WITH a0 AS (SELECT lon_idx, lat_idx, CASE WHEN land % 5 = 0 THEN 0 ELSE region END AS region, CASE WHEN land % 5 = 0 THEN region ELSE 0 END AS offshore, popdens, 90 - (lat_idx - 0.5) * 0.01 AS lat, (lon_idx - 0.5) * 0.01 - 180 AS lon FROM v_pixel),
+    c AS (SELECT region, sum(lat * popdens) / sum(popdens) AS lat, sum(lon * popdens) / sum(popdens) AS lon FROM a0 WHERE region > 0 AND region <> 32767 GROUP BY 1),
+    k AS (SELECT DISTINCT a.region AS r1, b.region AS r2 FROM a0 a JOIN a0 b ON abs(a.lon_idx - b.lon_idx) <= 1 AND abs(a.lat_idx - b.lat_idx) <= 1 WHERE a.region > 0 AND a.region <> 32767 AND b.region > 0 AND b.region <> 32767),
+    o AS (SELECT DISTINCT a.offshore AS r1, b.offshore AS r2 FROM a0 a JOIN a0 b ON abs(a.lon_idx - b.lon_idx) <= 1 AND abs(a.lat_idx - b.lat_idx) <= 1 WHERE a.offshore > 0 AND a.offshore <> 32767 AND b.offshore > 0 AND b.offshore <> 32767)
+    SELECT a.region AS r1, b.region AS r2, 2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) AS km,
+      k.r1 IS NOT NULL AS connected, o.r1 IS NOT NULL AND k.r1 IS NULL AS connected_offshore FROM c a CROSS JOIN c b LEFT JOIN k ON k.r1 = a.region AND k.r2 = b.region LEFT JOIN o ON o.r1 = a.region AND o.r2 = b.region""",
+    "v_pixel",
+)
+def region_graph(spark, d):
+    """Distances of regions, and which touch on land or at sea."""
+    p = entry.located(view(spark, d, "v_pixel"), RES)
+    sea = F.col("land") % 5 == 0
+    p = p.withColumns({"offshore": F.when(sea, F.col("region")).otherwise(0), "region": F.when(sea, 0).otherwise(F.col("region"))})
+    return regions.region_graph(p, regions.centres(p))
+
+
 @query("""SELECT pixel_id, CASE WHEN popdens >= 50 AND popdens < 120 THEN 2 WHEN popdens >= 10 AND popdens < 40 THEN 1 ELSE 0 END AS gaps,
  CASE WHEN popdens >= 0 AND popdens < 100 THEN 1 WHEN popdens >= 50 AND popdens < 200 THEN 2 END AS first_class FROM v_pixel""", "v_pixel")
 def interval_classes(spark, d):

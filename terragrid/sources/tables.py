@@ -100,11 +100,15 @@ def ascii_grid(spark: SparkSession, path: str, name: str = "value") -> DataFrame
 
 
 def geojson(spark: SparkSession, path: str) -> DataFrame:
-    """(poly_id, properties, ring) of the outer rings of a feature collection, numbered from 1."""
-    schema = "features array<struct<properties: map<string, string>, geometry: struct<type: string, coordinates: array<array<array<double>>>>>>"
+    """(poly_id, properties, ring) of a feature collection, features numbered from 1: a row for each ring of a
+    Polygon or MultiPolygon, holes among them; joins and rasters count rings by the even-odd rule."""
+    schema = "features array<struct<properties: map<string, string>, geometry: struct<type: string, coordinates: string>>>"
     rows = spark.read.schema(schema).json(path, multiLine=True).select(F.posexplode("features").alias("k", "f"))
-    ring = F.transform(F.col("f.geometry.coordinates")[0], lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
-    return rows.where(F.col("f.geometry.type") == "Polygon").select((F.col("k") + 1).alias("poly_id"), F.col("f.properties").alias("properties"), ring.alias("ring"))
+    rings = "array<array<array<double>>>"
+    one, many = F.from_json("f.geometry.coordinates", rings), F.flatten(F.from_json("f.geometry.coordinates", f"array<{rings}>"))
+    parts = F.when(F.col("f.geometry.type") == "Polygon", one).when(F.col("f.geometry.type") == "MultiPolygon", many)
+    held = rows.select((F.col("k") + 1).alias("poly_id"), F.col("f.properties").alias("properties"), F.explode(parts).alias("r"))
+    return held.select("poly_id", "properties", F.transform("r", lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))).alias("ring"))
 
 
 def union_registers(tables: Iterable[DataFrame]) -> DataFrame:
@@ -117,14 +121,19 @@ def union_registers(tables: Iterable[DataFrame]) -> DataFrame:
 
 def write_result(df: DataFrame, path: str, partitions: tuple[str, ...] = ("tech",)) -> None:
     """A result in long form; sizes of files follow the partitions."""
-    df.repartition(*partitions).write.mode("overwrite").partitionBy(*partitions).option("compression", "zstd").parquet(path)
+    spread = df.repartition(*partitions) if partitions else df
+    spread.write.mode("overwrite").partitionBy(*partitions).option("compression", "zstd").parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
 def write_if_absent(df: DataFrame, path: str) -> DataFrame:
     """Write a table once; later calls read it."""
     spark = df.sparkSession
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+    if not exists(spark, f"{path}/_SUCCESS"):
         df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
