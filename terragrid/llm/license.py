@@ -17,9 +17,11 @@ import re
 from collections import Counter
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 #: Licence names and the wording of their notices.
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
@@ -35,12 +37,26 @@ TEMPLATES = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
+    ("GPL-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("MIT", "SPDX-License-Identifier: MIT"),
+    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only"),
+    ("GPL-3.0-or-later", "SPDX-License-Identifier: GPL-3.0-or-later"),
 ]
 #: English function words.
 STOP = "a and any are as be by for following in is of or that the this to under with without".split()
 LICENCE_FILE = r"(?i)^(LICEN[CS]E|COPYING)(\.(txt|md))?$"
 #: A cosine of this much states a licence.
 LEAST = 0.7
+#: A path or directory with more files than this, and than a thousandth of all, is dealt to several tasks.
+HOT_ROWS = 100_000
 #: Words of a vector: letters and digits, with inner dots, hyphens and pluses.  Ends of sentences.
 WORD, END = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*", r"([.!?])[ \t\r\n]+"
 
@@ -81,16 +97,9 @@ def values(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join(repr(x) for x in r) + ")" for r in rows)
 
 
-def terms(spark: SparkSession) -> DataFrame:
-    """The template vectors: a table of fixed size, so it may be broadcast."""
-    _, rows, _ = weights()
-    named = [(k, TEMPLATES[k][0], t, w) for k, t, w in rows]
-    return spark.sql(f"SELECT * FROM VALUES {values(named)} AS t(template, licence, term, weight)").withColumn("weight", F.col("weight").cast("double"))
-
-
-def idfs(spark: SparkSession) -> DataFrame:
-    idf, _, _ = weights()
-    return spark.sql(f"SELECT * FROM VALUES {values(sorted(idf.items()))} AS t(term, idf)").withColumn("idf", F.col("idf").cast("double"))
+def literal_map(numbers: dict[str, float]) -> Column:
+    """A map of a fixed table, part of the plan itself."""
+    return F.create_map(*[F.lit(x) for pair in sorted(numbers.items()) for x in pair])
 
 
 def folder(path: Column) -> Column:
@@ -106,20 +115,23 @@ def joined(text: Column) -> Column:
 
 def stated(files: DataFrame) -> DataFrame:
     """``path, licence, score`` of the best notice of each file that states a licence."""
-    spark = files.sparkSession
-    _, rows, other = weights()
+    idf, rows, other = weights()
     any_term = "(?i)(^|[^a-z0-9])(" + "|".join(re.escape(t) for t in telling(rows)) + ")([^a-z0-9]|$)"
     hinted = files.where(F.col("text").rlike(any_term))
     sentences = F.split(F.regexp_replace("text", END, "$1\n"), "\n")
     whole = F.when(F.regexp_extract("path", r"[^/]*$", 0).rlike(LICENCE_FILE), F.array("text")).otherwise(F.array().cast("array<string>"))
     units = hinted.select("path", F.posexplode(F.concat(F.filter(F.concat(sentences, F.array_except(joined(F.col("text")), sentences)), lambda s: s.rlike(any_term)), whole)).alias("unit", "said"))
-    tf = units.select("path", "unit", F.explode(F.regexp_extract_all(F.lower("said"), F.lit(WORD), 0)).alias("term")).where(~F.col("term").isin(STOP)).groupBy("path", "unit", "term").agg(F.count("*").cast("double").alias("tf"))
-    weighed = tf.join(F.broadcast(idfs(spark)), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other)))
-    norms = weighed.groupBy("path", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighed.join(F.broadcast(terms(spark)), "term").groupBy("path", "unit", "template", "licence").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    scores = dots.join(norms, ["path", "unit"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= LEAST)
-    best = F.max_by(F.struct("licence", "score"), F.struct("score", (-F.col("template")).alias("first")))
-    return scores.groupBy("path").agg(best.alias("b")).select("path", "b.licence", "b.score")
+    # terms of a unit meet once; its norm and its products with all templates are sums of one aggregation
+    said = units.select("path", "unit", F.explode(F.regexp_extract_all(F.lower("said"), F.lit(WORD), 0)).alias("term")).where(~F.col("term").isin(STOP)).repartition("path", "unit")
+    tf = said.groupBy("path", "unit", "term").agg(F.count("*").cast("double").alias("tf"))
+    known = F.try_element_at(literal_map(idf), F.col("term"))
+    weighed = tf.withColumn("known", known).withColumn("w", F.col("tf") * F.coalesce("known", F.lit(other)))
+    of = [{t: w for j, t, w in rows if j == k} for k in range(len(TEMPLATES))]
+    dots = [F.sum(F.when(F.col("known").isNotNull() & F.col("term").isin(list(v)), F.col("w") * F.try_element_at(literal_map(v), F.col("term")))).alias(f"dot{k}") for k, v in enumerate(of)]
+    summed = weighed.groupBy("path", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *dots)
+    scores = F.array(*[F.struct(F.round(F.coalesce(F.col(f"dot{k}"), F.lit(0.0)) / F.col("norm"), 6).alias("score"), F.lit(-k).alias("first"), F.lit(name).alias("licence")) for k, (name, _) in enumerate(TEMPLATES)])
+    best = summed.select("path", F.array_max(scores).alias("b")).where(F.col("b.score") >= LEAST)
+    return best.groupBy("path").agg(F.max("b").alias("b")).select("path", "b.licence", "b.score")
 
 
 def scan(files: DataFrame, id_col: str = "file_id", path_col: str = "path", text_col: str = "text") -> DataFrame:
@@ -144,10 +156,17 @@ def scan(files: DataFrame, id_col: str = "file_id", path_col: str = "path", text
     parts = F.split("own", "/")
     up = dirs.select("own", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("dir")).distinct()
     near = up.join(grants, "dir").groupBy("own").agg(F.max_by(F.struct("granted", "dir"), F.length("dir")).alias("n")).select("own", "n.granted", F.col("n.dir").alias("from"))
-    out = rows.select("file_id", "path", folder(F.col("path")).alias("own")).join(found, "path", "left").join(near, "own", "left")
-    return out.select(
+    placed = rows.where(F.col("path").isNotNull()).select("file_id", "path", folder(F.col("path")).alias("own"))
+    # a directory, or a path, may hold a large share of all files: such keys are dealt to several tasks
+    of_path, of_dir = (placed.groupBy(c).agg(F.count("*").alias("size")) for c in ("path", "own"))
+    total = placed.count()
+    out = common.joined(placed, found, common.hot(of_path, "path", total, HOT_ROWS), "path", "file_id", "left")
+    out = common.joined(out, near, common.hot(of_dir, "own", total, HOT_ROWS), "own", "file_id", "left")
+    out = out.select(
         "file_id", "path", F.col("licence").alias("stated"), "score", F.coalesce("licence", "granted").alias("licence"), F.when(F.col("licence").isNull(), F.col("from")).alias("inherited_from")
     )
+    nothing = rows.where(F.col("path").isNull()).select("file_id", "path", *(F.lit(None).cast(t).alias(c) for c, t in (("stated", "string"), ("score", "double"), ("licence", "string"), ("inherited_from", "string"))))
+    return out.unionByName(nothing)
 
 
 def scan_sql(files: str) -> str:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, map_batches, raw_texts, stored
+from .common import copied, dealt, hot, id_text, joined, map_batches, raw_texts, stored
 
 
 @dataclass(frozen=True)
@@ -144,31 +144,6 @@ def sketches(docs: DataFrame, p: Params) -> DataFrame:
     return map_batches(docs, run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, bits array<long>")
 
 
-def hot(sizes: DataFrame, key: str, total: int, most: int, size: str = "size") -> DataFrame:
-    """``key, pieces`` of the keys that hold more than ``most`` and more than a thousandth of ``total`` rows.
-
-    As the sizes sum to ``total``, there are at most a thousand of them, whatever the input: they may be
-    broadcast.  A piece has as many rows as a key that just isn't hot.
-    """
-    limit = max(most, total // 1000)
-    return F.broadcast(sizes.where(F.col(size) > limit).select(key, F.ceil(F.col(size) / limit).cast("int").alias("pieces")))
-
-
-def dealt(rows: DataFrame, hot_keys: DataFrame, key: str, by: str) -> DataFrame:
-    """The rows with a ``piece``: those of a hot key are dealt to its pieces, the others are piece 0.  No shuffle."""
-    return rows.join(hot_keys, key, "left").withColumn("piece", F.pmod(F.xxhash64(F.lit("piece"), F.col(by)), F.coalesce("pieces", F.lit(1))).cast("int")).drop("pieces")
-
-
-def copied(rows: DataFrame, hot_keys: DataFrame, key: str) -> DataFrame:
-    """The rows once for each piece of their key, to be joined with dealt ones by key and piece."""
-    return rows.join(hot_keys, key, "left").withColumn("piece", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1))).drop("pieces")
-
-
-def joined(rows: DataFrame, facts: DataFrame, hot_keys: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
-    """Rows with the facts of their key, so that no task gets all rows of a hot key."""
-    return dealt(rows, hot_keys, key, by).join(copied(facts, hot_keys, key), [key, "piece"], how).drop("piece")
-
-
 def rank(col: Column, turn: int) -> Column:
     """Another fixed random order of the ids for each turn."""
     return F.xxhash64(F.lit(f"turn{turn}"), col)
