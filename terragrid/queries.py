@@ -154,7 +154,7 @@ WHOLE = {"distance_elec_access": REACH * RES * grid.KM_PER_DEGREE, "min_shore_di
 #: Shares of their pixels that a disk of each radius covers, over its area: counted on 1,500 by 1,500 points a pixel.
 REACH_SQL = "k1(a, b, w) AS (SELECT i.range, j.range, CASE least(abs(i.range), abs(j.range)) * 10 + greatest(abs(i.range), abs(j.range)) WHEN 2 THEN 0.04704 WHEN 12 THEN 0.03285 WHEN 22 THEN 0.00187 ELSE 0.06017 END FROM range(-2, 3) i, range(-2, 3) j)"
 SHORE_SQL = "k2(a, b, w) AS (SELECT i.range, j.range, CASE abs(i.range) + abs(j.range) WHEN 0 THEN 0.22105 WHEN 1 THEN 0.14685 ELSE 0.04789 END FROM range(-1, 2) i, range(-1, 2) j)"
-WHOLE_SQL = f"""{REACH_SQL}, {SHORE_SQL}, g0 AS (SELECT *, CASE WHEN lon_idx % 20 < 8 AND lat_idx % 12 < 6 THEN 0 ELSE land END AS land2, CASE WHEN pixel_id % 97 = 0 THEN 1.0 ELSE 0.0 END AS access FROM v_pixel),
+WHOLE_SQL = f"""{REACH_SQL}, {SHORE_SQL}, g0 AS (SELECT *, CASE WHEN lon_idx % 20 < 8 AND lat_idx % 12 < 6 THEN 0 ELSE land END AS land2, CASE WHEN pixel_id % 31 = 0 THEN 1.0 ELSE 0.0 END AS access FROM v_pixel),
 g1 AS (SELECT *, CASE WHEN land2 > 0 THEN region ELSE 0 END AS r, CASE WHEN land2 = 0 THEN region ELSE 0 END AS offr, cos(radians(90 - (lat_idx - 0.5) * 0.01)) * pow(2 * pi() * 6371.0 / 360 * 0.01, 2) AS area FROM g0),
 hh AS (SELECT greatest(20, max(lat_idx)) AS h FROM g1),
 bu AS (SELECT g.pixel_id, sum(coalesce(n.access, 0) * k.w) AS buffered FROM g1 g CROSS JOIN k1 k CROSS JOIN hh LEFT JOIN g1 n ON n.lon_idx = least(greatest(g.lon_idx + k.a, 1), 100) AND n.lat_idx = least(greatest(g.lat_idx + k.b, 1), hh.h) GROUP BY 1),
@@ -170,7 +170,7 @@ def whole_pixels(spark, d, o):
     """Masked pixels of the whole table, with a sea, a sparse grid and the disk means of both."""
     p = view(spark, d, "v_pixel")
     sea = (F.col("lon_idx") % 20 < 8) & (F.col("lat_idx") % 12 < 6)
-    p = p.withColumns({"land": F.when(sea, 0).otherwise(F.col("land")), "gridaccess": (F.col("pixel_id") % 97 == 0).cast("double"), "mean_gti": F.col("atlas") / 40, "mean_dni": F.col("atlas") / 30})
+    p = p.withColumns({"land": F.when(sea, 0).otherwise(F.col("land")), "gridaccess": (F.col("pixel_id") % 31 == 0).cast("double"), "mean_gti": F.col("atlas") / 40, "mean_dni": F.col("atlas") / 30})
     on, off = raster.split_shore(F.col("region"), F.col("land"))
     p = p.withColumns({"region": on, "offshore": off})
     return entry.masked(entry.prepared(entry.located(p, RES), o, 100, height(p), tile=64), o)
