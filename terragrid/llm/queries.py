@@ -25,8 +25,9 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector of ``embeddings``, played as a melody, is fingerprinted; every twentieth id is searched for among all."""
-    prints = chroma.fingerprints(table(spark, sf_dir, "embeddings"), chroma.tones(), id_col="vec_id", media_col="embedding")
-    return chroma.search(prints, F.col("rec_id") % 20 == 0).withColumnRenamed("rec_id", "vec_id")
+    asks = F.col("rec_id") % 20 == 0
+    prints = chroma.fingerprints(table(spark, sf_dir, "embeddings"), chroma.tones(), id_col="vec_id", media_col="embedding", is_query=asks)
+    return chroma.search(prints, asks).withColumnRenamed("rec_id", "vec_id")
 
 
 def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
