@@ -6,7 +6,8 @@ gives to any shingle.  Coordinates are banded; documents that agree on a band ar
 candidates are confirmed on their whole shingle sets.
 
 Nothing here makes all pairs of a group.  Documents of equal sets are one class.  In a band's bucket
-each class is first compared with the bucket's centre only; the links found are contracted, and a
+each class is first compared with the bucket's centre only: the class whose buckets hold the most
+classes in all, which of copies of one text is that text.  The links found are contracted, and a
 further round, with other centres, looks only at buckets whose classes still lie in different
 components.  In the end every class is compared with every component that it shares a bucket with,
 the smaller component asking the larger one: a component's members are cut into blocks, and those
@@ -150,8 +151,10 @@ def rank(col: Column, turn: int) -> Column:
 
 
 def centre(p: Params, turn: int, *more: str) -> Column:
-    """The class of a bucket that is first in the turn's order, with its columns named ..._b."""
-    return F.min(F.struct(rank(F.col("rep"), turn).alias("r"), *(F.col(c).alias(f"{c}_b") for c in ("rep", "n", *bit_columns(p), *more)))).alias("m")
+    """The class of a bucket that is first in the turn's order, with its columns named ..._b: at first the one that
+    meets the most classes, then another random one each turn."""
+    first = -F.col("met") if turn == 0 else F.lit(0).cast("long")
+    return F.min(F.struct(first.alias("first"), rank(F.col("rep"), turn).alias("r"), *(F.col(c).alias(f"{c}_b") for c in ("rep", "n", *bit_columns(p), *more)))).alias("m")
 
 
 def bit_columns(p: Params) -> list[str]:
@@ -357,8 +360,10 @@ def classes(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_
     # buckets of several classes; then the signatures' bits of those classes
     shared = stored(spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "shared")
     hot_buckets = hot(shared, "bucket", n_classes * p.bands, p.hot_rows)
-    signed = reps.select("rep", "n", *(F.col("bits")[k].alias(c) for k, c in enumerate(bit_columns(p))))
-    spread = stored(joined(spread, shared.select("bucket"), hot_buckets, "bucket", "rep").select("rep", "n", "bucket").join(signed, ["rep", "n"]), "buckets")
+    spread = stored(joined(spread, shared, hot_buckets, "bucket", "rep").select("rep", "n", "bucket", "size"), "shared-buckets")
+    met = spread.groupBy("rep", "n").agg(F.sum("size").alias("met"))
+    signed = reps.select("rep", "n", *(F.col("bits")[k].alias(c) for k, c in enumerate(bit_columns(p)))).join(met, ["rep", "n"])
+    spread = stored(spread.drop("size").join(signed, ["rep", "n"]), "buckets")
     texts = rows.join(spread.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sets = stored(shingle_sets(texts, p).dropDuplicates(["doc_id", "shingles"]), "sets")
     tried, of = None, None
@@ -369,6 +374,8 @@ def classes(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_
             here = spread.join(of.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
             several = here.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket")
             open_ = stored(joined(here, several, hot_buckets, "bucket", "rep"), "open")
+            if not open_.take(1):  # every bucket lies in one component
+                break
         if turn == p.rounds:
             asks = stored(asked_components(open_, hot_buckets, p), "asks")
             members = open_.select("rep", "c", *bit_columns(p)).distinct()
