@@ -62,7 +62,7 @@ def lookup_admin(places: DataFrame, defs: DataFrame) -> DataFrame:
     out = places
     for depth in (1, 2, 3):
         level = own.where(" AND ".join(f"n{k} IS {'NOT ' if k < depth else ''}NULL" for k in range(3))).select(*(f"n{k}" for k in range(depth)), F.col("r").alias(f"r{depth}"))
-        out = out.join(F.broadcast(level), [f"n{k}" for k in range(depth)], "left")
+        out = out.join(level, [f"n{k}" for k in range(depth)], "left")
     return out.select(*places.columns, F.coalesce("r1", "r2", "r3", F.lit(0)).alias("region"))
 
 
@@ -72,7 +72,7 @@ def lookup_codes(codes: DataFrame, defs: DataFrame, col: str = "code", longest:
     out = codes
     for n in range(longest, 1, -1):
         part = own.where(F.length("key") == n).select(F.col("key").alias(f"key{n}"), F.col("r").alias(f"r{n}"))
-        out = out.join(F.broadcast(part), F.substring(F.col(col), 1, n) == F.col(f"key{n}"), "left")
+        out = out.join(part, F.substring(F.col(col), 1, n) == F.col(f"key{n}"), "left")
     return out.select(*codes.columns, F.coalesce(*(f"r{n}" for n in range(longest, 1, -1)), F.lit(0)).alias("region"))
 
 
@@ -119,7 +119,7 @@ def grouped_countries(groups: dict[str, list[str]], countries: DataFrame, spark:
     unknown = known.join(countries, "country", "left_anti").limit(5).collect()
     if unknown:
         raise ValueError(f"no such country: {', '.join(r['country'] for r in unknown)}")
-    return countries.join(F.broadcast(known), "country", "left").select(*countries.columns, F.coalesce("grp", F.lit("")).alias("grp"))
+    return countries.join(known, "country", "left").select(*countries.columns, F.coalesce("grp", F.lit("")).alias("grp"))
 
 
 def centres(pixels: DataFrame, weight: str = "popdens") -> DataFrame:
@@ -136,7 +136,7 @@ def land_near_centre(pixels: DataFrame, middle: DataFrame) -> DataFrame:
     """Per region, the pixel that is best by nearness to the centre and share of land around it."""
     from ..functions.grid import haversine_km
 
-    met = pixels.join(F.broadcast(middle.select("region", "pop_lat", "pop_lon")), "region")
+    met = pixels.join(middle.select("region", "pop_lat", "pop_lon"), "region")
     score = 0.1 * haversine_km(F.col("lat"), F.col("lon"), F.col("pop_lat"), F.col("pop_lon")) / 10000 + 0.9 * (1 - F.col("landshare"))
     return met.groupBy("region").agg(F.min_by(F.struct("lat", "lon"), F.struct(score, F.col("lat"), F.col("lon"))).alias("p")).select("region", "p.lat", "p.lon")
 

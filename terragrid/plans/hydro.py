@@ -37,7 +37,7 @@ def existing(plants: DataFrame, sites: DataFrame, national: DataFrame) -> tuple[
     """
     total = plants.groupBy("country").agg(F.sum("capacity_mw").alias("register_mw"))
     ratio = F.try_divide(F.col("national_mw"), F.col("register_mw"))
-    scaled = plants.join(total, "country").join(F.broadcast(national.select("country", F.col("capacity_mw").alias("national_mw"), "generation_gwh")), "country", "left")
+    scaled = plants.join(total, "country").join(national.select("country", F.col("capacity_mw").alias("national_mw"), "generation_gwh"), "country", "left")
     scaled = scaled.withColumn("mw", F.col("capacity_mw") * F.when(ratio > 0, ratio).otherwise(1.0)).withColumn("cf", F.coalesce(F.try_divide(F.col("generation_gwh") * 1000 / 8760, F.col("national_mw")), F.lit(0.0)))
     held = scaled.where("region > 0 AND region <> 32767")
     near = nearest_few(held, sites, "plant_id", "site_id").join(sites.select("site_id", monthly_share(F.col("profile")).alias("share")), "site_id")

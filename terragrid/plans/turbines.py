@@ -83,4 +83,4 @@ def numbered_union(tables: list[tuple[str, DataFrame]], id_col: str = "munic") -
         part = df.withColumn("country", F.lit(k)).withColumn("country_name", F.lit(name))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     sizes = out.groupBy("country").agg(F.max(id_col).alias("size")).withColumn("start", F.coalesce(F.sum("size").over(Window.orderBy("country").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("country", "start")
-    return out.join(F.broadcast(sizes), "country").withColumn(id_col, F.col(id_col) + F.col("start")).drop("start")
+    return out.join(sizes, "country").withColumn(id_col, F.col(id_col) + F.col("start")).drop("start")

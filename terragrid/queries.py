@@ -839,7 +839,7 @@ def feature_joins(spark, d):
     t = view(spark, d, "v_month").groupBy((F.col("cell") % 5).cast("int").alias("country"), "month").agg(F.avg("value").alias("temp"))
     h = view(spark, d, "events").select((F.col("user_id") % 5).cast("int").alias("country"), (1 + F.col("event_id") % 12).cast("int").alias("month"), "event_id")
     c = view(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("country"), "n_name")
-    return h.join(t, ["country", "month"]).join(F.broadcast(c), "country")
+    return h.join(t, ["country", "month"]).join(c, "country")
 
 
 @query("WITH a AS (SELECT n_nationkey AS bus, count(c_custkey) AS customers FROM nation JOIN customer ON n_nationkey = c_nationkey WHERE c_custkey % 2 = 0 GROUP BY 1), b AS (SELECT s_nationkey AS bus, sum(s_acctbal) AS balance FROM supplier WHERE s_nationkey < 20 GROUP BY 1) SELECT coalesce(a.bus, b.bus) AS bus, coalesce(customers, 0) AS customers, coalesce(balance, 0.0) AS balance FROM a FULL JOIN b ON a.bus = b.bus")

@@ -7,9 +7,11 @@ partitioned by layer, year or scenario, so that a crop and a choice of year are
 from __future__ import annotations
 
 import tomllib
+import zipfile
 from collections.abc import Iterable
 from dataclasses import dataclass
 from pathlib import Path
+from xml.sax.saxutils import escape, quoteattr
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 from ..functions.grid import crop
 from ..functions.scalar import decimal_comma
 
+#: Name spaces of workbooks.
+SHEETS, OFFICE = "http://schemas.openxmlformats.org/spreadsheetml/2006", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 #: Column types of the registers that come as CSV.
 SCHEMAS = {
     "hydro_potential": "lat double, lon double, COE double, Production_GWh double, Lake_surface_m2 double, Lake_volume_m3 double, " + ", ".join(f"Qm{k} double" for k in range(1, 14)) + ", ContID int, BasinID int, SysID int, CapCost double",
@@ -138,6 +142,47 @@ def write_if_absent(df: DataFrame, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def export_regions(regions: DataFrame, names: DataFrame, path: str) -> None:
+    """A region set for other programs: its raster (region, offshore) in tiles of a thousand rows, and its names."""
+    band = (F.floor((F.col("lat_idx") - 1) / 1000)).cast("int").alias("band")
+    write_result(regions.select("lon_idx", "lat_idx", "region", "offshore", band), f"{path}/raster", ("band",))
+    write_result(names, f"{path}/names", ())
+
+
+def sheet_xml(rows: list[tuple]) -> str:
+    """A worksheet: numbers as numbers, null as an empty cell, all else as text."""
+
+    def cell(v) -> str:
+        if v is None:
+            return "<c/>"
+        if isinstance(v, (int, float)) and not isinstance(v, bool):
+            return f"<c><v>{v}</v></c>"
+        return f'<c t="inlineStr"><is><t>{escape(str(v))}</t></is></c>'
+
+    lines = "".join(f"<row>{''.join(map(cell, row))}</row>" for row in rows)
+    return f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{SHEETS}/main"><sheetData>{lines}</sheetData></worksheet>'
+
+
+def write_workbook(sheets: dict[str, DataFrame], path: str, most: int = 1_000_000) -> None:
+    """An XLSX file with a sheet per table, as one sheet per range of years; a sheet holds ``most`` rows at most, which
+    is checked.  Its file is one and local: it is for people, not for pipelines."""
+    held = {name: (df.columns, df.limit(most + 1).collect()) for name, df in sheets.items()}
+    for name, (_, rows) in held.items():
+        if len(rows) > most:
+            raise ValueError(f"sheet {name} would have more than {most} rows")
+    kinds = "http://schemas.openxmlformats.org/package/2006"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        parts = "".join(f'<Override PartName="/xl/worksheets/sheet{k}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for k in range(1, len(held) + 1))
+        z.writestr("[Content_Types].xml", f'<?xml version="1.0" encoding="UTF-8"?><Types xmlns="{kinds}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{parts}</Types>')
+        z.writestr("_rels/.rels", f'<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="{kinds}/relationships"><Relationship Id="r1" Type="{OFFICE}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        names = "".join(f'<sheet name={quoteattr(name[:31])} sheetId="{k}" r:id="r{k}"/>' for k, name in enumerate(held, 1))
+        z.writestr("xl/workbook.xml", f'<?xml version="1.0" encoding="UTF-8"?><workbook xmlns="{SHEETS}/main" xmlns:r="{OFFICE}"><sheets>{names}</sheets></workbook>')
+        links = "".join(f'<Relationship Id="r{k}" Type="{OFFICE}/worksheet" Target="worksheets/sheet{k}.xml"/>' for k in range(1, len(held) + 1))
+        z.writestr("xl/_rels/workbook.xml.rels", f'<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="{kinds}/relationships">{links}</Relationships>')
+        for k, (columns, rows) in enumerate(held.values(), 1):
+            z.writestr(f"xl/worksheets/sheet{k}.xml", sheet_xml([tuple(columns), *(tuple(r) for r in rows)]))
+
+
 def model_lines(cf: DataFrame) -> DataFrame:
     """Fixed-width lines of hourly capacity factors (tech, region_name, class, hour from 0, cf); only
     values above 0 of the first 8760 hours."""
