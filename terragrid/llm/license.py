@@ -17,7 +17,7 @@ import re
 from collections import Counter
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -97,9 +97,12 @@ def values(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join(repr(x) for x in r) + ")" for r in rows)
 
 
-def literal_map(numbers: dict[str, float]) -> Column:
-    """A map of a fixed table, part of the plan itself."""
-    return F.create_map(*[F.lit(x) for pair in sorted(numbers.items()) for x in pair])
+def vectors(spark: SparkSession) -> DataFrame:
+    """``term, idf, v``: the weight of each template term in every template; of fixed size, so it may be broadcast."""
+    idf, rows, _ = weights()
+    of = {(t, k): w for k, t, w in rows}
+    lines = ", ".join(f"({t!r}, {i!r}D, array({', '.join(f'{of.get((t, k), 0.0)!r}D' for k in range(len(TEMPLATES)))}))" for t, i in sorted(idf.items()))
+    return spark.sql(f"SELECT * FROM VALUES {lines} AS t(term, idf, v)")
 
 
 def folder(path: Column) -> Column:
@@ -115,7 +118,7 @@ def joined(text: Column) -> Column:
 
 def stated(files: DataFrame) -> DataFrame:
     """``path, licence, score`` of the best notice of each file that states a licence."""
-    idf, rows, other = weights()
+    _, rows, other = weights()
     any_term = "(?i)(^|[^a-z0-9])(" + "|".join(re.escape(t) for t in telling(rows)) + ")([^a-z0-9]|$)"
     hinted = files.where(F.col("text").rlike(any_term))
     sentences = F.split(F.regexp_replace("text", END, "$1\n"), "\n")
@@ -124,10 +127,8 @@ def stated(files: DataFrame) -> DataFrame:
     # terms of a unit meet once; its norm and its products with all templates are sums of one aggregation
     said = units.select("path", "unit", F.explode(F.regexp_extract_all(F.lower("said"), F.lit(WORD), 0)).alias("term")).where(~F.col("term").isin(STOP)).repartition("path", "unit")
     tf = said.groupBy("path", "unit", "term").agg(F.count("*").cast("double").alias("tf"))
-    known = F.try_element_at(literal_map(idf), F.col("term"))
-    weighed = tf.withColumn("known", known).withColumn("w", F.col("tf") * F.coalesce("known", F.lit(other)))
-    of = [{t: w for j, t, w in rows if j == k} for k in range(len(TEMPLATES))]
-    dots = [F.sum(F.when(F.col("known").isNotNull() & F.col("term").isin(list(v)), F.col("w") * F.try_element_at(literal_map(v), F.col("term")))).alias(f"dot{k}") for k, v in enumerate(of)]
+    weighed = tf.join(F.broadcast(vectors(files.sparkSession)), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other)))
+    dots = [F.sum(F.col("w") * F.get("v", F.lit(k))).alias(f"dot{k}") for k in range(len(TEMPLATES))]
     summed = weighed.groupBy("path", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *dots)
     scores = F.array(*[F.struct(F.round(F.coalesce(F.col(f"dot{k}"), F.lit(0.0)) / F.col("norm"), 6).alias("score"), F.lit(-k).alias("first"), F.lit(name).alias("licence")) for k, (name, _) in enumerate(TEMPLATES)])
     best = summed.select("path", F.array_max(scores).alias("b")).where(F.col("b.score") >= LEAST)
@@ -145,7 +146,7 @@ def scan(files: DataFrame, id_col: str = "file_id", path_col: str = "path", text
     tables give an empty result.
     """
     rows = files.select(files[id_col].alias("file_id"), files[path_col].alias("path"), F.coalesce(files[text_col], F.lit("")).alias("text"))
-    found = stated(rows.where(F.col("path").isNotNull()))
+    found = common.stored(stated(rows.where(F.col("path").isNotNull())), "found")  # used twice, made once
     grants = (
         found.where(F.regexp_extract("path", r"[^/]*$", 0).rlike(LICENCE_FILE))
         .groupBy(folder(F.col("path")).alias("dir"))
