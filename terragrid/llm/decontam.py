@@ -174,7 +174,11 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, p: Params = Params(),
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, p: Params = Params(), text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that contain no item."""
+    """The rows of ``docs``, with all their columns, that contain no item.
+
+    Null and empty texts contain nothing and stay; rows with a null id are judged by their text; repeated rows
+    stay or go together; without items all rows stay; an empty table gives an empty one.
+    """
     for find in searches(docs, benchmark, p, item_col, item_text_col):
         docs = kept_rows(docs, lambda texts, find=find: [not find(t) for t in texts], text_col)
     return docs

@@ -123,7 +123,8 @@ def stated(files: DataFrame) -> DataFrame:
     hinted = files.where(F.col("text").rlike(any_term))
     sentences = F.split(F.regexp_replace("text", END, "$1\n"), "\n")
     whole = F.when(F.regexp_extract("path", r"[^/]*$", 0).rlike(LICENCE_FILE), F.array("text")).otherwise(F.array().cast("array<string>"))
-    units = hinted.select("path", F.posexplode(F.concat(F.filter(F.concat(sentences, F.array_except(joined(F.col("text")), sentences)), lambda s: s.rlike(any_term)), whole)).alias("unit", "said"))
+    units = hinted.select("path", "text", F.posexplode(F.concat(F.filter(F.concat(sentences, F.array_except(joined(F.col("text")), sentences)), lambda s: s.rlike(any_term)), whole)).alias("unit", "said"))
+    units = units.select("path", F.xxhash64("text", "unit").alias("unit"), "said")  # two files of one path aren't mixed
     # terms of a unit meet once; its norm and its products with all templates are sums of one aggregation
     said = units.select("path", "unit", F.explode(F.regexp_extract_all(F.lower("said"), F.lit(WORD), 0)).alias("term")).where(~F.col("term").isin(STOP)).repartition("path", "unit")
     tf = said.groupBy("path", "unit", "term").agg(F.count("*").cast("double").alias("tf"))

@@ -211,7 +211,9 @@ def keep_bitmaps(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id",
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, version, n_lines, n_dropped, kept`` for every row: the text of the lines kept, joined by a line feed.
 
-    Only bitmaps with a dropped line are joined; the other rows keep their text.
+    Only bitmaps with a dropped line are joined; the other rows keep their text.  A null text counts as an
+    empty one, which is one empty line; a row with a null id keeps all lines; repeated rows are kept alike; an
+    empty table gives an empty result.
     """
     rows = id_text(docs, id_col, text_col).withColumn("version", text_key(F.col("text")))
     some = bitmaps.where((F.col("n_dropped") > 0) & F.col("doc_id").isNotNull()).select("doc_id", "version", "keep_bitmap")
@@ -237,7 +239,8 @@ def deduplicated(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id",
     """The rows of ``docs``, with all their columns, with the text of the lines kept.
 
     ``chars_col``, where there is such a column, follows the text.  A row that had words and has lost
-    all of them goes: each of its lines is in another document.  Null and empty texts stay.
+    all of them goes: each of its lines is in another document.  Null and empty texts stay, as do rows with a
+    null id; repeated rows stay or go together; an empty table gives an empty one.
     """
     version, bitmap, key = "__terragrid_version", "__terragrid_bitmap", "__terragrid_id"
     some = keep_bitmaps(docs, p, id_col, text_col).where((F.col("n_dropped") > 0) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(key), F.col("version").alias(version), F.col("keep_bitmap").alias(bitmap))

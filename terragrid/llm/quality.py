@@ -318,6 +318,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def admitted(docs: DataFrame, model: Model, least: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that score at least ``least``."""
+    """The rows of ``docs``, with all their columns, that score at least ``least``.
+
+    A null or empty text is scored like any text without tokens; ids play no part, so rows with a null id and
+    repeated rows are judged by their text alone; an empty table gives an empty one.
+    """
     scores = scorer(docs, model)
     return kept_rows(docs, lambda texts: [x >= least for x in scores(texts)], text_col)
