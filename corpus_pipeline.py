@@ -14,27 +14,42 @@ from terragrid.llm.queries import WORD_BPE, table
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go.  Labels of a fifth of the ids aren't learnt from."""
+    """Documents that the quality classifier rejects go.  Labels of a fifth of the ids aren't learnt from.
+
+    Null and empty texts are scored like any text without tokens; repeated rows alike; no rows give none.
+    """
     return quality.admitted(docs, quality.fit(docs, table(spark, sf_dir, "labels"), crc_mod(F.col("doc_id"), 5) != 0))
 
 
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in three documents or more stay in one of them; documents that lose all their lines go."""
+    """Lines found in three documents or more stay in one of them; documents that lose all their lines go.
+
+    Null and empty texts, and rows with a null id, stay as they are; repeated rows alike; no rows give none.
+    """
     return linededup.deduplicated(docs)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, similarity of at least 0.8."""
+    """One document of each group of near copies stays: five-word shingles, similarity of at least 0.8.
+
+    Texts without words and rows with a null id are no copies of anything and stay; rows of one id are one document.
+    """
     return minhash.deduplicated(docs)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
+    """Documents that contain a benchmark item go.
+
+    Null and empty texts, and null or empty items, contain nothing and are contained in nothing.
+    """
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def coded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every text and what they decode to."""
+    """Ids of every text and what they decode to.
+
+    A null or empty text has no ids and decodes to an empty one; repeated rows give repeated rows.
+    """
     return bpe.encode(docs, WORD_BPE).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
