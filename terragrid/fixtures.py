@@ -16,7 +16,7 @@ VIEWS = {
     "v_turbine": """SELECT l_partkey AS pixel_id, l_quantity * 100.0 AS capac_kw, CAST(year(l_shipdate) AS INT) AS yr, l_linestatus = 'O' AS onshore FROM lineitem""",
     "v_region_name": """SELECT n_nationkey AS uid, r_name AS n0, n_name AS n1 FROM nation JOIN region ON n_regionkey = r_regionkey""",
     "v_plant": """SELECT s_suppkey AS plant_id, CAST((s_suppkey * 37 % 360) - 179.5 AS DOUBLE) AS lon, CAST((s_suppkey * 53 % 180) - 89.5 AS DOUBLE) AS lat, abs(s_acctbal) / 10.0 AS capacity_mw, s_nationkey AS country FROM supplier""",
-    "v_site": """SELECT c_custkey AS site_id, CAST((c_custkey * 71 % 360) - 179.25 AS DOUBLE) AS lon, CAST((c_custkey * 29 % 180) - 89.25 AS DOUBLE) AS lat, c_nationkey AS country FROM customer WHERE c_custkey % 10 = 0""",
+    "v_site": """SELECT c_custkey AS site_id, CAST((c_custkey * 71 % 360) - 179.25 AS DOUBLE) AS lon, CAST((c_custkey * 29 % 180) - 89.25 AS DOUBLE) AS lat, c_nationkey AS country FROM customer""",
     "v_month": """SELECT o_custkey % 50 AS cell, CAST(year(o_orderdate) AS INT) AS year, CAST(month(o_orderdate) AS INT) AS month, avg(o_totalprice / 20000.0) AS value FROM orders GROUP BY 1, 2, 3""",
 }
 

@@ -29,12 +29,6 @@ def query(oracle: str | None = None, *views: str):
     return add
 
 
-def all_sites(spark: SparkSession, d: str) -> DataFrame:
-    """Every customer as a site; v_site, which the SQL shares, has a tenth of them."""
-    k = F.col("c_custkey")
-    return view(spark, d, "customer").select(k.alias("site_id"), (k * 71 % 360 - 179.25).cast("double").alias("lon"), (k * 29 % 180 - 89.25).cast("double").alias("lat"), F.col("c_nationkey").alias("country"))
-
-
 def pixels(spark: SparkSession, d: str) -> DataFrame:
     """Pixels with coordinates, area and masks; the disk mean of grid access is the table's own column."""
     p = view(spark, d, "v_pixel")
@@ -299,18 +293,8 @@ def ten_year_mean(spark, d):
  cos(radians(lat)) * pow(2 * pi() * 6371.0 / 360 * 0.25, 2) AS area, (floor((lon + 180) / 0.25) + 0.5) * 0.25 - 180 AS centre FROM v_site""", "v_site")
 def grid_index(spark, d):
     """Pixel, its centre and its area."""
-    return indexed(view(spark, d, "v_site"))
-
-
-@query()
-def grid_index_all(spark, d):
-    """The same of every customer; tested against brute force."""
-    return indexed(all_sites(spark, d))
-
-
-def indexed(sites):
     i = grid.lon_to_row(F.col("lon"), 0.25)
-    return sites.select("site_id", i.alias("lon_idx"), grid.lat_to_col(F.col("lat"), 0.25).alias("lat_idx"), grid.cell_area_km2(F.col("lat"), 0.25).alias("area"), grid.row_to_lon(i, 0.25).alias("centre"))
+    return view(spark, d, "v_site").select("site_id", i.alias("lon_idx"), grid.lat_to_col(F.col("lat"), 0.25).alias("lat_idx"), grid.cell_area_km2(F.col("lat"), 0.25).alias("area"), grid.row_to_lon(i, 0.25).alias("centre"))
 
 
 @query("SELECT pixel_id, CAST((8 * CAST(lon_idx AS BIGINT) + 224) // 225 AS INT) AS era_lon, CAST((8 * CAST(lat_idx AS BIGINT) + 224) // 225 AS INT) AS era_lat FROM v_pixel", "v_pixel")
@@ -352,21 +336,71 @@ def dms(spark, d):
     return view(spark, d, "supplier").select(k.alias("id"), grid.dms_to_degrees(x).alias("degrees"))
 
 
-@query("WITH a AS (SELECT * FROM v_plant WHERE plant_id <= 40) SELECT a.plant_id AS r1, b.plant_id AS r2, 2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) AS km FROM a, a b", "v_plant")
+@query("WITH a AS (SELECT * FROM v_plant) SELECT a.plant_id AS r1, b.plant_id AS r2, 2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) AS km FROM a, a b", "v_plant")
 def region_distances(spark, d):
-    """Great-circle distances of all pairs of places; the SQL stops at place 40."""
+    """Great-circle distances of all pairs of places."""
     return spatial.distances(view(spark, d, "v_plant").select(F.col("plant_id").alias("region"), "lat", "lon"))
 
 
+@query("WITH t AS (SELECT plant_id, k.range AS k, radians(lat) AS p, radians(lon) AS l, 2 * asin(sqrt(pow(sin(radians(12.5 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(12.5)) * pow(sin(radians(40 - lon) / 2), 2))) AS dd, k.range / 4.0 AS f FROM v_plant, range(5) k), v AS (SELECT plant_id, k, sin((1 - f) * dd) / sin(dd) AS a, sin(f * dd) / sin(dd) AS b, p, l FROM t), w AS (SELECT plant_id, k, a * cos(p) * cos(l) + b * cos(radians(12.5)) * cos(radians(40)) AS x, a * cos(p) * sin(l) + b * cos(radians(12.5)) * sin(radians(40)) AS y, a * sin(p) + b * sin(radians(12.5)) AS z FROM v) SELECT plant_id, CAST(k AS INT) AS k, degrees(atan2(z, sqrt(x * x + y * y))) AS lat, degrees(atan2(y, x)) AS lon FROM w", "v_plant")
+def great_circles(spark, d):
+    """Points along the great circle from each plant to one place."""
+    track = grid.great_circle_track(F.col("lat"), F.col("lon"), F.lit(12.5), F.lit(40.0), 5)
+    return view(spark, d, "v_plant").select("plant_id", F.posexplode(track).alias("k", "p")).select("plant_id", "k", "p.lat", "p.lon")
+
+
+@query("SELECT CAST(i.range AS INT) AS lon_idx, CAST(j.range AS INT) AS lat_idx, coalesce(any_value(p.land), 0) AS land, CAST(-180 + (i.range - 0.5) * 1.8 AS DOUBLE) AS lon, CAST(90 - (j.range - 0.5) * 1.8 AS DOUBLE) AS lat FROM range(1, 201) i CROSS JOIN range(1, 101) j LEFT JOIN (SELECT lon_idx, lat_idx, land FROM v_pixel) p ON p.lon_idx = i.range AND p.lat_idx = j.range GROUP BY i.range, j.range", "v_pixel")
+def uncropped(spark, d):
+    """A crop on its whole grid again, with coordinates."""
+    spec = grid.GridSpec(1.8)
+    lon, lat = grid.axes(spark, spec)
+    whole = grid.uncrop(view(spark, d, "v_pixel").select("lon_idx", "lat_idx", "land"), spec)
+    return whole.join(lon, "lon_idx").join(lat.drop("area_km2"), "lat_idx").select("lon_idx", "lat_idx", "land", "lon", "lat")
+
+
+@query("SELECT n_nationkey AS id, 1896 + n_nationkey * 4 + n_nationkey % 3 AS y, (1896 + n_nationkey * 4 + n_nationkey % 3) % 4 = 0 AND (1896 + n_nationkey * 4 + n_nationkey % 3) % 100 <> 0 OR (1896 + n_nationkey * 4 + n_nationkey % 3) % 400 = 0 AS leap FROM nation")
+def leap_years(spark, d):
+    """D19."""
+    y = 1896 + F.col("n_nationkey") * 4 + F.col("n_nationkey") % 3
+    return view(spark, d, "nation").select(F.col("n_nationkey").alias("id"), y.alias("y"), grid.leap_year(y).alias("leap"))
+
+
+@query("WITH c AS (SELECT p.plant_id, s.site_id, pow(p.lon - s.lon, 2) + pow(p.lat - s.lat, 2) AS d2 FROM v_plant p JOIN v_site s ON pow(p.lon - s.lon, 2) + pow(p.lat - s.lat, 2) < 25.0), b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY plant_id ORDER BY d2, site_id) = 1) SELECT plant_id AS cell, CAST(h.range AS INT) AS hour, CASE WHEN b.site_id IS NULL THEN NULL ELSE CAST(b.site_id % 7 + h.range AS DOUBLE) END AS value FROM v_plant LEFT JOIN b USING (plant_id) CROSS JOIN range(3) h", "v_plant", "v_site")
+def regridded_series(spark, d):
+    """hourly series of a curvilinear grid on a regular one, by the nearest cell within a cut-off."""
+    cells = view(spark, d, "v_plant").select(F.col("plant_id").alias("cell"), "lon", "lat")
+    source = view(spark, d, "v_site").select(F.col("site_id").alias("source_cell"), "lon", "lat")
+    series = source.select("source_cell", F.array(*[(F.col("source_cell") % 7 + h).cast("double") for h in range(3)]).alias("series"))
+    on_grid = spatial.regridded(cells, source, series, 2.5, 4.0)
+    return on_grid.select("cell", F.posexplode(F.coalesce("series", F.array_repeat(F.lit(None).cast("double"), 3))).alias("hour", "value"))
+
+
+@query(f"WITH {CURVE}, s AS (SELECT plant_id AS site_id, plant_id % 50 AS cell, 6.0 + plant_id % 5 AS atlas FROM v_plant), a AS (SELECT cell, avg(value) AS mean_all FROM v_month GROUP BY 1), h AS (SELECT s.site_id, m.year, m.value * s.atlas / a.mean_all AS v FROM s JOIN v_month m ON s.cell = m.cell JOIN a ON a.cell = s.cell WHERE m.year IN (1996, 1997, 1999)), y AS (SELECT site_id, year, avg(v) AS speed, avg({CF.format(x='v')}) AS cf FROM h LEFT JOIN curve c0 ON c0.v = floor(h.v) LEFT JOIN curve c1 ON c1.v = floor(h.v) + 1 GROUP BY ALL) SELECT site_id, avg(speed) AS speed, avg(cf) AS cf FROM y GROUP BY 1".replace("avg(v) AS speed", "avg(h.v) AS speed").replace("CASE WHEN v >= 0 AND v < 29 THEN (1 - (v - floor(v))) * c0.c + (v - floor(v)) * c1.c", "CASE WHEN h.v >= 0 AND h.v < 29 THEN (1 - (h.v - floor(h.v))) * c0.c + (h.v - floor(h.v)) * c1.c"), "v_plant", "v_month")
+def site_years(spark, d):
+    """Speed and capacity factor of points, the mean of some years."""
+    m = view(spark, d, "v_month")
+    cells = m.join(m.groupBy("cell").agg(F.avg("value").alias("mean_all")), "cell")
+    sites = view(spark, d, "v_plant").select(F.col("plant_id").alias("site_id"), (F.col("plant_id") % 50).alias("cell"), (6.0 + F.col("plant_id") % 5).alias("atlas"))
+    return resource.site_cf_years(sites, cells, [1996, 1997, 1999], ["cell"])
+
+
+@query("SELECT s_nationkey AS country, s_acctbal AS capacity_mw, CAST(s_suppkey AS DOUBLE) AS lat, CAST(s_suppkey % 9 AS DOUBLE) AS lon FROM supplier WHERE s_suppkey % 3 = 0")
+def hydro_register(spark, d):
+    """Plants of one fuel; rows whose fuel is missing are out."""
+    k = F.col("s_suppkey")
+    fuel = F.when(k % 3 == 0, "Hydro").when(k % 3 == 1, "Wind")
+    return tables.fuel(view(spark, d, "supplier").select(F.col("s_nationkey").alias("country"), F.col("s_acctbal").alias("capacity_mw"), k.cast("double").alias("latitude"), (k % 9).cast("double").alias("longitude"), fuel.alias("fuel1")))
+
+
 # Rasters
 
 #: The grid has this many rows at least.
 ROWS = 20
-GRID = "g AS (SELECT lon_idx, lat_idx, min(region) AS region, min(land) AS land, sum(popdens) AS value FROM v_pixel WHERE lat_idx <= 20 GROUP BY ALL)"
+GRID = "g AS (SELECT lon_idx, lat_idx, min(region) AS region, min(land) AS land, sum(popdens) AS value FROM v_pixel GROUP BY ALL), hh AS (SELECT greatest(20, max(lat_idx)) AS h FROM g)"
 
 
 def whole_grid(spark, d):
-    """Every pixel of the table; the SQL above stops at row 20, so above 2,000 parts it says less."""
+    """Every pixel of the table."""
     return view(spark, d, "v_pixel").groupBy("lon_idx", "lat_idx").agg(F.min("region").alias("region"), F.min("land").alias("land"), F.sum("popdens").alias("value"))
 
 
@@ -381,7 +415,7 @@ def region_adjacency(spark, d):
     return raster.adjacency(whole_grid(spark, d))
 
 
-@query(f"WITH {GRID} SELECT (lon_idx - 1) // 3 + 1 AS lon_idx, (lat_idx - 1) // 3 + 1 AS lat_idx, sum(value) AS value FROM g WHERE lon_idx <= 99 AND lat_idx <= 18 GROUP BY ALL", "v_pixel")
+@query(f"WITH {GRID} SELECT (lon_idx - 1) // 3 + 1 AS lon_idx, (lat_idx - 1) // 3 + 1 AS lat_idx, sum(value) AS value FROM g, hh WHERE lon_idx <= 99 AND lat_idx <= h // 3 * 3 GROUP BY ALL", "v_pixel")
 def block_sums(spark, d):
     """Sums over blocks."""
     g = whole_grid(spark, d)
@@ -411,14 +445,14 @@ def half_cell_shift(spark, d):
 DISK = "k(a, b, w) AS (VALUES " + ", ".join(f"({a}, {b}, CAST({w!r} AS DOUBLE))" for a, b, w in raster.offsets(raster.disk_kernel(2.3))) + ")"
 
 
-@query(f"WITH {GRID}, {DISK} SELECT g.lon_idx, g.lat_idx, sum(coalesce(n.value, 0) * w) AS value FROM g CROSS JOIN k LEFT JOIN g n ON n.lon_idx = least(greatest(g.lon_idx + a, 1), 100) AND n.lat_idx = least(greatest(g.lat_idx + b, 1), 20) GROUP BY ALL", "v_pixel")
+@query(f"WITH {GRID}, {DISK} SELECT g.lon_idx, g.lat_idx, sum(coalesce(n.value, 0) * w) AS value FROM g CROSS JOIN k CROSS JOIN hh LEFT JOIN g n ON n.lon_idx = least(greatest(g.lon_idx + a, 1), 100) AND n.lat_idx = least(greatest(g.lat_idx + b, 1), hh.h) GROUP BY ALL", "v_pixel")
 def disk_mean_joins(spark, d):
     """Disk mean by shifted joins."""
     g = whole_grid(spark, d).select("lon_idx", "lat_idx", "value")
     return raster.disk_mean_small(g, 2.3, 100, height(g))
 
 
-@query(f"WITH {GRID}, {DISK} SELECT g.lon_idx, g.lat_idx, sum(coalesce(n.value, 0) * w) AS value FROM g CROSS JOIN k LEFT JOIN g n ON n.lon_idx = least(greatest(g.lon_idx + a, 1), 100) AND n.lat_idx = least(greatest(g.lat_idx + b, 1), 20) GROUP BY ALL", "v_pixel")
+@query(f"WITH {GRID}, {DISK} SELECT g.lon_idx, g.lat_idx, sum(coalesce(n.value, 0) * w) AS value FROM g CROSS JOIN k CROSS JOIN hh LEFT JOIN g n ON n.lon_idx = least(greatest(g.lon_idx + a, 1), 100) AND n.lat_idx = least(greatest(g.lat_idx + b, 1), hh.h) GROUP BY ALL", "v_pixel")
 def disk_mean_tiles(spark, d):
     """The same on tiles with a halo."""
     g = whole_grid(spark, d).select("lon_idx", "lat_idx", "value")
@@ -470,13 +504,64 @@ def spread_to_fine(spark, d):
     return raster.spread_to_fine(coarse, g, 4, "k", "value", "spread").select("lon_idx", "lat_idx", "spread")
 
 
-@query()
+#: Weights of the neighbours da of a half a of a pixel, by linear and by cubic interpolation.
+LINEAR = "f(a, da, w) AS (VALUES (0, -1, 0.25), (0, 0, 0.75), (1, 0, 0.75), (1, 1, 0.25))"
+CUBIC = "f(a, da, w) AS (VALUES (0, -2, -0.0234375), (0, -1, 0.2265625), (0, 0, 0.8671875), (0, 1, -0.0703125), (1, -1, -0.0703125), (1, 0, 0.8671875), (1, 1, 0.2265625), (1, 2, -0.0234375))"
+FINER = "SELECT (g.lon_idx - 1) * 2 + i.a + 1 AS lon_idx, (g.lat_idx - 1) * 2 + j.a + 1 AS lat_idx, sum(coalesce(n.value, 0) * i.w * j.w) AS value FROM g CROSS JOIN f i CROSS JOIN f j CROSS JOIN hh LEFT JOIN g n ON n.lon_idx = least(greatest(g.lon_idx + i.da, 1), 100) AND n.lat_idx = least(greatest(g.lat_idx + j.da, 1), hh.h) GROUP BY ALL"
+
+
+@query(f"WITH {GRID}, {LINEAR} {FINER}", "v_pixel")
 def bilinear_resample(spark, d):
-    """Interpolation to twice the resolution; tested against numpy."""
+    """Interpolation to twice the resolution."""
     g = whole_grid(spark, d).select("lon_idx", "lat_idx", "value")
     return raster.bilinear(g, 2, 100, height(g))
 
 
+@query(f"WITH {GRID}, {CUBIC} {FINER}", "v_pixel")
+def cubic_resample(spark, d):
+    """Cubic interpolation to twice the resolution."""
+    g = whole_grid(spark, d).select("lon_idx", "lat_idx", "value")
+    return raster.bicubic(g, 2, 100, height(g))
+
+
+@query(f"WITH {GRID}, {CUBIC}, fine AS ({FINER}), c AS (SELECT *, (lon_idx + 1) // 2 AS ci, (lat_idx + 1) // 2 AS cj, greatest(value, 0) AS v FROM fine), t AS (SELECT *, sum(v) OVER (PARTITION BY ci, cj) AS s FROM c) SELECT t.lon_idx, t.lat_idx, CASE WHEN s = 0 THEN 0.25 ELSE v / s END * g.value AS value FROM t JOIN g ON g.lon_idx = ci AND g.lat_idx = cj", "v_pixel")
+def population_downscaled(spark, d):
+    """Population on finer pixels; every coarse pixel keeps its total."""
+    g = whole_grid(spark, d).select("lon_idx", "lat_idx", "value")
+    return raster.downscaled(g, 2, 100, height(g))
+
+
+@query(f"WITH {GRID}, x(k) AS (SELECT unnest(range(1, 41))), y(k) AS (SELECT unnest(range(1, 100000))), ox AS (SELECT i.range AS lon_idx, x.k, least(i.range * 4, x.k * 10) - greatest((i.range - 1) * 4, (x.k - 1) * 10) AS w FROM range(1, 101) i JOIN x ON least(i.range * 4, x.k * 10) > greatest((i.range - 1) * 4, (x.k - 1) * 10)) SELECT CAST(ox.k AS INT) AS lon_idx, CAST((g.lat_idx + 1) // 2 AS INT) AS lat_idx, sum(value * ox.w / 10.0 / 2) AS value FROM g JOIN ox ON g.lon_idx = ox.lon_idx GROUP BY ALL", "v_pixel")
+def coarse_resize(spark, d):
+    """Another size, where new pixels cover old ones in part."""
+    g = whole_grid(spark, d).select("lon_idx", "lat_idx", "value")
+    h = height(g) // 2 * 2
+    return raster.resized(g, 100, h, 40, h // 2)
+
+
+@query(f"WITH {GRID}, {REACH_SQL} SELECT g.lon_idx, g.lat_idx, CASE WHEN sum(CASE WHEN n.value > 280 THEN w ELSE 0 END) < 1e-6 THEN CAST(0 AS DOUBLE) ELSE CAST(round(sum(CASE WHEN n.value > 280 THEN w ELSE 0 END), 3) AS DOUBLE) END AS gridaccess FROM g CROSS JOIN k1 CROSS JOIN hh LEFT JOIN g n ON n.lon_idx = least(greatest(g.lon_idx + a, 1), 100) AND n.lat_idx = least(greatest(g.lat_idx + b, 1), hh.h) GROUP BY ALL", "v_pixel")
+def grid_access(spark, d):
+    """Access to the grid from economic activity around."""
+    g = whole_grid(spark, d).select("lon_idx", "lat_idx", F.col("value").alias("gdp"))
+    return raster.grid_access(g, REACH, 100, height(g), 280).withColumn("gridaccess", F.round("gridaccess", 3))
+
+
+@query(f"WITH {GRID}, m AS (SELECT lon_idx, lat_idx, land, CASE WHEN land % 4 = 0 THEN 0 WHEN land % 4 = 1 THEN 32767 ELSE region END AS r FROM g), t AS (SELECT a.lon_idx, a.lat_idx, any_value(a.land) AS land, arg_min(b.r, (CAST((a.lon_idx - b.lon_idx) AS BIGINT) * (a.lon_idx - b.lon_idx) + (a.lat_idx - b.lat_idx) * (a.lat_idx - b.lat_idx)) * 1000000 + b.r) AS r FROM m a JOIN m b ON b.r > 0 AND abs(a.lon_idx - b.lon_idx) <= 8 AND abs(a.lat_idx - b.lat_idx) <= 8 GROUP BY 1, 2) SELECT lon_idx, lat_idx, CASE WHEN land > 0 THEN r ELSE 0 END AS region, CASE WHEN land = 0 THEN r ELSE 0 END AS offshore FROM t", "v_pixel")
+def saved_regions(spark, d):
+    """Foreign land marked, the sea filled from the nearest land, split at the shore."""
+    g = whole_grid(spark, d)
+    foreign = F.col("land") % 4
+    px = g.select("lon_idx", "lat_idx", F.when(foreign < 2, 0).otherwise(F.col("region")).alias("region"), F.when(foreign == 1, 5).otherwise(0).alias("admin_uid"), "land")
+    return regions.saved_regions(px)
+
+
+@query(f"WITH {PIXELS}, l AS (SELECT region, lat, lon, popdens, land % 10 / 10.0 AS share FROM px WHERE region > 0 AND region <> 32767), c AS (SELECT region, sum(lat * popdens) / sum(popdens) AS y, sum(lon * popdens) / sum(popdens) AS x FROM l GROUP BY 1), s AS (SELECT l.*, 0.1 * 2 * 6371.0 * asin(sqrt(pow(sin(radians(y - lat) / 2), 2) + cos(radians(lat)) * cos(radians(y)) * pow(sin(radians(x - lon) / 2), 2))) / 10000 + 0.9 * (1 - share) AS score FROM l JOIN c USING (region)) SELECT region, CAST(lat AS DOUBLE) AS lat, CAST(lon AS DOUBLE) AS lon FROM s QUALIFY row_number() OVER (PARTITION BY region ORDER BY score, lat, lon) = 1", "v_pixel")
+def land_near_centre(spark, d):
+    """The pixel with much land around it near a region's centre."""
+    p = pixels(spark, d).where("region > 0 AND region <> 32767").select("region", "lat", "lon", "popdens", (F.col("land") % 10 / 10.0).alias("landshare"))
+    return regions.land_near_centre(p, regions.centres(p))
+
+
 @query()
 def population_centres(spark, d):
     """Greedy centres; tested against brute force."""
@@ -581,24 +666,12 @@ def nearest_site(spark, d):
     return spatial.nearest_few(view(spark, d, "v_plant"), view(spark, d, "v_site").select("site_id", "lon", "lat"), "plant_id", "site_id").select("plant_id", "site_id", "km")
 
 
-@query()
-def nearest_site_all(spark, d):
-    """The same among all customers; tested against brute force."""
-    return spatial.nearest_few(view(spark, d, "v_plant"), all_sites(spark, d), "plant_id", "site_id").select("plant_id", "site_id", "km")
-
-
 @query("WITH c AS (SELECT p.plant_id, s.site_id, pow(p.lon - s.lon, 2) + pow(p.lat - s.lat, 2) AS d2 FROM v_plant p JOIN v_site s ON pow(p.lon - s.lon, 2) + pow(p.lat - s.lat, 2) < 25.0) SELECT plant_id, b.site_id, sqrt(b.d2) AS degrees FROM v_plant LEFT JOIN (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY plant_id ORDER BY d2, site_id) = 1) b USING (plant_id)", "v_plant", "v_site")
 def nearest_site_within(spark, d):
     """nearest site within a cut-off, by cells."""
     return spatial.nearest_within(view(spark, d, "v_plant"), view(spark, d, "v_site"), "plant_id", "site_id", 5.0).select("plant_id", "site_id", "degrees")
 
 
-@query()
-def nearest_site_within_all(spark, d):
-    """The same among all customers; tested against brute force."""
-    return spatial.nearest_within(view(spark, d, "v_plant"), all_sites(spark, d), "plant_id", "site_id", 5.0).select("plant_id", "site_id", "degrees")
-
-
 @query("""WITH p AS (SELECT plant_id, lon, lat FROM v_plant) SELECT plant_id AS point_id,
  CASE WHEN lon BETWEEN -100 AND 20 AND lat BETWEEN -60 AND 0 THEN 1 WHEN lat > 0 AND lat < 80 AND lon > -170 AND lon < 170 AND lat < 80 - abs(lon) * 80 / 170 THEN 2 ELSE 0 END AS poly_id FROM p""", "v_plant")
 def polygon_join(spark, d):
@@ -609,22 +682,13 @@ def polygon_join(spark, d):
     return spatial.point_in_polygons(points, polygons, 30.0).select("point_id", F.col("poly_id").cast("int").alias("poly_id"))
 
 
-@query("""WITH s AS (SELECT min(site_id) AS site_id, lon, lat FROM v_site WHERE site_id <= 400 GROUP BY lon, lat), p AS (SELECT pixel_id, land, CAST(pixel_id % 360 - 179.6 AS DOUBLE) AS lon, CAST(pixel_id % 170 - 84.3 AS DOUBLE) AS lat FROM v_pixel),
+@query("""WITH s AS (SELECT min(site_id) AS site_id, lon, lat FROM v_site GROUP BY lon, lat), p AS (SELECT pixel_id, land, CAST(pixel_id % 360 - 179.6 AS DOUBLE) AS lon, CAST(pixel_id % 170 - 84.3 AS DOUBLE) AS lat FROM v_pixel),
  n AS (SELECT p.pixel_id, p.land, s.site_id FROM p, s QUALIFY row_number() OVER (PARTITION BY p.pixel_id ORDER BY 111.0 * sqrt(pow(p.lon - s.lon, 2) + pow(p.lat - s.lat, 2)), s.site_id) = 1)
- SELECT s.site_id, count(n.pixel_id) FILTER (WHERE land > 0) AS onshore, count(n.pixel_id) FILTER (WHERE land = 0) AS offshore FROM (SELECT site_id FROM v_site WHERE site_id <= 400) s LEFT JOIN n ON s.site_id = n.site_id GROUP BY 1""", "v_site", "v_pixel")
+ SELECT s.site_id, count(n.pixel_id) FILTER (WHERE land > 0) AS onshore, count(n.pixel_id) FILTER (WHERE land = 0) AS offshore FROM v_site s LEFT JOIN n ON s.site_id = n.site_id GROUP BY 1""", "v_site", "v_pixel")
 def service_areas(spark, d):
     """Sizes of the areas nearest to each site."""
-    return sized_areas(spark, d, view(spark, d, "v_site").where("site_id <= 400").select("site_id", "lon", "lat"))
-
-
-@query()
-def service_areas_all(spark, d):
-    """The same of all customers; tested against brute force."""
-    return sized_areas(spark, d, all_sites(spark, d))
-
-
-def sized_areas(spark, d, sites):
     px = view(spark, d, "v_pixel").select("pixel_id", "land", (F.col("pixel_id") % 360 - 179.6).cast("double").alias("lon"), (F.col("pixel_id") % 170 - 84.3).cast("double").alias("lat"))
+    sites = view(spark, d, "v_site").select("site_id", "lon", "lat")
     return spatial.area_sizes(spatial.service_areas(px, sites), sites)
 
 
@@ -794,10 +858,10 @@ def hydro_inflow(spark, d):
 NATIONAL = "nat AS (SELECT n_nationkey AS country, CAST(500 + n_nationkey * 100 AS DOUBLE) AS national_mw, CAST(1000 + n_nationkey * 200 AS DOUBLE) AS generation_gwh FROM nation)"
 
 
-def existing_hydro(spark, d, sites=None):
+def existing_hydro(spark, d):
     plants = view(spark, d, "v_plant").withColumn("region", (1 + F.col("country") % 4).cast("int"))
     k = F.col("site_id")
-    sites = (sites or view(spark, d, "v_site")).select("site_id", "lon", "lat", F.array(*[(1.0 + F.pmod(k * (m + 2), F.lit(11))).cast("double") for m in range(12)]).alias("profile"))
+    sites = view(spark, d, "v_site").select("site_id", "lon", "lat", F.array(*[(1.0 + F.pmod(k * (m + 2), F.lit(11))).cast("double") for m in range(12)]).alias("profile"))
     national = view(spark, d, "nation").select(F.col("n_nationkey").alias("country"), (500 + F.col("n_nationkey") * 100).cast("double").alias("capacity_mw"), (1000 + F.col("n_nationkey") * 200).cast("double").alias("generation_gwh"))
     return hydro.existing(plants, sites, national)
 
@@ -824,12 +888,6 @@ def hydro_existing_inflow(spark, d):
     return existing_hydro(spark, d)[1]
 
 
-@query()
-def hydro_existing_inflow_all(spark, d):
-    """The same with the profiles of all customers; tested against brute force."""
-    return existing_hydro(spark, d, all_sites(spark, d))[1]
-
-
 # Joins, windows and reshaping
 
 
@@ -842,16 +900,10 @@ def feature_joins(spark, d):
     return h.join(t, ["country", "month"]).join(c, "country")
 
 
-@query("WITH a AS (SELECT n_nationkey AS bus, count(c_custkey) AS customers FROM nation JOIN customer ON n_nationkey = c_nationkey WHERE c_custkey % 2 = 0 GROUP BY 1), b AS (SELECT s_nationkey AS bus, sum(s_acctbal) AS balance FROM supplier WHERE s_nationkey < 20 GROUP BY 1) SELECT coalesce(a.bus, b.bus) AS bus, coalesce(customers, 0) AS customers, coalesce(balance, 0.0) AS balance FROM a FULL JOIN b ON a.bus = b.bus")
+@query("WITH a AS (SELECT n_nationkey AS bus, count(c_custkey) AS customers FROM nation JOIN customer ON n_nationkey = c_nationkey GROUP BY 1), b AS (SELECT s_nationkey + 2 AS bus, sum(s_acctbal) AS balance FROM supplier GROUP BY 1) SELECT coalesce(a.bus, b.bus) AS bus, coalesce(customers, 0) AS customers, coalesce(balance, 0.0) AS balance FROM a FULL JOIN b ON a.bus = b.bus")
 def bus_outer_join(spark, d):
     """Two aggregates, whichever is there."""
-    return both_buses(view(spark, d, "customer").where("c_custkey % 2 = 0"), view(spark, d, "supplier").where("s_nationkey < 20"))
-
-
-@query()
-def bus_outer_join_all(spark, d):
-    """The same of all customers and suppliers; tested against brute force."""
-    return both_buses(view(spark, d, "customer"), view(spark, d, "supplier"))
+    return both_buses(view(spark, d, "customer"), view(spark, d, "supplier").withColumn("s_nationkey", F.col("s_nationkey") + 2))
 
 
 def both_buses(customers, suppliers):

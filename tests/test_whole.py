@@ -111,9 +111,9 @@ def test_nearest_of_all_customers(spark, places):
     sites, plants = places
     d2 = (plants.lon.to_numpy()[:, None] - sites.lon.to_numpy()) ** 2 + (plants.lat.to_numpy()[:, None] - sites.lat.to_numpy()) ** 2
     near, least = sites.c_custkey.to_numpy()[d2.argmin(axis=1)], d2.min(axis=1)
-    got = {r["plant_id"]: (r["site_id"], r["km"]) for r in queries.nearest_site_all(spark, MID).collect()}
+    got = {r["plant_id"]: (r["site_id"], r["km"]) for r in queries.nearest_site(spark, MID).collect()}
     assert got == {p: (s, pytest.approx(111 * x**0.5)) for p, s, x in zip(plants.plant_id, near, least)}
-    got = {r["plant_id"]: (r["site_id"], r["degrees"]) for r in queries.nearest_site_within_all(spark, MID).collect()}
+    got = {r["plant_id"]: (r["site_id"], r["degrees"]) for r in queries.nearest_site_within(spark, MID).collect()}
     assert got == {p: (s, pytest.approx(x**0.5)) if x < 25 else (None, None) for p, s, x in zip(plants.plant_id, near, least)}
     assert any(s % 10 for s in near)
 
@@ -133,17 +133,17 @@ def test_inflow_of_all_customers(spark, places):
         mw[r] = mw.get(r, 0) + own
         energy[r] = energy.get(r, 0) + own * cf * e / e.sum() * 365 / days
     want = {(r, m + 1): pytest.approx(energy[r][m] / mw[r]) for r in mw for m in range(12)}
-    assert {(r["region"], r["month"]): r["inflow_cf"] for r in queries.hydro_existing_inflow_all(spark, MID).collect()} == want
+    assert {(r["region"], r["month"]): r["inflow_cf"] for r in queries.hydro_existing_inflow(spark, MID).collect()} == want
 
 
 def test_index_and_buses_of_all_customers(spark, places):
     sites, _ = places
     want = {(k, int((x + 180) // 0.25) + 1, min(int((90 - y) // 0.25) + 1, 720)) for k, x, y in zip(sites.c_custkey, sites.lon, sites.lat)}
-    assert {tuple(r) for r in queries.grid_index_all(spark, MID).select("site_id", "lon_idx", "lat_idx").collect()} == want
+    assert {tuple(r) for r in queries.grid_index(spark, MID).select("site_id", "lon_idx", "lat_idx").collect()} == want
     for sf in (MID, MID.replace("0.01", "0.001")):
         c, s = (spark.read.parquet(f"{sf}/{t}.parquet").toPandas() for t in ("customer", "supplier"))
         count, balance = c.groupby("c_nationkey").size(), s.groupby("s_nationkey").s_acctbal.sum()
-        got = {r["bus"]: (r["customers"], float(r["balance"])) for r in queries.bus_outer_join_all(spark, sf).collect()}
+        got = {r["bus"]: (r["customers"], float(r["balance"])) for r in queries.both_buses(view(spark, sf, "customer"), view(spark, sf, "supplier")).collect()}
         assert got == {k: (count.get(k, 0), pytest.approx(float(balance.get(k, 0)))) for k in {*count.index, *balance.index}}
     assert len(balance) < len(count)
 
@@ -165,7 +165,7 @@ def test_service_areas_of_all_customers(spark, places):
         x, y = i % 360 - 179.6, i % 170 - 84.3
         km = np.round(111.0 * np.sqrt((x - sites.lon.to_numpy()) ** 2 + (y - sites.lat.to_numpy()) ** 2), 9)
         want[sites.c_custkey.to_numpy()[km.argmin()]][0 if land > 0 else 1] += 1
-    got = {r["site_id"]: [r["onshore"], r["offshore"]] for r in queries.service_areas_all(spark, MID).collect()}
+    got = {r["site_id"]: [r["onshore"], r["offshore"]] for r in queries.service_areas(spark, MID).collect()}
     assert got == want and sum(map(sum, got.values())) == len(px)
 
 
