@@ -145,6 +145,11 @@ def leap_hours(year: int) -> int:
     return 24 * (366 if (year % 4 == 0 and year % 100 != 0) or year % 400 == 0 else 365)
 
 
+def celsius_over_land(kelvin: Column, on_land: Column) -> Column:
+    """Temperature in Celsius on land, 0 at sea."""
+    return F.when(on_land, kelvin - 273.15).otherwise(0.0)
+
+
 def finite(x: Column) -> Column:
     """Null for NaN and infinities."""
     return F.when(F.isnan(x) | (F.abs(x) == math.inf), None).otherwise(x)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .fixtures import sql, view
 from .functions import grid, scalar, solar, wind
-from .operators import masks, raster, regions, spatial
+from .operators import masks, raster, regions, relational, spatial
 from .options import HydroOptions, NOREGION, SolarOptions, WindOptions, with_options
 from .plans import demand, entry, hydro, resource, turbines
 from .sources import tables
@@ -710,8 +710,8 @@ def bus_statistics(spark, d):
 def atlas_pairs(spark, d):
     """Two aligned layers side by side."""
     p = view(spark, d, "v_pixel")
-    moved = p.select((F.col("lon_idx") + 1).alias("lon_idx"), "lat_idx", F.col("atlas").alias("second_atlas"))
-    return p.where("region = 1").where(~F.col("land").isin(0, 11, 13)).join(moved, ["lon_idx", "lat_idx"]).select("pixel_id", F.col("atlas").alias("first_atlas"), "second_atlas")
+    good = p.where("region = 1").where(~F.col("land").isin(*WindOptions().exclude_landtypes))
+    return relational.side_by_side(good, p, "atlas", ("first_atlas", "second_atlas"), (1, 0)).select("pixel_id", "first_atlas", "second_atlas")
 
 
 @query("WITH c(region, centre, era_lon) AS (VALUES (1, 1, 1), (1, 2, 3), (2, 1, 4)) SELECT region, hour, max(value) FILTER (WHERE centre = 1) AS temp1, avg(value) AS temp_top3 FROM c JOIN v_cell_hour v ON v.era_lon = c.era_lon GROUP BY ALL", "v_cell_hour")
@@ -897,7 +897,7 @@ def feature_joins(spark, d):
     t = view(spark, d, "v_month").groupBy((F.col("cell") % 5).cast("int").alias("country"), "month").agg(F.avg("value").alias("temp"))
     h = view(spark, d, "events").select((F.col("user_id") % 5).cast("int").alias("country"), (1 + F.col("event_id") % 12).cast("int").alias("month"), "event_id")
     c = view(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("country"), "n_name")
-    return h.join(t, ["country", "month"]).join(c, "country")
+    return relational.with_attributes(h, (t, ["country", "month"]), (c, ["country"]))
 
 
 @query("WITH a AS (SELECT n_nationkey AS bus, count(c_custkey) AS customers FROM nation JOIN customer ON n_nationkey = c_nationkey GROUP BY 1), b AS (SELECT s_nationkey + 2 AS bus, sum(s_acctbal) AS balance FROM supplier GROUP BY 1) SELECT coalesce(a.bus, b.bus) AS bus, coalesce(customers, 0) AS customers, coalesce(balance, 0.0) AS balance FROM a FULL JOIN b ON a.bus = b.bus")
@@ -909,14 +909,15 @@ def bus_outer_join(spark, d):
 def both_buses(customers, suppliers):
     a = customers.groupBy(F.col("c_nationkey").alias("bus")).agg(F.count("*").alias("customers"))
     b = suppliers.groupBy(F.col("s_nationkey").alias("bus")).agg(F.sum("s_acctbal").alias("balance"))
-    return a.join(b, "bus", "full").select("bus", F.coalesce("customers", F.lit(0)).alias("customers"), F.coalesce("balance", F.lit(0.0)).alias("balance"))
+    return relational.whichever(a, b, "bus")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL) AND c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_name LIKE '%1')")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '5-LOW') AND c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_name LIKE '%1')")
 def missing_buses(spark, d):
     """Members without data, of some countries."""
     some = view(spark, d, "nation").where(F.col("n_name").endswith("1")).select(F.col("n_nationkey").alias("c_nationkey"))
-    return view(spark, d, "customer").join(some, "c_nationkey", "left_semi").join(view(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    present = view(spark, d, "orders").where("o_orderpriority = '5-LOW'").select(F.col("o_custkey").alias("c_custkey"))
+    return relational.without_data(view(spark, d, "customer"), present, "c_custkey", some, "c_nationkey").select("c_custkey")
 
 
 @query("WITH m AS (SELECT CAST(cell % 7 AS INT) AS country, month, avg(value) AS temp FROM v_month GROUP BY ALL) SELECT country, month, temp, CAST(row_number() OVER (PARTITION BY country ORDER BY temp, month) AS INT) AS ranked, temp / avg(temp) OVER (PARTITION BY country) AS norm, sum(temp) OVER (PARTITION BY country ORDER BY month) AS running FROM m", "v_month")
@@ -955,26 +956,25 @@ def pivot_round_trip(spark, d):
 @query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
 def value_counts(spark, d):
     """I31."""
-    return view(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
+    return relational.counted(view(spark, d, "events"), "event_type", "user_id").withColumnRenamed("user_id", "users")
 
 
 @query("SELECT user_id, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1")
 def first_of_key(spark, d):
     """The first row of each key."""
-    e = view(spark, d, "events")
-    return e.withColumn("k", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).where("k = 1").select("user_id", "event_id", "value")
+    return relational.first_of_key(view(spark, d, "events"), "user_id", "ts", "event_id").select("user_id", "event_id", "value")
 
 
 @query("SELECT c.c_nationkey AS country, h.range AS hour FROM (SELECT DISTINCT c_nationkey FROM customer) c, range(24) h")
 def expansion(spark, d):
     """Every region with every hour."""
-    return view(spark, d, "customer").select(F.col("c_nationkey").alias("country")).distinct().select("country", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(23).cast("long"))).alias("hour"))
+    return relational.expanded(view(spark, d, "customer").select(F.col("c_nationkey").alias("country")), "hour", 0, 23)
 
 
 @query("SELECT pixel_id, lon_idx FROM v_pixel WHERE (pixel_id - 1) % 7 = 0", "v_pixel")
 def downsample(spark, d):
     """Every seventh pixel."""
-    return view(spark, d, "v_pixel").where(F.pmod(F.col("pixel_id") - 1, F.lit(7)) == 0).select("pixel_id", "lon_idx")
+    return relational.every_nth(view(spark, d, "v_pixel"), F.col("pixel_id") - 1, 7).select("pixel_id", "lon_idx")
 
 
 # Time, sun and text
@@ -1024,7 +1024,7 @@ def irradiance(spark, d):
 def weather_ingest(spark, d):
     """Speed from components, temperature over land."""
     e = view(spark, d, "events")
-    return e.select("event_id", wind.speed(F.col("value") / 10, F.when(F.col("event_id") % 3 != 0, F.col("value") / 20)).alias("speed"), F.when(F.col("event_id") % 5 > 0, F.col("value") + 200 - 273.15).otherwise(0.0).alias("celsius"))
+    return e.select("event_id", wind.speed(F.col("value") / 10, F.when(F.col("event_id") % 3 != 0, F.col("value") / 20)).alias("speed"), scalar.celsius_over_land(F.col("value") + 200, F.col("event_id") % 5 > 0).alias("celsius"))
 
 
 @query("SELECT n_nationkey AS id, upper(n_name) AS up, substr(n_name, 1, 2) AS two, lpad(CAST(n_nationkey AS VARCHAR), 4, '0') AS padded, right(n_name, 3) AS tail, replace(n_name, 'A', '-') AS swapped, contains(n_name, 'AN') AS has, printf('%.1f%%', n_nationkey * 10.0 / 4) AS pct FROM nation")
