@@ -42,13 +42,15 @@ class Params:
     """``rows_per_lang`` bounds the training sample: about that many rows of each language, chosen by
     a fixed hash of the id, each with its whole text.  ``false_accepts``: the share of texts in no
     language that may be accepted in calibration.  ``doubt`` is spread over all classes in calibration, so
-    that a sample without errors doesn't give certainty."""
+    that a sample without errors doesn't give certainty.  Training goes over the sample ``epochs`` times, and more
+    often over a small one, until it has made ``steps`` steps."""
 
     rows_per_lang: int = 400
     buckets: int = 1 << 15
     dim: int = 16
     longest_gram: int = 4
     epochs: int = 4
+    steps: int = 40_000
     rate: float = 0.5
     false_accepts: float = 0.02
     doubt: float = 0.005
@@ -170,8 +172,9 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], langs: list[str], p: P
     emb = rng.normal(0, 1 / p.dim, (p.buckets, p.dim))
     out, bias = np.zeros((p.dim, len(langs) + 1)), np.zeros(len(langs) + 1)
     share = [n / n.sum() for _, n, _ in rows]
-    steps, done = p.epochs * len(rows), 0
-    for _ in range(p.epochs):
+    epochs = max(p.epochs, -(-p.steps // max(len(rows), 1)))
+    steps, done = epochs * len(rows), 0
+    for _ in range(epochs):
         for i in rng.permutation(len(rows)):
             ids, w = rows[i][0], share[i]
             pooled = w @ emb[ids]

@@ -75,7 +75,7 @@ def test_rejection(spark, learnt):
 def test_every_language_counts(spark):
     """No language is left out, whatever their number."""
     rows = [(k, f"word{chr(97 + k % 26)}{chr(97 + k // 26)} " * 20, f"l{k:03d}") for k in range(300)]
-    model = lang.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), lang.Params(epochs=1))
+    model = lang.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), lang.Params(epochs=1, steps=1))
     assert len(model.langs) == 300
 
 
