@@ -193,10 +193,11 @@ def test_climate_scenario(spark, folder):
 
 def test_training_and_scores(spark, tmp_path):
     rows = spark.createDataFrame([(r, h, float(h % 5), 1.0 + (h % 5) / 10) for r in (1, 2, 3) for h in range(60)], "region int, hour int, x double, normdemand double")
-    o = demand.DemandOptions(variables=("x",), rounds=3, depth=2, eta=0.5)
-    out = demand.cross_validated(rows, o, at_once=3, loss="absolute", prepare=lambda d: d.where("hour < 50"))
-    assert out.count() == 180
-    worst = demand.scored(out, lambda y, z: F.max(F.abs(y - z)), by="region").collect()
-    assert {r["region"] for r in worst} == {1, 2, 3} and all(r["score"] < 0.45 for r in worst)
+    o = demand.DemandOptions(variables=("x",), rounds=3, depth=3, eta=0.5, subsample=1.0)
+    for loss in ("squared", "absolute"):
+        out = demand.cross_validated(rows, o, at_once=3, loss=loss, prepare=lambda d: d.where("hour < 50"))
+        worst = demand.scored(out, lambda y, z: F.max(F.abs(y - z)), by="region").collect()
+        assert out.count() == 180 and {r["region"] for r in worst} == {1, 2, 3}
+        assert all(r["score"] < (0.05 if loss == "squared" else 1.0) for r in worst)
     demand.save_training(rows, rows.select("region").distinct(), str(tmp_path / "t"))
     assert spark.read.parquet(str(tmp_path / "t" / "rows")).count() == 180
