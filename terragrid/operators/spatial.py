@@ -16,6 +16,8 @@ from ..options import NOREGION
 FEW_SITES = 100_000
 #: Into so many blocks one side of all pairs is cut.
 PAIR_BLOCKS = 64
+#: So many regions of equal place meet a block at once; Spark holds all their pairs with it in memory.
+PAIR_HELD = 16
 
 
 def few(df: DataFrame, most: int = FEW_SITES) -> DataFrame:
@@ -149,14 +151,20 @@ def regridded(grid: DataFrame, curvilinear: DataFrame, series: DataFrame, res: f
 def distances(centres: DataFrame, compat: bool = False) -> DataFrame:
     """All pairs of region centres (region, lat, lon), each with itself: that is the result, n² rows for n regions.
 
-    The other side of a pair is cut into blocks of rows, so that a task reads whole blocks.
+    Regions of equal place are held together, some at once, so that a distance is computed once for their pairs.
+    One side is cut into blocks of regions, and both are dealt to as many tasks as there are blocks, however small
+    the table: its size tells nothing about the number of pairs, and by size all would be made in one task.
     """
-    a, b = (centres.select(*(F.col(c).alias(f"{c}{k}") for c in ("region", "lat", "lon"))) for k in (1, 2))
-    block = F.struct("region2", "lat2", "lon2")
-    blocks = b.groupBy(F.pmod(F.xxhash64("region2"), F.lit(PAIR_BLOCKS)).alias("block")).agg(F.collect_list(block).alias("b"))
-    dealt = a.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PAIR_BLOCKS - 1).cast("long"))).alias("block"))
-    pairs = dealt.join(blocks, "block").select("region1", "lat1", "lon1", F.inline("b"))
-    return pairs.select(F.col("region1").alias("r1"), F.col("region2").alias("r2"), haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"), compat).alias("km"))
+    block, held = F.pmod(F.xxhash64("region", "lat", "lon"), F.lit(PAIR_BLOCKS)).alias("block"), F.collect_list(F.struct("region"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PAIR_BLOCKS - 1).cast("long"))).alias("block")
+    a = centres.groupBy(F.col("lat").alias("lat1"), F.col("lon").alias("lon1")).agg(held.alias("held1"))
+    a = a.select("lat1", "lon1", "held1", F.explode(F.sequence(F.lit(1), F.size("held1"), F.lit(PAIR_HELD))).alias("first")).withColumn("held1", F.slice("held1", F.col("first"), PAIR_HELD))
+    b = centres.groupBy(block, F.col("lat").alias("lat2"), F.col("lon").alias("lon2")).agg(held.alias("held2"))
+    blocks = b.groupBy("block").agg(F.collect_list(F.struct("lat2", "lon2", "held2")).alias("b")).repartition(PAIR_BLOCKS, "block")
+    dealt = a.select("lat1", "lon1", "held1", every).repartition(PAIR_BLOCKS, "block")
+    met = dealt.join(blocks.hint("shuffle_hash"), "block").select("lat1", "lon1", "held1", F.inline("b"))
+    km = met.select("held1", "held2", haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"), compat).alias("km"))
+    return km.select("held2", "km", F.inline("held1").alias("r1")).select("r1", F.inline("held2").alias("r2"), "km")
 
 
 def rasterized(polygons: DataFrame, res: float, west: float, north: float) -> DataFrame:

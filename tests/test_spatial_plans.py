@@ -118,3 +118,16 @@ def test_staged_irradiance_is_the_same(spark):
     a = {r["k"]: (r["gti"], r["dni"]) for r in df.select("k", x.gti.alias("gti"), x.dni.alias("dni")).collect()}
     b = {r["k"]: (r["gti"], r["dni"]) for r in solar.with_irradiance(df, "ssrd", "fdir").collect()}
     assert all(a[k] == pytest.approx(b[k]) for k in a)
+
+
+def test_distances_are_dealt_to_many_tasks(spark):
+    rows = [(k, float(k * 53 % 180) - 89.5, float(k * 37 % 360) - 179.5) for k in range(300)] + [(1000 + k, 10.5, 20.5) for k in range(40)] + [(7, 1.0, 2.0), (7, 1.0, 2.0), (None, 1.0, 2.0)]
+    out = spatial.distances(spark.createDataFrame(rows, "region long, lat double, lon double"))
+    got = [tuple(r) for r in out.collect()]
+
+    def km(a, b):
+        h = math.sin(math.radians(b[1] - a[1]) / 2) ** 2 + math.cos(math.radians(a[1])) * math.cos(math.radians(b[1])) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2
+        return round(2 * 6371.0 * math.asin(math.sqrt(min(h, 1.0))), 3)
+
+    assert sorted((str(a), str(b), round(x, 3)) for a, b, x in got) == sorted((str(a[0]), str(b[0]), km(a, b)) for a in rows for b in rows)
+    assert out.select(F.spark_partition_id().alias("t")).distinct().count() >= 16
