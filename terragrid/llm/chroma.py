@@ -10,9 +10,11 @@ A copy rarely begins on a frame's border, so a query is also cut at several phas
 frames; at one of them its integers agree with those of the recording again.
 
 Recordings with equal fingerprints are one class, and only classes are searched, by a join on the
-integers: a run of equal integers counts once, at its head.  Integers that very many places share
-take no part in the join; queries that consist of little else are fetched in blocks of bounded size,
-and all classes stream past a block in one map, which returns one partial result per query and task.
+integers: a run of equal integers counts once, at its head.  An integer that many queries and many
+places share would make their product of rows; a query with such an integer takes no part in the join.
+With all its integers it is fetched, in blocks of bounded size, and all classes stream past a block in
+one map, which finds by the same votes what the join would and returns one partial result per query and
+task.  Queries that are hardly more than one steady sound go that way with every place instead of heads.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import hashlib
 import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import hot, joined, map_batches, small_batches, stored
 
 PITCHES = 12
+#: So many equal integers of queries and recordings are counted at once.
+MOST_VOTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -38,8 +42,8 @@ class Params:
     """``most_bits``: two recordings match if at most this share of bits differs over at least
     ``least_overlap`` places at the offset with the most votes, of which there are ``least_votes``.
     Unrelated melodies agree so well over 8 places (a second) in one pair of some thousand, over 16 in none.
-    ``phases``: a query is cut at so many places between two frames.  ``hot_rows``: an integer at more
-    places than this, and at more than a thousandth of all, is too common for the join."""
+    ``phases``: a query is cut at so many places between two frames.  ``hot_rows``: an integer of which the join
+    would make more rows than this has its queries streamed; it tells how a partner is found, not whether."""
 
     rate: int = 5512
     frame: int = 2048
@@ -149,36 +153,56 @@ def align(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[float, int]:
     return (float(np.bitwise_count(a[first:last] ^ b[first + offset : last + offset]).sum()) / (32 * n) if n else 1.0), n
 
 
-class Block:
-    """Queries, by their codes."""
+def voting(codes: np.ndarray, by_heads: bool) -> np.ndarray:
+    """Places that vote: those that are not silent, or only the first of each run of equal codes."""
+    return np.flatnonzero((codes != 0) & (codes != np.concatenate([codes[:0], [0], codes[:-1]])[: len(codes)]) if by_heads else codes)
+
 
-    def __init__(self, queries: list[tuple[int, list[int]]]) -> None:
-        self.ids = [i for i, _ in queries]
-        self.codes = [np.array(c, np.int32).view(np.uint32) for _, c in queries]
-        flat = np.concatenate([*self.codes, np.zeros(0, np.uint32)])
+class Block:
+    """Queries, by the codes of all their phases."""
+
+    def __init__(self, queries: list[tuple[int, list[list[int]]]], by_heads: bool) -> None:
+        self.ids, self.by_heads = [i for i, _ in queries], by_heads
+        self.codes = [[np.array(c, np.int32).view(np.uint32) for c in phases] for _, phases in queries]
+        cut = [(q, k, c, voting(c, by_heads)) for q, phases in enumerate(self.codes) for k, c in enumerate(phases)]
+        self.phases, none = max(map(len, self.codes), default=1), np.zeros(0, np.int64)
+        flat = np.concatenate([*(c[at] for _, _, c, at in cut), none.astype(np.uint32)])
         order = np.argsort(flat, kind="stable")
         self.keys = flat[order]
-        self.owner = np.repeat(np.arange(len(queries)), [len(c) for c in self.codes])[order]
-        self.place = np.concatenate([*(np.arange(len(c)) for c in self.codes), np.zeros(0, np.int64)])[order].astype(np.int64)
-
-    def matches(self, codes: np.ndarray, p: Params) -> list[tuple[int, int, float]]:
-        """(query, offset, share of differing bits) of the queries that a recording aligns with."""
-        at = np.flatnonzero(codes)
-        a, b = np.searchsorted(self.keys, codes[at], "left"), np.searchsorted(self.keys, codes[at], "right")
-        n = b - a
-        if not n.sum():
-            return []
-        which = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        votes, count = np.unique(np.stack([self.owner[which], np.repeat(at, n) - self.place[which]]), axis=1, return_counts=True)
-        out = []
-        order = np.lexsort((np.abs(votes[1]), -count, votes[0]))  # by query, then most votes, then the least shift
-        q = votes[0][order]
-        for k in order[np.concatenate([[True], q[1:] != q[:-1]])]:
-            if count[k] >= p.least_votes:
-                share, places = align(self.codes[votes[0][k]], codes, int(votes[1][k]))
-                if places >= p.least_overlap and share <= p.most_bits:
-                    out.append((int(votes[0][k]), int(votes[1][k]), share))
-        return out
+        self.owner = np.concatenate([*(np.full(len(at), q * self.phases + k) for q, k, _, at in cut), none])[order]
+        self.place = np.concatenate([*(at for *_, at in cut), none])[order]
+
+    def matches(self, recordings: list[np.ndarray], p: Params) -> Iterator[tuple[int, int, int, float]]:
+        """(recording, query, offset, share of differing bits) where a query aligns with a recording."""
+        at = [voting(c, self.by_heads) for c in recordings]
+        flat, place = np.concatenate([c[k] for c, k in zip(recordings, at, strict=True)]), np.concatenate(at)
+        which, low = np.repeat(np.arange(len(at)), [len(k) for k in at]), np.searchsorted(self.keys, flat, "left")
+        n = np.searchsorted(self.keys, flat, "right") - low
+        met = np.flatnonzero(n)
+        last = np.searchsorted(which[met], np.arange(len(at)), "right")  # of each recording
+        total = np.concatenate([[0], np.cumsum(n[met])])
+        first = 0
+        while first < len(met):  # whole recordings, as many at once as have few votes
+            fit = np.searchsorted(total[last], total[first] + MOST_VOTES, "right") - 1
+            end = int(last[max(fit, which[met[first]])])
+            yield from self.aligned(recordings, met[first:end], which, place, low, n, p)
+            first = end
+
+    def aligned(self, recordings: list[np.ndarray], met: np.ndarray, which: np.ndarray, place: np.ndarray, low: np.ndarray, n: np.ndarray, p: Params) -> Iterator[tuple[int, int, int, float]]:
+        n = n[met]
+        entry = np.repeat(low[met] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        shift = np.repeat(place[met], n) - self.place[entry]
+        least, span = int(shift.min()), int(shift.max() - shift.min()) + 1
+        votes, count = np.unique((np.repeat(which[met], n) * (len(self.codes) * self.phases) + self.owner[entry]) * span + (shift - least), return_counts=True)
+        votes, count = votes[count >= p.least_votes], count[count >= p.least_votes]
+        owner, shift = votes // span, votes % span + least
+        pair, phase = owner // self.phases, owner % self.phases
+        order = np.lexsort((phase, shift, np.abs(shift), -count, pair))  # by pair, then most votes, then the least shift
+        best = order[np.concatenate([[True], pair[order][1:] != pair[order][:-1]])[: len(order)]]
+        for k, q, offset, f in zip(*(x[best].tolist() for x in (pair // len(self.codes), pair % len(self.codes), shift, phase)), strict=True):
+            share, places = align(self.codes[q][f], recordings[k], offset)
+            if places >= p.least_overlap and share <= p.most_bits:
+                yield k, q, offset, share
 
 
 _live: dict[str, Block] = {}
@@ -190,18 +214,21 @@ def heads(codes: Column) -> Column:
     return F.filter(F.transform(codes, lambda c, k: F.struct(k.alias("place"), c.alias("code"), F.get(before, k).alias("last"))), lambda x: (x.code != 0) & (x.code != x["last"]))
 
 
-def candidates(classes: DataFrame, asking: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
+def candidates(classes: DataFrame, asking: DataFrame, p: Params) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``q, rep, phase, shift`` of the offset with the most votes for each pair of a query and a class that share
-    ``least_votes`` integers at one offset; and ``q`` of the queries that have too few telling integers for that."""
+    ``least_votes`` integers at one offset; ``q`` of the queries with an integer that is too common for the join, and
+    of those that have too few heads to tell: neither are among the first, and ``streamed`` finds all their partners."""
     postings = stored(classes.select("rep", F.explode(heads(F.col("codes"))).alias("h")).select("rep", "h.code", "h.place"), "postings")
-    common_codes = hot(postings.groupBy("code").agg(F.count("*").alias("size")), "code", postings.count(), p.hot_rows)
     phase = asking.select(F.col("rep").alias("q"), F.posexplode("phases").alias("phase", "codes"))
-    probes = phase.select("q", "phase", F.explode(heads(F.col("codes"))).alias("h")).select("q", "phase", "h.code", F.col("h.place").alias("at"))
-    probes = stored(probes.join(common_codes.select("code"), "code", "left_anti"), "probes")
-    votes = probes.join(postings, "code").where("q <> rep").groupBy("q", "rep", "phase", (F.col("place") - F.col("at")).alias("shift")).agg(F.count("*").alias("n")).where(F.col("n") >= p.least_votes)
+    probes = stored(phase.select("q", "phase", F.explode(heads(F.col("codes"))).alias("h")).select("q", "phase", "h.code", F.col("h.place").alias("at")), "probes")
+    few = stored(asking.select(F.col("rep").alias("q")).join(probes.where("phase = 0").groupBy("q").agg(F.count("*").alias("n")).where(F.col("n") >= p.least_overlap), "q", "left_anti"), "few")
+    probes = probes.join(few, "q", "left_anti")
+    asked, held = probes.groupBy("code").agg(F.count("*").alias("asked")), postings.groupBy("code").agg(F.count("*").alias("held"))
+    common_codes = stored(asked.join(held, "code").where(F.col("asked") * F.col("held") > p.hot_rows).select("code"), "common")
+    common = stored(probes.join(common_codes, "code", "left_semi").select("q").distinct(), "asking-common")
+    votes = probes.join(common, "q", "left_anti").join(postings, "code").where("q <> rep").groupBy("q", "rep", "phase", (F.col("place") - F.col("at")).alias("shift")).agg(F.count("*").alias("n")).where(F.col("n") >= p.least_votes)
     best = F.max_by(F.struct("phase", "shift"), F.struct("n", -F.abs("shift"), -F.col("shift"), -F.col("phase"))).alias("b")
-    few = asking.select(F.col("rep").alias("q")).join(probes.where("phase = 0").groupBy("q").agg(F.count("*").alias("telling")).where(F.col("telling") >= p.least_overlap), "q", "left_anti")
-    return votes.groupBy("q", "rep").agg(best).select("q", "rep", "b.phase", "b.shift"), few
+    return votes.groupBy("q", "rep").agg(best).select("q", "rep", "b.phase", "b.shift"), common, few
 
 
 def confirmed(found: DataFrame, classes: DataFrame, asking: DataFrame, p: Params) -> DataFrame:
@@ -221,28 +248,32 @@ def confirmed(found: DataFrame, classes: DataFrame, asking: DataFrame, p: Params
     return map_batches(met.select("q", "rep", "size", "shift", "mine", "codes"), run, "q long, rep long, size long, shift long, share double")
 
 
-def streamed(classes: DataFrame, few: DataFrame, p: Params) -> DataFrame | None:
-    """The same of some queries, by blocks that all classes stream past; None if there are none."""
-    asking = stored(classes.join(few.withColumnRenamed("q", "rep"), "rep", "left_semi").select("rep", "codes"), "few")
-    places = asking.agg(F.sum(F.size("codes"))).first()[0]
-    found = None
-    for k in range(-(-(places or 0) // p.block_codes)):
-        blocks = -(-places // p.block_codes)
-        mine = sorted((r["rep"], r["codes"]) for r in asking.where(F.pmod(F.xxhash64("rep"), F.lit(blocks)) == k).collect())
-        blob = pickle.dumps(mine)
+def streamed(classes: DataFrame, asking: DataFrame, p: Params, by_heads: bool) -> list[DataFrame]:
+    """Partial results (``q, others, best_bits, best_id, best_offset``) of queries (rep, phases), by blocks that all
+    classes stream past: ``others`` counts the members of the classes that align with a query, best_* tell the closest."""
+    size = F.aggregate("phases", F.lit(0).cast("long"), lambda n, c: n + F.size(c))
+    blocks, found = -(-(asking.agg(F.sum(size)).first()[0] or 0) // p.block_codes), []
+    for k in range(blocks):
+        mine = sorted((r["rep"], r["phases"]) for r in asking.where(F.pmod(F.xxhash64("rep"), F.lit(blocks)) == k).collect())
+        blob = pickle.dumps((mine, by_heads))
         tag, sent = hashlib.sha256(blob).hexdigest(), classes.sparkSession.sparkContext.broadcast(blob)
 
         def run(batches: Iterator[pa.RecordBatch], tag: str = tag, sent=sent) -> Iterator[pa.RecordBatch]:
             if tag not in _live:
                 _live.clear()
-                _live[tag] = Block(pickle.loads(sent.value))
-            block = _live[tag]
+                _live[tag] = Block(*pickle.loads(sent.value))
+            block, told = _live[tag], {}
             for batch in batches:
-                rows = [(block.ids[q], rep, size, shift, share) for rep, size, codes in zip(*(batch.column(c).to_pylist() for c in ("rep", "size", "codes")), strict=True) for q, shift, share in block.matches(np.array(codes, np.int32).view(np.uint32), p) if block.ids[q] != rep]
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["q", "rep", "size", "shift", "share"])
-
-        here = classes.select("rep", "size", "codes").mapInArrow(run, "q long, rep long, size long, shift long, share double")
-        found = here if found is None else found.unionByName(here)
+                reps, sizes = batch.column("rep").to_pylist(), batch.column("size").to_pylist()
+                for c, q, shift, share in block.matches([np.array(x, np.int32).view(np.uint32) for x in batch.column("codes").to_pylist()], p) if reps else ():
+                    if block.ids[q] != reps[c]:
+                        n, best = told.get(q, (0, (2.0, 0, 0)))
+                        told[q] = n + sizes[c], min(best, (share, reps[c], shift))
+            rows = [(block.ids[q], n, *best) for q, (n, best) in told.items()]
+            names, types = ["q", "others", "best_bits", "best_id", "best_offset"], (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in rows], t) for j, t in enumerate(types)], names)
+
+        found.append(classes.select("rep", "size", "codes").mapInArrow(run, "q long, others long, best_bits double, best_id long, best_offset long"))
     return found
 
 
@@ -265,12 +296,12 @@ def search(prints: DataFrame, is_query: Column, p: Params = Params()) -> DataFra
     # a class asks with the phases of the first of its members that is a query
     asking = marked.select("mark", F.col("rec_id").alias("first"), "phases").join(same.where("asks").select("mark", "first", "rep"), ["mark", "first"]).dropDuplicates(["mark"])
     asking = stored(asking.select("rep", "phases"), "asking")
-    found, few = candidates(classes, asking, p)
-    links = confirmed(found.join(few, "q", "left_anti"), classes, asking, p)
-    plain = streamed(classes, few, p)
-    links = links if plain is None else links.unionByName(plain)
-    best = F.min(F.struct(F.col("share").alias("best_bits"), F.col("rep").alias("best_id"), F.col("shift").alias("best_offset"))).alias("b")
-    total = links.groupBy("q").agg(F.sum("size").alias("others"), best).select(F.col("q").alias("rep"), "others", "b.*")
+    found, common, few = candidates(classes, asking, p)
+    parts = [confirmed(found, classes, asking, p).select("q", F.col("size").alias("others"), F.col("share").alias("best_bits"), F.col("rep").alias("best_id"), F.col("shift").alias("best_offset"))]
+    parts += streamed(classes, asking.join(common.withColumnRenamed("q", "rep"), "rep", "left_semi"), p, True)
+    parts += streamed(classes, asking.join(few.withColumnRenamed("q", "rep"), "rep", "left_semi").withColumn("phases", F.slice("phases", 1, 1)), p, False)
+    best = F.min(F.struct("best_bits", "best_id", "best_offset")).alias("b")
+    total = reduce(DataFrame.unionByName, parts).groupBy(F.col("q").alias("rep")).agg(F.sum("others").alias("others"), best).select("rep", "others", "b.*")
     told = same.select("mark", "rep", "size").join(total, "rep", "left").withColumnRenamed("rep", "class")
     of_class = hot(same, "mark", rows.count(), p.hot_rows)
     out = joined(rows.where("mark is not null").select("rec_id", "n_codes", "mark", "asks"), told, of_class, "mark", "rec_id")

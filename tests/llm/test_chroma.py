@@ -105,3 +105,40 @@ def test_query_against_brute_force(spark):
     assert got.keys() == codes.keys() and all(got[i]["n_codes"] == len(codes[i]) for i in ids)
     assert all((got[i]["n_aligned"] is not None) == (i % 20 == 0) for i in ids)
     assert sum(got[ids[k]]["n_aligned"] for k in asked) >= 0.9 * sum(len(want.get(k, ())) for k in asked)
+
+
+@pytest.mark.parametrize("hot_rows", [3, 1000])
+def test_partners_by_common_codes_only(spark, hot_rows):
+    rng = np.random.default_rng(9)
+    codes = lambda n: rng.integers(-(2**31), 2**31, n).tolist()
+    same = codes(20)
+    rows = [(0, [*same, *codes(40)])] + [(k, [*same, *codes(2)]) for k in range(1, 31)] + [(k, codes(30)) for k in range(31, 40)]
+    df = spark.createDataFrame(rows, "rec_id long, codes array<int>")
+    got = {r["rec_id"]: r for r in chroma.search(df, F.col("rec_id") % 20 == 0, dataclasses.replace(P, hot_rows=hot_rows)).collect()}
+    assert (got[0]["n_aligned"], got[20]["n_aligned"], got[1]["n_aligned"]) == (30, 30, None)
+    assert got[0]["best_offset"] == 0 and got[0]["best_bits"] < 0.1
+
+
+def test_a_group_of_near_copies_makes_few_rows(spark):
+    rng = np.random.default_rng(10)
+    same = rng.integers(-(2**31), 2**31, 40).tolist()
+    rows = [(k, [int(rng.integers(-(2**31), 2**31)) if j % 20 == k % 20 else c for j, c in enumerate(same)], 1) for k in range(400)]
+    classes = spark.createDataFrame(rows, "rep long, codes array<int>, size long")
+    asking = classes.where("rep % 4 = 0").select("rep", F.array("codes").alias("phases"))
+    found, common, few = chroma.candidates(classes, asking, P)
+    parts = chroma.streamed(classes, asking.join(common.withColumnRenamed("q", "rep"), "rep", "left_semi"), P, True)
+    assert (found.count(), common.count(), few.count(), len(parts)) == (0, 100, 0, 1)
+    told = parts[0].groupBy("q").agg(F.sum("others").alias("n"), F.count("*").alias("tasks")).collect()
+    assert len(told) == 100 and all(r["n"] == 399 and r["tasks"] <= classes.rdd.getNumPartitions() for r in told)
+
+
+def test_votes_are_counted_by_parts(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    same = rng.integers(1, 2**31, 40).astype(np.uint32)
+    some = [np.concatenate([same, rng.integers(1, 2**31, k).astype(np.uint32)]) for k in range(0, 12)] + [np.zeros(0, np.uint32)]
+    block = chroma.Block([(k, [c.view(np.int32).tolist()]) for k, c in enumerate(some[:5])], True)
+    want = list(block.matches(some, P))
+    assert {(c, q) for c, q, _, _ in want} == {(c, q) for c in range(12) for q in range(5)}
+    for most in (1, 150, 500):
+        monkeypatch.setattr(chroma, "MOST_VOTES", most)
+        assert list(block.matches(some, P)) == want
